@@ -1,0 +1,6 @@
+"""The queries of the captioned-dataset operators, and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
