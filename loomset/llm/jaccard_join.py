@@ -187,6 +187,7 @@ def leaf_members(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         if depth == 1:
             several = at.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+            several = materialize(several, "paths-several")  # a table of its own, so that the join can split a hot node
             at = materialize(at.join(several, "node"), f"paths-{depth}")
         if depth == DEPTH:
             leaves.append(at.select(F.col("node").alias("leaf"), "sid"))

@@ -174,6 +174,7 @@ def divide(parts: DataFrame, name: str, last: bool = False) -> tuple[DataFrame,
     """
     place = F.xxhash64("tid", "first")
     twice = parts.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key")
+    twice = materialize(twice, f"{name}-twice")  # a table of its own, so that the join can split a hot key
     shared = materialize(parts.join(twice, "key", "left_semi"), f"{name}-shared")
     if last:
         return shared.select("tid", "first", "more"), None
@@ -181,6 +182,7 @@ def divide(parts: DataFrame, name: str, last: bool = False) -> tuple[DataFrame,
     spans = materialize(spans.select("span", F.expr("lo <> hi").alias("settled"), "part.*"), f"{name}-spans")
     repeated = shared.join(spans.where("settled").select("span"), "span", "left_semi").select("tid", "first", "more")
     going_on = spans.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.every("settled").alias("all_settled")).where("n > 1 AND NOT all_settled").select("key")
+    going_on = materialize(going_on, f"{name}-keys")
     return repeated, spans.join(going_on, "key", "left_semi").select("tid", "first", "more", "anchor")
 
 
