@@ -7,6 +7,7 @@ driver and all executors); only where that is unset, as in tests, a local folder
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -51,6 +52,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/loomset-{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    # What the write shuffled is of no use any more; Spark removes it once its driver has collected its garbage.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

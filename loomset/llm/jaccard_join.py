@@ -7,9 +7,9 @@ still large are split again on tokens chosen for the node, so a pair is kept alo
 tokens. Small nodes, and nodes whose sets mostly agree and so can't be split, are compared by brute
 force, in blocks. Runs are repeated until a pair at the threshold is found with the target recall.
 
-A pair is counted in the first leaf that it shares only, and a leaf is not looked at when its members
-already share an earlier one. Pairs never leave the task that finds them: a task gives counts of links
-and a forest of edges, and the classes are the components of these edges.
+Brute force compares the sketches first, and shingles only of sets that come near another. A pair is
+counted in the first leaf that it shares only. Pairs never leave the task that finds them: a task gives
+counts of links and a forest of edges, and the classes are the components of these edges.
 """
 
 from __future__ import annotations
@@ -101,6 +101,8 @@ def n_runs(threshold: float, recall: float) -> int:
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections, over slabs of the values that several sets hold."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    if not len(owner):
+        return np.zeros((len(sets), len(sets)), np.float32)
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = times[column] > 1
     new = np.cumsum(times > 1) - 1
@@ -156,20 +158,13 @@ def compare(blocks: DataFrame, threshold: float) -> DataFrame:
             yield members[k][3], int(degree[k]), members[label[k]][3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, out = None, [], []
+        out: list[tuple] = []
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[], [], []], (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["sid", "links", "least"])
-        for batch in batches:
-            for leaf, i, j, side, leaves, values, sid, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (leaf, i, j) != key:
-                    if len(members) > 1:
-                        out.extend(told(key, members))
-                    key, members = (leaf, i, j), []
-                members.append((side, leaves, values, sid, copies))
+        for key, members in by_block(batches):
+            out.extend(told(key, members))
             if len(out) > 20_000:
                 yield pack(out)
                 out = []
-        if len(members) > 1:
-            out.extend(told(key, members))
         yield pack(out)
 
     return blocks.mapInArrow(run, "sid binary, links long, least binary")
@@ -213,20 +208,69 @@ def leaf_members(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     return materialize(out.distinct(), "leaves")
 
 
-def unsettled(members: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
-    """Each set's leaves as a sorted list; and the leaves whose members don't all share an earlier one."""
-    listed = materialize(members.groupBy("sid").agg(F.array_sort(F.collect_list("leaf")).alias("leaves")), "leaf-lists")
-    tree = lambda x: F.shiftright(x, 56).cast("int")
-    # One leaf of each tree is enough: a set without one stands apart by its own number.
-    alone = -F.abs(F.xxhash64("sid")) - 1
-    within = lambda t: F.filter("leaves", lambda x: tree(x) == t)
-    firsts = F.array(*(F.coalesce(F.get(within(t), F.lit(0)), alone) for t in range(trees)))
-    wide = members.join(listed.select("sid", firsts.alias("firsts")), "sid")
-    ends = wide.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), *(f(F.get("firsts", F.lit(t))).alias(f"{a}{t}") for t in range(trees) for f, a in ((F.min, "lo"), (F.max, "hi"))))
-    settled = F.lit(False)
-    for t in range(trees):
-        settled = settled | ((F.lit(t) < tree("leaf")) & (F.col(f"lo{t}") == F.col(f"hi{t}")))
-    return listed, materialize(ends.where(~settled).select("leaf", "size"), "leaves-open")
+def in_blocks(members: DataFrame, cells) -> DataFrame:
+    """Members by block (leaf, i, j): the leaf's sets are dealt over cells, and a set meets every cell in the block of the two."""
+    dealt = members.withColumn("cells", F.greatest(F.lit(1), cells.cast("int"))).withColumn("cell", F.pmod(F.xxhash64("sid", "leaf"), "cells").cast("int"))
+    out = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    return out.withColumn("i", F.least("cell", "other")).withColumn("j", F.greatest("cell", "other")).withColumn("side", F.col("cell")).drop("cells", "cell", "other")
+
+
+def grouped(columns: list[list]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows as they come, by their first three values."""
+    key, members = None, []
+    for row in zip(*columns, strict=True):
+        if row[:3] != key:
+            if members:
+                yield key, members
+            key, members = row[:3], []
+        members.append(row[3:])
+    if members:
+        yield key, members
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The blocks of a partition sorted by block, with two members or more."""
+    held_key, held = None, []
+    for batch in batches:
+        for key, members in grouped([c.to_pylist() for c in batch.columns]):
+            if key != held_key:
+                if len(held) > 1:
+                    yield held_key, held
+                held_key, held = key, []
+            held += members
+    if len(held) > 1:
+        yield held_key, held
+
+
+def sketched(blocks: DataFrame, least_share: float) -> DataFrame:
+    """The members of each leaf that agree with another on enough tokens, in a pair that shares no earlier leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["leaf", "sid"])
+        for (leaf, i, j), members in by_block(batches):
+            tokens = np.array([m[2] for m in members], np.int32)
+            earlier = [np.array([x for x in m[1] if x < leaf], np.int64) for m in members]
+            side = np.array([m[0] for m in members])
+            shared = intersections(earlier) > 0 if len(members) > 2 else None
+            hit = np.zeros(len(members), bool)
+            for lo in range(0, len(members), 64):
+                near = (tokens[lo : lo + 64, None, :] == tokens).sum(axis=2) >= least_share * tokens.shape[1]
+                near[np.arange(near.shape[0]), np.arange(lo, lo + near.shape[0])] = False
+                if shared is not None:
+                    near &= ~shared[lo : lo + 64]
+                elif set(earlier[0].tolist()) & set(earlier[1].tolist()):
+                    near[:] = False
+                if i != j:
+                    near &= side[lo : lo + 64, None] != side
+                hit[lo : lo + 64] |= near.any(axis=1)
+            out += [(leaf, members[k][3]) for k in np.flatnonzero(hit)]
+            if len(out) > 20_000:
+                yield pack(out)
+                out = []
+        yield pack(out)
+
+    return blocks.mapInArrow(run, "leaf long, sid binary")
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.999999) -> DataFrame:
@@ -240,23 +284,26 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = df.sparkSession
     small_batches(spark, 128)
-    trees = n_runs(threshold, recall) * CHOSEN
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.substring(F.sha2(text_bytes(text_col), 256), 1, 32)).alias("tid"), text_bytes(text_col).alias("body"))
     rows = materialize(describe(docs, width), "sets-rows")
     sets = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = materialize(sets, "sets")
     members = leaf_members(sets, threshold, recall)
-    listed, leaves = unsettled(members, trees)
-    chosen = materialize(members.join(leaves, "leaf").join(sets.select("sid", "n", "copies"), "sid"), "leaf-members")
+    listed = materialize(members.groupBy("sid").agg(F.array_sort(F.collect_list("leaf")).alias("leaves")), "leaf-lists")
+    # Tokens are compared before shingles are fetched. A pair at the threshold agrees on half of the
+    # tokens or fewer with a chance of less than 1e-7, far below what the runs miss.
+    sizes = materialize(members.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")), "leaf-sizes")
+    blocks = in_blocks(members.join(sizes, "leaf"), F.ceil(F.col("size") / BLOCK_SETS))
+    packed = sets.select("sid", "sketch").join(listed, "sid")
+    blocks = blocks.join(packed, "sid").select("leaf", "i", "j", "side", "leaves", "sketch", "sid")
+    chosen = sketched(blocks.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j"), threshold - 0.3)
+    chosen = materialize(chosen.distinct().join(sets.select("sid", "n", "copies"), "sid"), "leaf-members")
     wanted = materialize(chosen.select("sid").distinct().join(sets.select("sid", "tid"), "sid"), "sets-wanted")
     texts = docs.select("tid", "body").join(wanted, "tid").groupBy("sid").agg(F.first("body").alias("body"))
     values = materialize(shingle_rows(texts, width), "sets-shingles")
-    weights = chosen.groupBy("leaf").agg(F.sum("n").alias("weight"))
-    cells = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    placed = chosen.join(weights, "leaf").withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("sid", "leaf"), "cells").cast("int"))
-    # A set meets every cell of its leaf, in the block of the two cells.
-    blocks = placed.select("leaf", "sid", "copies", "cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
-    blocks = blocks.select("leaf", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), F.col("cell").alias("side"), "sid", "copies")
+    weights = materialize(chosen.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")), "leaf-weights")
+    cells = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("weight") / BLOCK_SHINGLES))
+    blocks = in_blocks(chosen.join(weights, "leaf"), cells).select("leaf", "i", "j", "side", "sid", "copies")
     full = blocks.join(listed, "sid").join(values, "sid").select("leaf", "i", "j", "side", "leaves", "shingles", "sid", "copies")
     found = compare(full.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j"), threshold)
     found = materialize(found, "sets-links")
