@@ -299,12 +299,13 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = sketched(blocks.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j"), threshold - 0.3)
     chosen = materialize(chosen.distinct().join(sets.select("sid", "n", "copies"), "sid"), "leaf-members")
     wanted = materialize(chosen.select("sid").distinct().join(sets.select("sid", "tid"), "sid"), "sets-wanted")
-    texts = docs.select("tid", "body").join(wanted, "tid").groupBy("sid").agg(F.first("body").alias("body"))
+    # Merged at every size: the plan at 100 TB is the one that small inputs test.
+    texts = docs.select("tid", "body").join(wanted.hint("merge"), "tid").groupBy("sid").agg(F.first("body").alias("body"))
     values = materialize(shingle_rows(texts, width), "sets-shingles")
     weights = materialize(chosen.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")), "leaf-weights")
     cells = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("weight") / BLOCK_SHINGLES))
     blocks = in_blocks(chosen.join(weights, "leaf"), cells).select("leaf", "i", "j", "side", "sid", "copies")
-    full = blocks.join(listed, "sid").join(values, "sid").select("leaf", "i", "j", "side", "leaves", "shingles", "sid", "copies")
+    full = blocks.join(listed.hint("merge"), "sid").join(values.hint("merge"), "sid").select("leaf", "i", "j", "side", "leaves", "shingles", "sid", "copies")
     found = compare(full.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j"), threshold)
     found = materialize(found, "sets-links")
     degree = found.groupBy("sid").agg(F.sum("links").alias("links"))
