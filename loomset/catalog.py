@@ -1,6 +1,373 @@
-"""The queries of the captioned-dataset operators, and their SQL."""
+"""The queries of the captioned-dataset operators on the driver's tables, and their SQL.
+
+Stand-ins: documents are prose captions, parts are tag captions, labels are sidecars, embeddings are
+scored labels and 8 x 8 grids of luminance, parts' numbers are image sizes.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomset.functions import text as T
+from loomset.operators import dedupe, export, lint, quality, stats, tags
+from loomset.plans import shots
+from loomset.streaming.incremental import caption_stream
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+TRIGGER = "the"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("image"), F.col("text").alias("caption"), "lang")
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("image"), F.concat_ws(", ", "p_name", "p_brand", "p_type").alias("caption"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("idx", "v"))
+    category = F.when(F.col("idx") % 8 == 7, 9).when(F.col("idx") % 4 == 1, 4).when(F.col("idx") % 16 == 2, 7).otherwise(0)
+    return rows.select(F.col("vec_id").alias("image"), "idx", F.concat(F.lit("tag_"), F.col("idx").cast("string")).alias("name"), category.alias("category"), ((F.col("v").cast("double") + 1) / 2).alias("prob"))
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: (v.cast("double") + 1) * 127.5).alias("grid"))
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    return part.select("p_partkey", (F.col("p_size") * 32 + 64).cast("int").alias("w"), (F.col("p_partkey") % 37 * 40 + 100).cast("int").alias("h"), (F.col("p_partkey") % 3 > 0).alias("has_caption"))
+
+
+def _sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _t(spark, sf_dir, "documents").select("doc_id", "source"), _t(spark, sf_dir, "labels").select("doc_id", "quality")
+    return docs.join(labels, "doc_id", "left").select("doc_id", "source", F.when(F.col("quality") == 1, "yes").when(F.col("quality") == 0, " ").alias("caption"))
+
+
+WS = r"[\s\x0b\x0c\x1c-\x1f]+"
+WORDS = "list_filter(regexp_split_to_array({c}, '" + WS + "'), lambda x: x <> '')"
+
+
+def w(c: str) -> str:
+    return WORDS.format(c=c)
+
+
+def norm(c: str) -> str:
+    return f"lower(array_to_string({w(c)}, ' '))"
+
+
+PROSE = "p AS (SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS image, text AS caption, lang FROM documents)"
+TAGGED = "p AS (SELECT p_partkey AS ord, CAST(p_partkey AS VARCHAR) AS image, concat_ws(', ', p_name, p_brand, p_type) AS caption FROM part)"
+TOKENS = f"(CAST(ceil(len({w('caption')}) * CAST(1.3 AS DOUBLE)) AS BIGINT) + (length(caption) - length(replace(caption, ',', ''))) + 2)"
+FLAGS = f"f AS (SELECT *, {norm('caption')} AS norm, len({w('caption')}) AS nw FROM p), g AS (SELECT *, norm = '' AS empty, norm <> '' AND nw < 2 AS short, norm <> '' AND NOT starts_with(norm, '{TRIGGER}') AS missing_trigger FROM f)"
+GROUPS = "d AS (SELECT min(ord) AS first_ord, count(*) AS n, norm FROM g WHERE norm <> '' GROUP BY norm HAVING count(*) > 1)"
+
+
+@query(f"WITH {PROSE}, {FLAGS}, {GROUPS} SELECT count(*) AS total, count(*) FILTER (WHERE empty) AS n_empty, count(*) FILTER (WHERE short) AS n_short, count(*) FILTER (WHERE missing_trigger) AS n_missing_trigger, CAST(0 AS BIGINT) AS n_too_long, (SELECT count(*) FROM d) AS n_dup_groups, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM d) AS n_dup_rows, count(*) FILTER (WHERE empty OR short OR missing_trigger) + (SELECT count(*) FROM d) = 0 AS clean FROM g")
+def caption_lint_summary(spark, sf_dir):
+    return lint.summary(_prose(spark, sf_dir), trigger=TRIGGER)
+
+
+@query(f"WITH {PROSE}, {FLAGS} SELECT 'empty' AS \"check\", ord, image FROM g WHERE empty UNION ALL SELECT 'short', ord, image FROM g WHERE short UNION ALL SELECT 'missing_trigger', ord, image FROM g WHERE missing_trigger")
+def caption_lint_findings(spark, sf_dir):
+    return lint.findings(_prose(spark, sf_dir), trigger=TRIGGER)
+
+
+@query(f"WITH {PROSE}, {FLAGS}, {GROUPS} SELECT first_ord, n, CASE WHEN length(norm) <= 60 THEN norm ELSE left(norm, 57) || '…' END AS preview FROM d")
+def duplicate_caption_groups(spark, sf_dir):
+    return lint.duplicate_groups(_prose(spark, sf_dir))
+
+
+def _kind_sql(source: str, by: str) -> str:
+    return f"WITH {source}, s AS (SELECT {by} unnest(string_split(caption, ',')) AS seg FROM p), n AS (SELECT {by} len({w('seg')}) AS k FROM s) SELECT {by} (SELECT count(*) FROM p{' q WHERE q.lang = n.lang' if by else ''}) AS n, count(*) AS segments, CAST(sum(k) AS BIGINT) AS words, avg(k) <= 3.0 AS tags, CASE WHEN avg(k) <= 3.0 THEN 'tags' ELSE 'prose' END AS kind FROM n WHERE k > 0{' GROUP BY lang' if by else ''}"
+
+
+@query(_kind_sql(PROSE, "lang,"))
+def caption_kind(spark, sf_dir):
+    return lint.segment_stats(_prose(spark, sf_dir), ["lang"])
+
+
+@query(_kind_sql(TAGGED, ""))
+def caption_kind_of_tags(spark, sf_dir):
+    return lint.segment_stats(_tagged(spark, sf_dir))
+
+
+FREQ = f"t AS (SELECT DISTINCT ord, {norm('seg')} AS tag FROM (SELECT ord, unnest(string_split(caption, ',')) AS seg FROM p)), q AS (SELECT tag, count(*) AS n FROM t WHERE tag <> '' GROUP BY tag)"
+
+
+@query(f"WITH {TAGGED}, {FREQ} SELECT tag, n FROM q")
+def tag_frequency(spark, sf_dir):
+    return lint.tag_frequency(_tagged(spark, sf_dir))
+
+
+@query(f"WITH {TAGGED}, {FREQ} SELECT tag, n FROM q WHERE n >= greatest(2, ceil((SELECT count(*) FROM p) * CAST(0.02 AS DOUBLE)))")
+def ubiquitous_tags(spark, sf_dir):
+    return lint.ubiquitous_tags(_tagged(spark, sf_dir), share=0.02)
+
+
+def _gated_sql(source: str) -> str:
+    return f"WITH {source}, {FLAGS}, {FREQ}, n AS (SELECT len({w('seg')}) AS k FROM (SELECT unnest(string_split(caption, ',')) AS seg FROM p)), a AS (SELECT avg(k) <= 3.0 AS tags FROM n WHERE k > 0) SELECT count(*) AS total, count(*) FILTER (WHERE empty) AS n_empty, count(*) FILTER (WHERE short) AS n_short, CAST(0 AS BIGINT) AS n_missing_trigger, count(*) FILTER (WHERE {TOKENS} > 77 AND (SELECT tags FROM a)) AS n_too_long, (SELECT count(*) FROM q WHERE (SELECT tags FROM a) AND n >= greatest(2, ceil((SELECT count(*) FROM p) * CAST(0.9 AS DOUBLE)))) AS n_ubiquitous, (SELECT tags FROM a) AS tags FROM g"
+
+
+@query(_gated_sql(TAGGED))
+def analyze_gated_tags(spark, sf_dir):
+    return lint.gated(_tagged(spark, sf_dir))
+
+
+@query(_gated_sql(PROSE))
+def analyze_gated_prose(spark, sf_dir):
+    return lint.gated(_prose(spark, sf_dir))
+
+
+@query(f"WITH {PROSE} SELECT ord, {TOKENS} AS tokens FROM p")
+def clip_token_estimate(spark, sf_dir):
+    return _prose(spark, sf_dir).select("ord", T.clip_tokens(F.col("caption")).alias("tokens"))
+
+
+def _raw_output() -> Column:
+    k = F.col("turn") % 3
+    return F.when(k == 0, F.concat(F.lit("<think>a\nb</think> Here is "), F.col("text"))).when(k == 1, F.concat(F.lit('Caption: "'), F.col("text"), F.lit('"'))).otherwise(F.concat(F.lit("Sure,  "), F.col("text")))
+
+
+@query(
+    f"""WITH r AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '<think>a' || chr(10) || 'b</think> Here is ' || text WHEN 1 THEN 'Caption: "' || text || '"' ELSE 'Sure,  ' || text END AS raw FROM conversations),
+    a AS (SELECT conv_id, turn, array_to_string({w("regexp_replace(raw, '<think>.*?</think>', '', 'gs')")}, ' ') AS t FROM r)
+    SELECT conv_id, turn, trim(trim(regexp_replace(t, '^(here is|here''s|caption:|tags:|sure[,!.]?)\\s*', '', 'i')), '"') AS cleaned FROM a"""
+)
+def clean_output(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", T.clean_output(_raw_output()).alias("cleaned"))
+
+
+TAGLIST = f"list_filter(list_transform(string_split(upper(caption) || '., ' || caption, ','), lambda x: lower(array_to_string({w('trim(array_to_string(' + w('x') + ', chr(32)), chr(46))')}, ' '))), lambda x: x <> '')"
+DEDUP = "list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+
+
+@query(f"WITH {TAGGED}, l AS (SELECT ord, {TAGLIST} AS l FROM p), d AS (SELECT ord, list_filter({DEDUP.format(l='l')}, lambda x: x <> 'brand#1') AS t FROM l) SELECT ord, array_to_string(list_concat(['Brand#1'], t), ', ') AS caption FROM d")
+def finalize_tags(spark, sf_dir):
+    p = _tagged(spark, sf_dir)
+    return p.select("ord", T.finalize_tags(F.concat(F.upper("caption"), F.lit("., "), F.col("caption")), "Brand#1").alias("caption"))
+
+
+@query("SELECT doc_id, CASE WHEN starts_with(lower(t), 'zq style') THEN t WHEN t = '' THEN 'zq style' ELSE 'zq style, ' || CASE WHEN starts_with(t, 'Ana') THEN t ELSE lower(left(t, 1)) || substr(t, 2) END END AS caption FROM (SELECT doc_id, text AS t FROM documents)")
+def finalize_prose(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.finalize_prose(F.col("text"), "zq style", "Ana Nova", ("qqzz",)).alias("caption"))
+
+
+@query(f"WITH {TAGGED} SELECT ord, array_to_string(list_filter(list_filter(list_transform(string_split(caption, ','), lambda x: trim(x)), lambda x: x <> ''), lambda x, i: i = 1 OR replace(lower(x), '_', ' ') NOT IN ('brand#11', 'promo', 'economy')), ', ') AS caption FROM p")
+def drop_tags(spark, sf_dir):
+    return _tagged(spark, sf_dir).select("ord", T.drop_tags(F.col("caption"), T.parse_drop_list("Brand#11., PROMO\neconomy"), "tags").alias("caption"))
+
+
+@query(f"WITH {TAGGED} SELECT ord, 'score_9, ' || caption || ', end' AS tags, 'score_9 ' || caption || ' end' AS prose FROM p")
+def affixes(spark, sf_dir):
+    c = F.col("caption")
+    return _tagged(spark, sf_dir).select("ord", T.affixes(c, " score_9,", ",end ", "tags").alias("tags"), T.affixes(c, "score_9", "end", "prose").alias("prose"))
+
+
+LABELS = "l AS (SELECT vec_id AS image, i - 1 AS idx, 'tag_' || (i - 1) AS name, CASE WHEN (i - 1) % 8 = 7 THEN 9 WHEN (i - 1) % 4 = 1 THEN 4 WHEN (i - 1) % 16 = 2 THEN 7 ELSE 0 END AS category, (CAST(embedding[i] AS DOUBLE) + 1) / 2 AS prob FROM embeddings, range(1, 65) r(i))"
+
+
+@query(f"WITH {LABELS}, s AS (SELECT *, CASE WHEN category = 0 AND prob >= 0.6 THEN 0 WHEN category = 4 AND prob >= 0.65 THEN 1 END AS rk FROM l) SELECT image, string_agg(name, ',' ORDER BY rk, prob DESC, idx) AS tags FROM s WHERE rk IS NOT NULL GROUP BY image")
+def select_tags(spark, sf_dir):
+    return tags.select_tags(_labels(spark, sf_dir), 0.6, 0.65).select("image", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {LABELS} SELECT image, name AS rating FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY prob DESC, idx) AS rn FROM l WHERE category = 9) WHERE rn = 1")
+def select_rating(spark, sf_dir):
+    return tags.select_rating(_labels(spark, sf_dir))
+
+
+@query(f"WITH {LABELS}, s AS (SELECT *, CASE WHEN category = 0 AND prob >= 0.6 THEN 0 WHEN category = 4 AND prob >= 0.65 THEN 1 END AS rk FROM l), a AS (SELECT image, rk, prob, idx, name FROM s WHERE rk IS NOT NULL UNION ALL SELECT image, 2, 0, 0, name FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY prob DESC, idx) AS rn FROM l WHERE category = 9) WHERE rn = 1) SELECT image, string_agg(replace(name, '_', ' '), ', ' ORDER BY rk, prob DESC, idx) AS caption FROM a GROUP BY image")
+def tag_captions(spark, sf_dir):
+    return tags.tag_captions(_labels(spark, sf_dir), 0.6, 0.65, rating=True)
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '^_^' ELSE replace(replace(p_name, ' ', '_'), '_', ' ') END AS tag, coalesce(nullif(trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'character') AS slug, CASE p_partkey % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' WHEN 2 THEN '.webp' ELSE '.png' END AS suffix FROM part")
+def tag_slug_suffix(spark, sf_dir):
+    key = F.col("p_partkey")
+    raw = F.when(key % 5 == 0, "^_^").otherwise(F.replace("p_name", F.lit(" "), F.lit("_")))
+    suffix = F.when(key % 4 == 0, ".JPEG").when(key % 4 == 1, "").when(key % 4 == 2, ".WebP").otherwise(".PNG")
+    return _t(spark, sf_dir, "part").select("p_partkey", T.format_tag(raw).alias("tag"), T.slugify(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"), T.normalize_suffix(suffix).alias("suffix"))
+
+
+SIDECARS = "s AS (SELECT d.doc_id, source, CASE quality WHEN 1 THEN 'ready' WHEN 0 THEN 'empty' ELSE 'missing' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+@query(f"WITH {SIDECARS} SELECT doc_id, status FROM s")
+def sidecar_status(spark, sf_dir):
+    return _sidecars(spark, sf_dir).select("doc_id", export.status(F.col("caption")).alias("status"))
+
+
+@query(f"WITH {SIDECARS} SELECT count(*) FILTER (WHERE status = 'ready') AS n_ready, count(*) FILTER (WHERE status = 'empty') AS n_empty, count(*) FILTER (WHERE status = 'missing') AS n_missing FROM s")
+def export_counts(spark, sf_dir):
+    return export.counts(sidecar_status(spark, sf_dir))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def skip_existing(spark, sf_dir):
+    return export.without_done(_t(spark, sf_dir, "documents").select("doc_id", "source"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(f"WITH {SIDECARS}, n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS number FROM s WHERE status = 'ready') SELECT doc_id, number, CASE WHEN number < 10 THEN '0' ELSE '' END || number || '.png' AS file_name FROM n")
+def export_numbering(spark, sf_dir):
+    ready = _sidecars(spark, sf_dir).where(export.status(F.col("caption")) == "ready").select("doc_id")
+    return export.numbered(ready, "doc_id").select("doc_id", "number", export.file_name(F.col("number"), F.lit(".png")).alias("file_name"))
+
+
+SIZES = "z AS (SELECT p_partkey, CAST(p_size * 32 + 64 AS INT) AS w, CAST(p_partkey % 37 * 40 + 100 AS INT) AS h, p_partkey % 3 > 0 AS has_caption FROM part)"
+
+
+@query(f"WITH {SIZES} SELECT count(*) AS n_images, count(*) FILTER (WHERE has_caption) AS n_captioned, coalesce(min(greatest(w, h)), 0) AS min_long_side, coalesce(max(greatest(w, h)), 0) AS max_long_side, CAST(greatest(1000, least(4000, count(*) * 75)) AS BIGINT) AS suggested_steps, CAST(greatest(1, round_even(400.0 / count(*), 0)) AS BIGINT) AS num_repeats FROM z")
+def dataset_stats(spark, sf_dir):
+    return stats.dataset_stats(_sizes(spark, sf_dir))
+
+
+@query(f"WITH {SIZES}, k(rk, label, r) AS (VALUES (0, '3:2', CAST(1.5 AS DOUBLE)), (1, '4:3', CAST(4 AS DOUBLE) / 3), (2, '16:9', CAST(16 AS DOUBLE) / 9), (3, '2:3', CAST(2 AS DOUBLE) / 3), (4, '3:4', CAST(0.75 AS DOUBLE)), (5, '9:16', CAST(9 AS DOUBLE) / 16)), n AS (SELECT p_partkey, CASE WHEN w = h THEN 'square' ELSE label END AS aspect, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(CAST(w AS DOUBLE) / h - r), rk) AS rn FROM z, k) SELECT aspect, count(*) AS n FROM n WHERE rn = 1 GROUP BY aspect")
+def aspect_histogram(spark, sf_dir):
+    return stats.aspect_histogram(_sizes(spark, sf_dir))
+
+
+@query(f"WITH {SIZES} SELECT p_partkey, array_to_string(CASE WHEN len(b) = 0 THEN [896] ELSE list_sort(b) END, ',') AS buckets FROM (SELECT p_partkey, list_filter([512, 768, 896], lambda x: x <= least(896, greatest(w, h))) AS b FROM z)")
+def bucket_ladder(spark, sf_dir):
+    return _sizes(spark, sf_dir).select("p_partkey", F.array_join(stats.buckets(F.lit(896), F.greatest("w", "h")), ",").alias("buckets"))
+
+
+BITS = "h AS (SELECT vec_id, CAST(sum(CASE WHEN embedding[r * 8 + c + 1] < embedding[r * 8 + c + 2] THEN CAST(1 AS BIGINT) << CAST(55 - (r * 7 + c) AS BIGINT) ELSE 0 END) AS BIGINT) AS hash FROM embeddings, range(0, 8) a(r), range(0, 7) b(c) GROUP BY vec_id)"
+
+
+def _hashes(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), dedupe.difference_hash(F.col("embedding"), 8, 8).alias("hash"))
+
+
+@query(f"WITH {BITS} SELECT vec_id AS ord, hash FROM h")
+def difference_hash(spark, sf_dir):
+    return _hashes(spark, sf_dir)
+
+
+@query(f"WITH {BITS} SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.hash, b.hash)) <= 12")
+def near_duplicate_pairs(spark, sf_dir):
+    return dedupe.near_pairs(_hashes(spark, sf_dir), 12, 56)
+
+
+@query()
+def near_duplicate_groups(spark, sf_dir):
+    return dedupe.near_groups(_hashes(spark, sf_dir), 14, 56)
+
+
+GRID = "g AS (SELECT vec_id, i, (CAST(embedding[i + 1] AS DOUBLE) + 1) * 127.5 AS v FROM embeddings, range(0, 64) r(i))"
+
+
+@query(f"WITH {GRID}, m AS (SELECT vec_id, avg(v) AS mean, stddev_pop(v) AS std FROM g GROUP BY vec_id) SELECT vec_id, round(mean, 6) AS mean, round(std, 6) AS std, concat_ws(', ', CASE WHEN mean <= 120 THEN 'dark' WHEN mean >= 135 THEN 'bright' END, CASE WHEN std <= 60 THEN 'low contrast' END) AS flags FROM m")
+def exposure_flags(spark, sf_dir):
+    g = _grid(spark, sf_dir).withColumns({"mean": quality.mean_luminance(F.col("grid")), "std": quality.contrast(F.col("grid"))})
+    return g.select("vec_id", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.array_join(quality.exposure_flags(F.col("mean"), F.col("std"), 120, 135, 60), ", ").alias("flags"))
+
+
+def _laplace(where: str) -> str:
+    at = lambda r, c: f"JOIN g {{0}} ON {{0}}.vec_id = x.vec_id AND {{0}}.i = {r} * 8 + {c}"
+    near = [("u", at("((x.i // 8 + 7) % 8)", "(x.i % 8)")), ("d", at("((x.i // 8 + 1) % 8)", "(x.i % 8)")), ("l", at("(x.i // 8)", "((x.i % 8 + 7) % 8)")), ("q", at("(x.i // 8)", "((x.i % 8 + 1) % 8)"))]
+    return f"WITH {GRID} SELECT x.vec_id, round(var_pop(u.v + d.v + l.v + q.v - 4 * x.v), 4) AS score FROM g x {' '.join(t.format(n) for n, t in near)} {where} GROUP BY x.vec_id"
+
+
+@query(_laplace("WHERE x.i // 8 BETWEEN 1 AND 6 AND x.i % 8 BETWEEN 1 AND 6"))
+def laplacian_valid(spark, sf_dir):
+    return _grid(spark, sf_dir).select("vec_id", F.round(quality.laplacian_valid(F.col("grid"), 8, 8), 4).alias("score"))
+
+
+@query(_laplace(""))
+def laplacian_wrap(spark, sf_dir):
+    return _grid(spark, sf_dir).select("vec_id", F.round(quality.laplacian_wrap(F.col("grid"), 8, 8), 4).alias("score"))
+
+
+@query(f"WITH {GRID} SELECT vec_id, CAST(min(i // 8) AS BIGINT) AS top, CAST(min(i % 8) AS BIGINT) AS \"left\", CAST(max(i // 8) + 1 AS BIGINT) AS bottom, CAST(max(i % 8) + 1 AS BIGINT) AS \"right\" FROM g WHERE abs(v - 127.5) > 30 GROUP BY vec_id")
+def content_box(spark, sf_dir):
+    box = quality.content_box(F.col("grid"), 8, 127.5, 30.0)
+    return _grid(spark, sf_dir).select("vec_id", box.alias("box")).where("box IS NOT NULL").select("vec_id", *(F.col(f"box.{c}").cast("long").alias(c) for c in ("top", "left", "bottom", "right")))
+
+
+@query(f"WITH {SIZES} SELECT p_partkey, CASE WHEN greatest(w, h) < 800 THEN 'long side ' || greatest(w, h) || 'px < target 800px' WHEN p_partkey % 2 = 0 THEN 'lossy source format' WHEN p_partkey % 5 < 2 THEN 'low sharpness (blur/grain)' ELSE '' END AS reason, CAST(round_even(w * (CAST(800 AS DOUBLE) / greatest(w, h)), 0) AS INT) AS new_w, CAST(round_even(h * (CAST(800 AS DOUBLE) / greatest(w, h)), 0) AS INT) AS new_h FROM z")
+def restore_and_resize(spark, sf_dir):
+    z, key = _sizes(spark, sf_dir), F.col("p_partkey")
+    new_w, new_h = quality.resized(F.col("w"), F.col("h"), 800)
+    ext, sharp = F.when(key % 2 == 0, ".JPG").otherwise(".png"), F.when(key % 5 < 2, 119.0).otherwise(120.0)
+    return z.select("p_partkey", quality.restore_reason(F.greatest("w", "h"), ext, sharp, 800).alias("reason"), new_w.alias("new_w"), new_h.alias("new_h"))
+
+
+@query("SELECT c.conv_id, c.turn, p.role AS parent_role, CASE WHEN c.turn > 0 THEN 1 ELSE 0 END AS wave FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1")
+def chain_lookup(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    name = lambda t: F.concat(F.col("conv_id").cast("string"), F.lit("/"), t.cast("string"))
+    todo = c.select("conv_id", "turn", name(F.col("turn")).alias("id"), F.when(F.col("turn") > 0, name(F.col("turn") - 1)).otherwise("").alias("chain_from"))
+    done = c.select(name(F.col("turn")).alias("id"), F.col("role").alias("path"))
+    return shots.chained(todo, done).select("conv_id", "turn", F.col("parent_path").alias("parent_role"), "wave")
+
+
+@query("SELECT o_orderkey, o_orderstatus, 'old' AS origin FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'R', 'new' FROM orders WHERE o_orderkey % 3 = 0")
+def upsert_results(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    redone = orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("R").alias("o_orderstatus"), F.lit("new").alias("origin"))
+    return export.upsert(orders.withColumn("origin", F.lit("old")), redone, "o_orderkey")
+
+
+@query("SELECT event_type AS model, count(*) AS n, round(count(*) * CASE event_type WHEN 'click' THEN 0.0007 WHEN 'view' THEN 0.0002 ELSE 0.001 END, 6) AS cost FROM events GROUP BY event_type")
+def caption_cost(spark, sf_dir):
+    return export.priced(_t(spark, sf_dir, "events"), "event_type", {"click": 0.0007, "view": 0.0002}, 0.001).withColumn("cost", F.round("cost", 6))
+
+
+@query("WITH b AS (SELECT user_id, 0 AS part, min(event_id) AS spot FROM events WHERE event_type = 'view' GROUP BY user_id UNION ALL SELECT user_id, 1, min(event_id) FROM events WHERE event_type = 'purchase' GROUP BY user_id) SELECT user_id, part, spot FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY part) AS rn FROM b) WHERE rn = 1")
+def merge_carry(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return export.ordered_union(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id", "event_id").withColumnRenamed("at", "spot")
+
+
+@query("SELECT conv_id, turn, coalesce(lag(turn) OVER w, turn) AS prev, coalesce(lead(turn) OVER w, turn) AS next, row_number() OVER w AS position, count(*) OVER (PARTITION BY conv_id) AS \"of\" FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def prev_next_position(spark, sf_dir):
+    return export.neighbours(_t(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'a pose' ELSE 'wearing ' || p_type END || CASE WHEN p_size % 2 = 0 THEN ', wearing ' || p_type ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ', without any bags or carried accessories' END AS local_prompt, 'A shot, wearing ' || p_type || '. Keep the same face. Show only the character and the clothing worn on their body — do not include any backpacks, bags, straps, held objects, tools, props, or accessories that appear in the reference image.' AS cloud_prompt FROM part")
+def shot_prompts(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    plan = part.select(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_partkey") % 3 == 0, "angle").otherwise("pose").alias("kind"), F.when(F.col("p_size") % 2 == 0, "a pose").otherwise(F.concat(F.lit("wearing "), F.col("p_type"))).alias("local_prompt"), F.lit("A shot. Keep the same face.").alias("cloud_prompt"), F.col("p_type").alias("outfit"))
+    done = shots.without_props(shots.with_wardrobe(shots.clean_plan(plan)))
+    return done.select(F.col("id").cast("long").alias("p_partkey"), "local_prompt", "cloud_prompt")
+
+
+@query()
+def random_outfits(spark, sf_dir):
+    return shots.random_outfits(spark, 24, 7)
+
+
+@query()
+def incremental_caption(spark, sf_dir):
+    """Captions of all documents by micro-batches; equal to ``finalize_prose`` in one batch."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomset-stream-")
+    home = f"{base}/captions-{uuid.uuid4().hex[:12]}"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _t(spark, sf_dir, "documents").schema)
+    step = lambda batch: batch.select("doc_id", T.finalize_prose(F.col("text"), "zq style", "Ana Nova", ("qqzz",)).alias("caption"))
+    # A pattern finds the table whether it is one file or a folder of them.
+    run = caption_stream(spark, f"{sf_dir}/documents.parquet*", schema, step, f"{home}/out", f"{home}/state")
+    run.awaitTermination()
+    return spark.read.parquet(f"{home}/out").select("doc_id", "caption")
+

@@ -88,7 +88,7 @@ def drop_tags(c: Column, drop: list[str], style: str) -> Column:
     """Without the listed tags; the first tag always stays; prose and an empty list change nothing."""
     if not drop or style not in ("tags", "e621"):
         return empty(c)
-    parts = F.filter(F.transform(F.split(empty(c), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(empty(c), ","), lambda x: F.trim(x)), lambda x: x != "")
     kept = F.filter(parts, lambda x, i: (i == 0) | ~F.replace(F.lower(x), F.lit("_"), F.lit(" ")).isin(drop))
     return F.array_join(kept, ", ")
 
@@ -110,7 +110,7 @@ def normalize_suffix(c: Column) -> Column:
 
 
 def terms(c: Column) -> Column:
-    return F.filter(F.transform(F.split(empty(c), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(empty(c), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def mask(c: Column) -> Column:
