@@ -1,0 +1,167 @@
+import collections
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+
+from loomset.llm import audio_features, graph, jaccard_join, mixing, suffix_dedup, warc_archive
+
+
+def brute_cut(texts, size):
+    seen = collections.Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
+    for t in texts:
+        hit = bytearray(len(t))
+        for i in range(len(t) - size + 1):
+            if seen[t[i : i + size]] > 1:
+                hit[i : i + size] = b"\1" * size
+        kept = bytes(b for b, x in zip(t, hit) if not x)
+        yield len(t), sum(hit), sum(hit[i] and not (i and hit[i - 1]) for i in range(len(hit))), hashlib.sha256(kept).hexdigest()
+
+
+def test_suffix_dedup_against_brute_force(spark, docs):
+    rnd = random.Random(3)
+    base = "".join(rnd.choice("ab ") for _ in range(2500))
+    texts = [base, base[:1200] + "X" + base[1200:], base[700:1300], "a" * 1200, "a" * 900 + base[100:505], None, "", "abc" * 300, base[:399], base[5:404] + "é", base[5:404] + "é", "".join(base[i : i + 410] + str(i) for i in range(0, 2000, 100))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256((texts[r.doc_id] or "").encode() if r.kept is None else bytes(r.kept)).hexdigest()) for r in suffix_dedup.suffix_dedup(rows).collect())
+    assert [g[1:] for g in got] == list(brute_cut([(t or "").encode() for t in texts], 400))
+    assert suffix_dedup.suffix_dedup(docs).count() == docs.count() and suffix_dedup.suffix_dedup(docs.limit(0)).collect() == []
+
+
+def test_suffix_dedup_by_words(spark):
+    passage = " ".join(f"p{i}" for i in range(55))
+    rows = spark.createDataFrame([(1, f"alpha {passage} beta"), (2, f"gamma\n{passage.replace(' ', '  ')}\tdelta"), (3, " ".join(f"p{i}" for i in range(49)))], "doc_id long, text string")
+    got = {r.doc_id: r.kept and bytes(r.kept).decode() for r in suffix_dedup.suffix_dedup(rows, unit="words", threshold=50).collect()}
+    assert got == {1: "alpha beta", 2: "gamma\ndelta", 3: None}
+
+
+def brute_classes(texts, width=5, least=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().split()
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    links, root = [0] * len(sets), list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least - 1e-9:
+            links[a] += 1
+            links[b] += 1
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return [(find(i), links[i]) for i in range(len(sets))]
+
+
+def test_jaccard_join_against_brute_force(spark, docs):
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(500)]
+    shared = rnd.choices(vocabulary, k=60)
+    texts = []
+    for _ in range(25):
+        own = rnd.choices(vocabulary, k=rnd.randint(20, 200))
+        for _ in range(rnd.randint(1, 9)):
+            words = list(own)
+            for _ in range(rnd.randint(0, 6)):
+                words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+            texts.append(" ".join(words))
+        texts.append(" ".join(shared + own))
+    texts += [" ".join(f"h{j}" for j in range(150)) + f" end{i}" for i in range(150)]  # a large group of near copies
+    texts += [None, "", "a b", "a b", "a c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(rows).collect()}
+    assert got == dict(enumerate(brute_classes(texts)))
+    assert jaccard_join.jaccard_classes(docs).count() == docs.count() and jaccard_join.jaccard_classes(docs.limit(0)).collect() == []
+
+
+def test_blocks_of_a_leaf_find_the_same_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 16)
+    texts = [" ".join(f"h{j}" for j in range(150)) + f" end{i}" for i in range(120)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(rows).collect()} == {(0, 119)}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 70), (7, 7)]
+    got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert {got[i] for i in range(2, 41)} == {1} and got[100] == got[70] == 50
+    assert graph.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_sainte_lague_is_the_highest_quotients():
+    rnd = np.random.default_rng(4)
+    for _ in range(40):
+        n, seats = int(rnd.integers(1, 9)), int(rnd.integers(0, 60))
+        votes, most = rnd.integers(0, 50, n).astype(float), rnd.integers(0, 25, n)
+        want = np.zeros(n, int)
+        for _ in range(seats):
+            q = np.where((want < most) & (votes > 0), votes / (2 * want + 1), -1)
+            if q.max() < 0:
+                break
+            want[int(q.argmax())] += 1
+        got = mixing.sainte_lague(votes, seats, most)
+        assert got.sum() == want.sum() and np.allclose(sorted(votes / (2 * got + 1)), sorted(votes / (2 * want + 1)))
+
+
+def test_mixing(spark, docs):
+    got = mixing.mix_sources(docs).toPandas()
+    assert len(got) == docs.count() and (got.taken <= 2 * got["size"]).all() and (got.taken >= 0).all()
+    by = got.groupby("source", dropna=False).agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(by.taken - by.target) <= 16).all() and abs(by.target.sum() - 1.5 * by["size"].sum()) < 1e-6
+    again = mixing.mix_sources(docs.repartition(3)).toPandas()
+    key = lambda d: sorted(map(repr, d.itertuples(index=False)))
+    assert key(got) == key(again) and mixing.mix_sources(docs.limit(0)).collect() == []
+    assert mixing.water_fill(np.array([10, 100]), np.array([3.0, 1.0]), 165.0, 2.0).tolist() == [20.0, 145.0]
+
+
+def test_warc_round_trip(spark):
+    rows = spark.createDataFrame([(1, "u", "aa", 1), (2, None, "aa", 1), (3, "x y\r\nEvil: 1", None, 1), (4, "z", "", 1), (5, "q", "b\r\n\r\nc", 1), (5, "q", "b\r\n\r\nc", 1)], "page_id long, url string, html string, payload int")
+    headers, payloads = warc_archive.write_archive(rows)
+    assert payloads.count() == 3 and headers.count() == 6
+    records = warc_archive.read_records(headers, payloads)
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc_archive.verify_records(records).collect()}
+    assert got == {(1, 2, "revisit", 2), (2, 2, "response", None), (3, 0, "revisit", 4), (4, 0, "response", None), (5, 6, "response", None)}
+    fields, _, payload = warc_archive.parse_record(bytes(records.where("page_id = 5").first().record))
+    assert payload == b"b\r\n\r\nc" and fields["WARC-Payload-Digest"] == "sha1:" + warc_archive.base32_sha1(payload)
+    empty = warc_archive.write_archive(rows.limit(0))
+    assert warc_archive.verify_records(warc_archive.read_records(*empty)).collect() == []
+
+
+def test_media(spark, docs):
+    got = audio_features.media_features(audio_features.store_media(docs)).collect()
+    want = collections.Counter()
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        padded = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        want[(r.doc_id, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))] += 1
+    assert collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    for r in got:
+        mels = audio_features.read_tensors(bytes(r.tensors))
+        assert mels.shape[1:] == (16, audio_features.MELS) and all(s.start_s < s.end_s for s in r.spans)
+    by_text = collections.defaultdict(set)
+    for r in got:
+        by_text[r.payload_sha256].add(r.feature)
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_polyphase_resampling_is_filtering_and_decimation():
+    x = np.random.default_rng(1).normal(size=1000).astype(np.float32)
+    for up, down in ((1, 2), (3, 2), (2, 3), (1, 1)):
+        taps = audio_features.phases(up, down)
+        h = np.zeros(audio_features.TAPS * up)
+        for p in range(up):
+            h[p::up] = taps[p][::-1]
+        spread = np.zeros(len(x) * up)
+        spread[::up] = x
+        want = np.convolve(spread, h)[: len(spread)][::down]
+        assert np.allclose(audio_features.resample(x, up, down), want[: len(audio_features.resample(x, up, down))], atol=1e-4)
+
+
+def test_hysteresis():
+    energy = np.array([0, 0, 0, 5, 2, 2, 0, 2, 0, 4, 9, 0, 0, 0], float)
+    assert audio_features.segments(energy) == [(3, 6), (9, 11)]
