@@ -2,7 +2,9 @@
 
 The model's protobuf is parsed and rebuilt as a ``tokenizers.Tokenizer``: its normaliser (identity or
 a precompiled map), the metaspace marker, byte fallback, and for a unigram model its scores, for a
-BPE model the merges that its scores imply. Batches are encoded by the library's threads. Each text's
+BPE model the merges that its scores imply. Where nothing merges across the start of a run of markers,
+texts are cut there, each worker keeps the ids of the pieces it has met, and the rest of a batch goes
+to the library's threads at once; otherwise whole texts do. Each text's
 ids are compared with those of the sentencepiece library (``verify``), and decoded again.
 """
 
@@ -10,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,22 @@ from loomset.llm.common import id_and_bytes, small_batches, table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
+#: Pieces whose ids a worker keeps, about 130 MB.
+ROOM = 600_000
+
+
+def apart(pieces) -> re.Pattern[str]:
+    """Cuts normalised text where no merge can cross: before runs of markers, and around other marks.
+
+    A mark is an ASCII character, not a letter or digit, that stands in no piece beside a character
+    other than marks and the marker before it; so no piece holds both sides of a cut.
+    """
+    beside = {pair for p in pieces if p.type == NORMAL for pair in zip(p.piece, p.piece[1:], strict=False)}
+    marks = {chr(i) for i in range(1, 128) if not chr(i).isalnum()} - {" "}
+    while wrong := {a for a, b in beside if a in marks and b not in marks} | {b for a, b in beside if b in marks and a not in marks and a != MARK}:
+        marks -= wrong
+    own = "".join(map(re.escape, sorted(marks)))
+    return re.compile(f"{MARK}*[{own}]+|{MARK}*[^{MARK}{own}]+|{MARK}+" if own else f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def parse_model(blob: bytes):
@@ -99,14 +119,29 @@ class Codec:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
         self.tokenizer, self.table, self.reference = build_tokenizer(blob), piece_bytes(blob), None
-        self.lead = parse_model(blob).normalizer_spec.add_dummy_prefix
+        norm = parse_model(blob).normalizer_spec
+        self.lead = norm.add_dummy_prefix
+        self.cut = bool(self.tokenizer.pre_tokenizer) and self.lead and not norm.precompiled_charsmap and not norm.remove_extra_whitespaces
+        if self.cut:
+            from tokenizers import Tokenizer
+
+            self.pieces, self.met, self.cuts, self.numbers = Tokenizer(self.tokenizer.model), {}, apart(parse_model(blob).pieces), list(range(len(self.table)))
         if verify:
             import sentencepiece
 
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=blob)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not self.cut:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = [self.cuts.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        met = self.met
+        missing = list(set().union(*parts) - met.keys())
+        if len(met) + len(missing) > ROOM:
+            met.clear()
+            missing = list(set().union(*parts))
+        met.update(zip(missing, (tuple(map(self.numbers.__getitem__, e.ids)) for e in self.pieces.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
+        return [list(chain.from_iterable(map(met.__getitem__, p))) for p in parts]
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.table.__getitem__, ids))
