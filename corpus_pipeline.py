@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = _keyed(docs)
     classes = jaccard_classes(keyed, "row_key")
     kept = materialize(classes.where("class_id = row_key").select("row_key").distinct(), "near-kept")
-    return keyed.join(kept, "row_key", "left_semi").select(*COLUMNS)
+    return keyed.join(kept.hint("merge"), "row_key", "left_semi").select(*COLUMNS)
 
 
 def repeats_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def repeats_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     changed = repeated_windows(docs, "text", unit="words", threshold=50).select("tid", F.col("kept").cast("string").alias("kept"))
     changed = materialize(changed, "repeats-kept")
-    out = docs.withColumn("tid", text_id("text")).join(changed, "tid", "left")
+    out = docs.withColumn("tid", text_id("text")).join(changed.hint("merge"), "tid", "left")
     text = F.coalesce("kept", "text")
     return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast("long").alias("n_chars"))
 
@@ -53,7 +53,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
     taken = mix_sources(keyed, "row_key").groupBy("row_key").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
     taken = materialize(taken.where("taken > 0"), "mix-taken")
-    rows = keyed.join(taken, "row_key").withColumn("time", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    rows = keyed.join(taken.hint("merge"), "row_key").withColumn("time", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     left = F.col("taken") - (F.col("time") - 1) * F.col("size")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, left.cast("int")), " ")
     rows = rows.withColumn("text", F.when(left >= F.col("size"), F.col("text")).otherwise(part))

@@ -55,7 +55,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     # What the write shuffled is of no use any more; Spark removes it once its driver has collected its garbage.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more: all that came from them is a table by now."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm.common import materialize, small_batches, table, text_bytes
+from loomset.llm.common import discard, materialize, small_batches, table, text_bytes
 from loomset.llm.graph import components
 
 #: Tokens chosen at each node: 1 / threshold, rounded up.
@@ -179,11 +179,13 @@ def leaf_members(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     root = lambda t: F.xxhash64(F.lit(t), F.get("sketch", F.lit(t))).bitwiseAND(F.lit(low)).bitwiseOR(F.lit(t << 56))
     at = sets.select("sid", F.explode(F.array(*map(root, range(trees)))).alias("node"))
     leaves: list[DataFrame] = []
+    spent: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
         if depth == 1:
             several = at.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
             several = materialize(several, "paths-several")  # a table of its own, so that the join can split a hot node
             at = materialize(at.join(several, "node"), f"paths-{depth}")
+            spent += [at, several]
         if depth == DEPTH:
             leaves.append(at.select(F.col("node").alias("leaf"), "sid"))
             break
@@ -202,10 +204,13 @@ def leaf_members(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
         leaves.append(large.join(dense, "node", "left_semi").select(F.col("node").alias("leaf"), "sid"))
         split = counted.where("n > 1").join(dense, "node", "left_anti").select("child", F.col("n").alias("size"))
         at = materialize(down.select("sid", "child").join(split, "child").select(F.col("child").alias("node"), "sid", "size"), f"paths-{depth + 1}")
+        spent += [at, down, counted, dense]
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
-    return materialize(out.distinct(), "leaves")
+    out = materialize(out.distinct(), "leaves")
+    discard(*spent)
+    return out
 
 
 def in_blocks(members: DataFrame, cells) -> DataFrame:
@@ -285,9 +290,11 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     small_batches(spark, 128)
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.substring(F.sha2(text_bytes(text_col), 256), 1, 32)).alias("tid"), text_bytes(text_col).alias("body"))
-    rows = materialize(describe(docs, width), "sets-rows")
-    sets = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    described = materialize(describe(docs, width), "sets-described")
+    rows = materialize(described.select("id", "sid"), "sets-rows")
+    sets = described.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = materialize(sets, "sets")
+    discard(described)
     members = leaf_members(sets, threshold, recall)
     listed = materialize(members.groupBy("sid").agg(F.array_sort(F.collect_list("leaf")).alias("leaves")), "leaf-lists")
     # Tokens are compared before shingles are fetched. A pair at the threshold agrees on half of the
@@ -298,6 +305,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = blocks.join(packed, "sid").select("leaf", "i", "j", "side", "leaves", "sketch", "sid")
     chosen = sketched(blocks.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j"), threshold - 0.3)
     chosen = materialize(chosen.distinct().join(sets.select("sid", "n", "copies"), "sid"), "leaf-members")
+    discard(members, sizes)
     wanted = materialize(chosen.select("sid").distinct().join(sets.select("sid", "tid"), "sid"), "sets-wanted")
     # Merged at every size: the plan at 100 TB is the one that small inputs test.
     texts = docs.select("tid", "body").join(wanted.hint("merge"), "tid").groupBy("sid").agg(F.first("body").alias("body"))
@@ -308,11 +316,14 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = blocks.join(listed.hint("merge"), "sid").join(values.hint("merge"), "sid").select("leaf", "i", "j", "side", "leaves", "shingles", "sid", "copies")
     found = compare(full.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j"), threshold)
     found = materialize(found, "sets-links")
+    discard(values, wanted, chosen, weights, listed)
     degree = found.groupBy("sid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("sid").alias("u"), F.col("least").alias("v")))
     named = sets.select("sid", "least_id", "copies").join(roots.withColumnRenamed("u", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
     named = named.join(classes, "root").join(degree, "sid", "left").select("sid", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    named = materialize(named, "sets-named")
+    discard(sets, found)
     out = rows.select("id", "sid").join(named, "sid", "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
 

@@ -89,7 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     small_batches(docs.sparkSession, 128)
     known = labels.where("quality IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "quality-sample-ids")
-    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_bytes(text_col).alias("body")).join(known, "doc_id")
+    # The sample has sample_rows ids at most: small enough to broadcast, whatever the input.
+    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_bytes(text_col).alias("body")).join(F.broadcast(known), "doc_id")
     picked = materialize(picked.dropDuplicates(["doc_id"]), "quality-sample")
     total = picked.agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic")).first()
     if total.n < 20:
@@ -182,8 +183,9 @@ def classify(
     path: Column | None = None,
     quality_limit: float = 0.5,
     toxic_limit: float = 0.5,
+    keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """``df`` with one more column, ``verdict``: struct of ``quality``, ``toxic``, ``host_quality``, ``path_quality`` and ``kept``.
+    """``df``, or its columns ``keep``, with one more column, ``verdict``: struct of ``quality``, ``toxic``, ``host_quality``, ``path_quality`` and ``kept``.
 
     ``host`` and ``path`` are columns of strings, by default the source, and source and language. A
     null site is a site of its own. A null or empty text is judged by its features of form like any
@@ -193,7 +195,7 @@ def classify(
     small_batches(df.sparkSession, 128)
     host = F.col("source").cast("string") if host is None else host
     path = F.concat_ws("/", F.col("source"), F.col("lang")) if path is None else path
-    own = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), host.alias("host"), path.alias("path"), scores(model, text_bytes(text_col)).alias("s"))
+    own = df.select(F.struct(*(F.col(f"`{c}`") for c in keep or df.columns)).alias("row"), host.alias("host"), path.alias("path"), scores(model, text_bytes(text_col)).alias("s"))
     own = materialize(own.select("row", "host", "path", F.col("s.quality").alias("logit_quality"), F.col("s.toxic").alias("logit_toxic")), "quality-scored")
     sites, fixed = site_posteriors(own.drop("row"), "host", "path")
     sites = sites.select(F.col("host").alias("at_host"), F.col("path").alias("at_path"), *[c for c in sites.columns if c not in ("host", "path")])
@@ -217,4 +219,4 @@ def classify(
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return classify(docs.select("doc_id", "text", "source", "lang"), model).select("doc_id", "verdict.*")
+    return classify(docs, model, keep=("doc_id",)).select("doc_id", "verdict.*")

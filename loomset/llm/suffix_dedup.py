@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm.common import materialize, small_batches, table, text_bytes
+from loomset.llm.common import discard, materialize, small_batches, table, text_bytes
 
 #: Windows in a sub-run.
 STEP = 16
@@ -176,14 +176,19 @@ def divide(parts: DataFrame, name: str, last: bool = False) -> tuple[DataFrame,
     twice = parts.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key")
     twice = materialize(twice, f"{name}-twice")  # a table of its own, so that the join can split a hot key
     shared = materialize(parts.join(twice, "key", "left_semi"), f"{name}-shared")
+    discard(twice)
     if last:
         return shared.select("tid", "first", "more"), None
     spans = shared.groupBy("span").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min(F.struct("key", "tid", "first", "more", "anchor")).alias("part"))
     spans = materialize(spans.select("span", F.expr("lo <> hi").alias("settled"), "part.*"), f"{name}-spans")
     repeated = shared.join(spans.where("settled").select("span"), "span", "left_semi").select("tid", "first", "more")
+    repeated = materialize(repeated, f"{name}-repeated")
+    discard(shared)
     going_on = spans.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.every("settled").alias("all_settled")).where("n > 1 AND NOT all_settled").select("key")
     going_on = materialize(going_on, f"{name}-keys")
-    return repeated, spans.join(going_on, "key", "left_semi").select("tid", "first", "more", "anchor")
+    rest = materialize(spans.join(going_on, "key", "left_semi").select("tid", "first", "more", "anchor"), f"{name}-rest")
+    discard(spans, going_on)
+    return repeated, rest
 
 
 def by_text(parts: DataFrame) -> DataFrame:
@@ -238,21 +243,25 @@ def repeated_windows(df: DataFrame, text_col: str = "text", unit: str = "bytes",
     repeated, rest = divide(parts, "suffix-1")
     copies = df.groupBy(text_id(text_col).alias("tid")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tid")
     # A text with copies has no run that is repeated only in it, so its whole spans are added here.
-    copied = parts.join(copies, "tid", "left_semi").select("tid", "first", "more")
-    covered = [materialize(repeated.unionByName(copied), "suffix-cover-1")]
-    rest = materialize(rest, "suffix-rest-1")
+    copied = materialize(parts.join(copies, "tid", "left_semi").select("tid", "first", "more"), "suffix-copied")
+    discard(parts)
+    covered = [repeated.unionByName(copied)]
     needed = materialize(covered[0].select("tid").unionByName(rest.select("tid")).distinct(), "suffix-needed")
     # The texts that any later pass looks at, each once.
-    texts = docs.join(needed, "tid", "left_semi").groupBy("tid").agg(F.first("body").alias("body"))
+    # Merged at every size: the plan at 100 TB is the one that small inputs test.
+    texts = docs.join(needed.hint("merge"), "tid", "left_semi").groupBy("tid").agg(F.first("body").alias("body"))
     texts = materialize(texts, "suffix-texts")
     parts = materialize(next_digit(texts, by_text(rest), unit, threshold, STEP), "suffix-subruns")
     repeated, rest = divide(parts, "suffix-2")
+    discard(parts)
     covered.append(repeated)
     parts = materialize(next_digit(texts, by_text(rest), unit, threshold, 1), "suffix-windows")
     repeated, _ = divide(parts, "suffix-3", last=True)
     covered.append(repeated)
     every = covered[0].unionByName(covered[1]).unionByName(covered[2]).withColumn("anchor", F.lit(0))
-    return materialize(cut_out(texts, by_text(every), unit, threshold), "suffix-cut")
+    out = materialize(cut_out(texts, by_text(every), unit, threshold), "suffix-cut")
+    discard(texts, needed, parts)
+    return out
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "bytes", threshold: int = 400) -> DataFrame:
