@@ -26,8 +26,9 @@ from loomset.llm.common import id_and_bytes, small_batches, table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-#: Pieces whose ids a worker keeps, about 130 MB.
-ROOM = 600_000
+#: Pieces whose ids a worker keeps, about 200 MB.
+ROOM = 1_000_000
+END = "\0"
 
 
 def apart(pieces) -> re.Pattern[str]:
@@ -79,7 +80,7 @@ def build_tokenizer(blob: bytes):
         core = models.Unigram([(p.piece, p.score) for p in model.pieces], unk_id=trainer.unk_id, byte_fallback=trainer.byte_fallback)
     elif trainer.model_type == BPE:
         vocab = {p.piece: i for i, p in enumerate(model.pieces)}
-        core = models.BPE(vocab, implied_merges(model.pieces), unk_token=model.pieces[trainer.unk_id].piece, fuse_unk=True, byte_fallback=trainer.byte_fallback, cache_capacity=200_000)
+        core = models.BPE(vocab, implied_merges(model.pieces), unk_token=model.pieces[trainer.unk_id].piece, fuse_unk=True, byte_fallback=trainer.byte_fallback, cache_capacity=0)
     else:
         raise ValueError(f"model type {trainer.model_type} is neither unigram nor BPE")
     tokenizer = Tokenizer(core)
@@ -123,9 +124,10 @@ class Codec:
         self.lead = norm.add_dummy_prefix
         self.cut = bool(self.tokenizer.pre_tokenizer) and self.lead and not norm.precompiled_charsmap and not norm.remove_extra_whitespaces
         if self.cut:
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, pre_tokenizers
 
             self.pieces, self.met, self.cuts, self.numbers = Tokenizer(self.tokenizer.model), {}, apart(parse_model(blob).pieces), list(range(len(self.table)))
+            self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(END)
         if verify:
             import sentencepiece
 
@@ -136,13 +138,25 @@ class Codec:
             return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         parts = [self.cuts.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         met = self.met
-        missing = list(set().union(*parts) - met.keys())
+        missing = list(dict.fromkeys(p for text in parts for p in text if p not in met))
         if len(met) + len(missing) > ROOM:
             met.clear()
-            missing = list(set().union(*parts))
-        met.update(zip(missing, (tuple(map(self.numbers.__getitem__, e.ids)) for e in self.pieces.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
+            missing = list(dict.fromkeys(p for text in parts for p in text))
+        self.learn(missing)
         return [list(chain.from_iterable(map(met.__getitem__, p))) for p in parts]
 
+    def learn(self, missing: list[str]) -> None:
+        """The ids of new pieces: joined by a character that ends a pre-token, many pieces to an encoding."""
+        plain = [p for p in missing if END not in p]
+        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
+        for group, e in zip(groups, self.pieces.encode_batch([END.join(g) for g in groups], add_special_tokens=False), strict=True):
+            numbers, at = list(map(self.numbers.__getitem__, e.ids)), e.word_ids
+            starts = [i for i in range(len(at)) if i == 0 or at[i] != at[i - 1]] + [len(at)]
+            self.met.update(zip(group, (tuple(numbers[a:b]) for a, b in zip(starts, starts[1:], strict=False)), strict=True))
+        for p in missing:
+            if END in p:
+                self.met[p] = tuple(t.id for t in self.pieces.model.tokenize(p))
+
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.table.__getitem__, ids))
         return raw[bool(self.lead and raw[:1] == b" ") :].decode("utf-8", "replace")
