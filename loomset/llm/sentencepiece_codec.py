@@ -26,8 +26,8 @@ from loomset.llm.common import id_and_bytes, small_batches, table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-#: Pieces whose ids a worker keeps, about 200 MB.
-ROOM = 1_000_000
+#: Pieces whose ids a worker keeps, about 300 MB.
+ROOM = 1_500_000
 END = "\0"
 
 
@@ -138,10 +138,10 @@ class Codec:
             return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         parts = [self.cuts.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         met = self.met
-        missing = list(dict.fromkeys(p for text in parts for p in text if p not in met))
+        missing = list(set().union(*parts).difference(met))
         if len(met) + len(missing) > ROOM:
             met.clear()
-            missing = list(dict.fromkeys(p for text in parts for p in text))
+            missing = list(set().union(*parts))
         self.learn(missing)
         return [list(chain.from_iterable(map(met.__getitem__, p))) for p in parts]
 
