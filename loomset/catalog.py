@@ -12,8 +12,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomset.functions import messages
 from loomset.functions import text as T
-from loomset.operators import dedupe, export, lint, quality, stats, tags
+from loomset.operators import dedupe, export, lint, quality, selection, stats, tags
+from loomset.plans import files as plan_files
 from loomset.plans import shots
 from loomset.streaming.incremental import caption_stream
 
@@ -371,3 +373,137 @@ def incremental_caption(spark, sf_dir):
     run.awaitTermination()
     return spark.read.parquet(f"{home}/out").select("doc_id", "caption")
 
+
+
+EVENT_STATUS = {"click": 503, "view": 429, "error": 400}
+
+
+@query(
+    """SELECT event_id, event_type IN ('click', 'view') AS transient,
+    CASE event_type WHEN 'click' THEN 'overloaded (503). ' || 'Try again in a minute, or use another model.' WHEN 'view' THEN 'rate limited (429). ' || 'Try again in a minute, or use another model.' ELSE props || ' bad' END AS message,
+    CASE event_type WHEN 'error' THEN 'the file is damaged or no image: export it again or drop it' WHEN 'signup' THEN 'name the subject otherwise, or leave isolation off for this image' ELSE 'see the log for the whole message' END AS hint,
+    event_type || ' and k' AS bare FROM events"""
+)
+def error_texts(spark, sf_dir):
+    e, kind = _t(spark, sf_dir, "events"), F.col("event_type")
+    status = F.try_element_at(F.create_map(*(F.lit(x) for kv in EVENT_STATUS.items() for x in kv)), kind)
+    error = F.when(kind == "error", "Cannot IDENTIFY image").when(kind == "signup", "it found no person").otherwise("other")
+    return e.select(
+        "event_id", messages.is_transient(status).alias("transient"), messages.friendly_error(status, F.concat(F.col("props"), F.lit("  bad "))).alias("message"),
+        messages.failure_hint(error).alias("hint"), messages.plain(F.concat(F.lit("**"), kind, F.lit("** and `k`"))).alias("bare"),
+    )
+
+
+@query(
+    """SELECT event_id, CASE event_type WHEN 'click' THEN 'unknown node ''N' || user_id || ''': update the server or install it' WHEN 'view' THEN 'no — A (node 7) input ''f'': d' || user_id || '; A (node 7): m'
+    WHEN 'error' THEN 'job rejected — u' || user_id WHEN 'signup' THEN 'job rejected: <html>' || user_id ELSE 'job rejected' END AS said FROM events"""
+)
+def rejection_texts(spark, sf_dir):
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    body = F.when(kind == "click", F.format_string('{"error": {"type": "missing_node_type", "extra_info": {"class_type": "N%s"}}}', user))
+    body = body.when(kind == "view", F.format_string('{"error": {"message": "no"}, "node_errors": {"7": {"class_type": "A", "errors": [{"details": "d%s", "extra_info": {"input_name": "f"}}, {"message": "m"}]}}}', user))
+    body = body.when(kind == "error", F.format_string('{"error": {"details": "u%s"}}', user)).when(kind == "signup", F.concat(F.lit("<html>"), user)).otherwise("{}")
+    return _t(spark, sf_dir, "events").select("event_id", messages.rejection(body).alias("said"))
+
+
+MODELS = "m AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'gemini-x-' WHEN 1 THEN 'gemini-image-' WHEN 2 THEN 'imagen-' WHEN 3 THEN 'gemini-tts-' WHEN 4 THEN 'image-deprecated-' ELSE 'other-image-' END || p_size || CASE WHEN p_size % 2 = 0 THEN '-latest' ELSE '' END AS model_id, p_partkey % 4 <> 0 AS can FROM part)"
+
+
+def _models(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    kinds = F.array(*map(F.lit, ("gemini-x-", "gemini-image-", "imagen-", "gemini-tts-", "image-deprecated-", "other-image-")))
+    name = F.concat(F.get(kinds, (key % 6).cast("int")), size.cast("string"), F.when(size % 2 == 0, "-latest").otherwise(""))
+    return _t(spark, sf_dir, "part").select("p_partkey", name.alias("model_id"), F.when(key % 4 != 0, F.array(F.lit("generateContent"))).otherwise(F.array(F.lit("embed"))).alias("actions"))
+
+
+@query(f"WITH {MODELS} SELECT p_partkey, model_id FROM m WHERE contains(model_id, 'image') AND NOT contains(model_id, 'imagen') AND NOT contains(model_id, 'deprecated')")
+def image_models(spark, sf_dir):
+    return selection.image_models(_models(spark, sf_dir)).select("p_partkey", "model_id")
+
+
+@query(f"WITH {MODELS} SELECT p_partkey, model_id, CASE WHEN model_id LIKE '%latest' THEN 0 ELSE 1 END AS late FROM m WHERE can AND starts_with(model_id, 'gemini-x-')")
+def caption_models(spark, sf_dir):
+    return selection.caption_models(_models(spark, sf_dir), "gemini").select("p_partkey", "model_id", "late")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def picked_rows(spark, sf_dir):
+    picks = _t(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return selection.picked(_t(spark, sf_dir, "documents").select("doc_id", "source"), picks, "doc_id")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels) OR NOT EXISTS (SELECT 1 FROM labels l JOIN documents USING (doc_id))")
+def carried_or_all(spark, sf_dir):
+    return selection.carried_or_all(_t(spark, sf_dir, "documents").select("doc_id", "source"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(
+    """WITH t AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer WHERE c_mktsegment = 'BUILDING'), v AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier)
+    SELECT c_custkey, s_suppkey, s_name AS outfit FROM t JOIN v USING (n)"""
+)
+def dealt_outfits(spark, sf_dir):
+    targets = _t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    outfits = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("outfit"))
+    return selection.dealt(targets, "c_custkey", outfits, "s_suppkey")
+
+
+@query("SELECT p_partkey, CASE WHEN n = 1 THEN p_brand ELSE p_brand || '_' || n END AS free_name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)")
+def unclashing_names(spark, sf_dir):
+    return selection.unclashing(_t(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey").select("p_partkey", "free_name")
+
+
+@query("SELECT p_partkey, p_size > 25 OR (p_size = 25 AND p_partkey % 7 >= 3) AS newer FROM part")
+def newer_versions(spark, sf_dir):
+    latest = F.concat(F.lit("v"), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"), F.lit(".0rc"))
+    return _t(spark, sf_dir, "part").select("p_partkey", selection.is_newer(latest, F.lit("25.3")).alias("newer"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE replace(p_brand, '#', '-') || '/' || p_size END AS repo FROM part")
+def repo_ids(spark, sf_dir):
+    name = F.concat(F.lit(" "), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit("/"), F.col("p_size").cast("string"), F.lit("/ "))
+    return _t(spark, sf_dir, "part").select("p_partkey", selection.repo_id(name).alias("repo"))
+
+
+@query("SELECT DISTINCT p_brand || '\\' || p_size AS value, CASE WHEN p_size % 3 = 0 THEN p_brand || '/' || p_size WHEN p_size % 3 = 1 THEN upper(p_brand || '/' || p_size) END AS found FROM part")
+def installed_names(spark, sf_dir):
+    parts, size = _t(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("string").alias("size"), (F.col("p_size") % 3).alias("k")).distinct(), F.col("size")
+    there = F.concat("p_brand", F.lit("/"), size)
+    listed = parts.where("k < 2").select(F.when(F.col("k") == 0, there).otherwise(F.upper(there)).alias("name"))
+    return selection.installed_name(parts.select(F.concat("p_brand", F.lit("\\"), size).alias("value")), listed)
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type <> 'error') AS n_done, count(*) FILTER (WHERE event_type = 'error') AS n_failed FROM events GROUP BY user_id")
+def outcome_tallies(spark, sf_dir):
+    failed = F.col("event_type") == "error"
+    return selection.tallies(_t(spark, sf_dir, "events").select("user_id", F.when(~failed, "out").alias("output"), F.when(failed, "boom").alias("error")), ["user_id"])
+
+
+@query("SELECT lang, arg_min(text, doc_id) AS sample FROM documents WHERE trim(text) <> '' GROUP BY lang")
+def first_captions(spark, sf_dir):
+    return selection.first_sample(_t(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("image"), F.col("text").alias("caption")), ["lang"])
+
+
+@query("SELECT lang, string_agg(DISTINCT source, '/' ORDER BY source) AS joined FROM documents GROUP BY lang")
+def source_folders(spark, sf_dir):
+    return selection.joined_set(_t(spark, sf_dir, "documents"), "source", ["lang"])
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'character ' || p_name WHEN 1 THEN p_name ELSE 'the character' END AS subject, CASE WHEN lower(left(p_name, 1)) IN ('a', 'e', 'i', 'o', 'u') THEN 'an' ELSE 'a' END AS art,
+    left(p_name, 4) || '...' || right(p_name, 4) AS secret, CASE WHEN len(regexp_extract_all(split_part(p_type, ' ', 1), '[A-Z]')) > 1 THEN p_type ELSE lower(left(p_type, 1)) || substr(p_type, 2) END AS lowered FROM part WHERE length(p_name) >= 12"""
+)
+def name_phrases(spark, sf_dir):
+    key, name = F.col("p_partkey"), F.col("p_name")
+    kind = F.when(key % 3 == 1, "concept").otherwise("character")
+    rows = _t(spark, sf_dir, "part").where(F.length("p_name") >= 12)
+    return rows.select("p_partkey", plan_files.plan_subject(F.when(key % 3 < 2, name).otherwise(" "), kind).alias("subject"), T.article(name).alias("art"), T.mask(name).alias("secret"), T.lower_first(F.col("p_type")).alias("lowered"))
+
+
+@query(
+    """WITH g AS (SELECT vec_id, embedding[i] > 0 AS s, embedding[i] > 0.1 OR i % 9 = 0 AS e FROM embeddings, range(1, 65) r(i))
+    SELECT vec_id, count(*) FILTER (WHERE s OR e) AS n_union, round(CASE WHEN count(*) FILTER (WHERE e) > 0 THEN CAST(count(*) FILTER (WHERE s AND e) AS DOUBLE) / count(*) FILTER (WHERE e) ELSE 0 END, 6) AS share FROM g GROUP BY vec_id"""
+)
+def mask_overlap(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v > 0).alias("s"), F.transform("embedding", lambda v, i: (v > 0.1) | ((i + 1) % 9 == 0)).alias("e"))
+    union = F.size(F.filter(selection.mask_union(F.array("s", "e")), lambda x: x)).cast("long")
+    return rows.select("vec_id", union.alias("n_union"), F.round(selection.overlap_share(F.col("s"), F.col("e")), 6).alias("share"))
