@@ -13,7 +13,8 @@ what is left after the last digit are exactly the windows that occur more than o
 3. The last digit: the single windows of the remaining sub-runs, by all their units.
 
 Groups are found by aggregates that keep two numbers for a key, so a key that a third of all rows
-share costs no more than others. Texts that are equal are one text with copies.
+share costs no more than others. Texts that are equal are one text with copies. What a text repeats
+within itself, such as a line, is one row with all its places before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -110,13 +111,26 @@ def digest(data: bytes, salt: int = 0) -> bytes:
     return blake2b(data, digest_size=16, key=salt.to_bytes(8, "little") if salt else b"").digest()
 
 
-PARTS = "key binary, span binary, tid binary, first int, more int, anchor int"
+PARTS = "key binary, span binary, tid binary, firsts array<int>, more int, anchor int"
 
 
 def emit(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+    kinds = (pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.int32())
     columns = list(zip(*rows, strict=True)) or [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "span", "tid", "first", "more", "anchor"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "span", "tid", "firsts", "more", "anchor"])
+
+
+class Places:
+    """The parts of one text; parts that agree over their span, and so in length and anchor, share a row."""
+
+    def __init__(self, tid: bytes) -> None:
+        self.tid, self.found = tid, {}
+
+    def add(self, key: bytes, span: bytes, first: int, more: int, anchor: int) -> None:
+        self.found.setdefault((key, span, more, anchor), []).append(first)
+
+    def rows(self) -> list[tuple]:
+        return [(key, span, self.tid, sorted(set(firsts)), more, anchor) for (key, span, more, anchor), firsts in self.found.items()]
 
 
 def first_digit(docs: DataFrame, unit: str, threshold: int) -> DataFrame:
@@ -131,9 +145,10 @@ def first_digit(docs: DataFrame, unit: str, threshold: int) -> DataFrame:
                     continue
                 tid = tid.as_py()
                 for first, last, anchor, key in runs(units.symbols(), threshold, gram):
-                    keys = key.tobytes()
+                    keys, places = key.tobytes(), Places(tid)
                     for i, (f, l, a) in enumerate(zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True)):
-                        rows.append((keys[8 * i : 8 * i + 8], digest(units.slice(f, l + threshold)), tid, f, l - f, a - f))
+                        places.add(keys[8 * i : 8 * i + 8], digest(units.slice(f, l + threshold)), f, l - f, a - f)
+                    rows += places.rows()
                     if len(rows) > 50_000:
                         yield emit(rows)
                         rows = []
@@ -150,14 +165,16 @@ def next_digit(texts: DataFrame, listed: DataFrame, unit: str, threshold: int, s
         for batch in batches:
             rows: list[tuple] = []
             for tid, body, parts in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                tid, units = tid.as_py(), Units(body.as_py(), unit)
+                units, places = Units(body.as_py(), unit), Places(tid.as_py())
                 for part in parts.as_py():
-                    a, low = part["first"] + part["anchor"], part["anchor"] - part["more"]
+                    # A part that goes on has one place: with more it would be settled, or stand for all of its span.
+                    a, low = part["firsts"][0] + part["anchor"], part["anchor"] - part["more"]
                     for j in range(low // step, part["anchor"] // step + 1):
                         o1, o2 = max(low, j * step), min(part["anchor"], j * step + step - 1)
                         core = digest(units.slice(a - j * step, a - j * step + threshold - step + 1), j + 1)
                         span = core if step == 1 else digest(units.slice(a - o2, a - o1 + threshold), (o1 << 20) + o2 + 1)
-                        rows.append((core, span, tid, a - o2, o2 - o1, o2))
+                        places.add(core, span, a - o2, o2 - o1, o2)
+                rows += places.rows()
                 if len(rows) > 50_000:
                     yield emit(rows)
                     rows = []
@@ -169,31 +186,32 @@ def next_digit(texts: DataFrame, listed: DataFrame, unit: str, threshold: int, s
 def divide(parts: DataFrame, name: str, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """One pass: drops keys found at one place only; what agrees over its span is repeated, the rest goes on.
 
-    Returns the repeated parts (tid, first, more) and, for the next digit, one part for each span of
+    Returns the repeated parts (tid, firsts, more) and, for the next digit, one part for each span of
     the keys with several spans. Aggregates keep the least and the greatest place of a key.
     """
-    place = F.xxhash64("tid", "first")
-    twice = parts.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key")
+    one, other = (F.xxhash64("tid", F.get("firsts", at)) for at in (F.lit(0), F.size("firsts") - 1))
+    lo, hi = F.min(F.least(one, other)).alias("lo"), F.max(F.greatest(one, other)).alias("hi")
+    twice = parts.groupBy("key").agg(lo, hi).where("lo <> hi").select("key")
     twice = materialize(twice, f"{name}-twice")  # a table of its own, so that the join can split a hot key
     shared = materialize(parts.join(twice, "key", "left_semi"), f"{name}-shared")
     discard(twice)
     if last:
-        return shared.select("tid", "first", "more"), None
-    spans = shared.groupBy("span").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min(F.struct("key", "tid", "first", "more", "anchor")).alias("part"))
+        return shared.select("tid", "firsts", "more"), None
+    spans = shared.groupBy("span").agg(lo, hi, F.min(F.struct("key", "tid", F.slice("firsts", 1, 1).alias("firsts"), "more", "anchor")).alias("part"))
     spans = materialize(spans.select("span", F.expr("lo <> hi").alias("settled"), "part.*"), f"{name}-spans")
-    repeated = shared.join(spans.where("settled").select("span"), "span", "left_semi").select("tid", "first", "more")
+    repeated = shared.join(spans.where("settled").select("span"), "span", "left_semi").select("tid", "firsts", "more")
     repeated = materialize(repeated, f"{name}-repeated")
     discard(shared)
     going_on = spans.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.every("settled").alias("all_settled")).where("n > 1 AND NOT all_settled").select("key")
     going_on = materialize(going_on, f"{name}-keys")
-    rest = materialize(spans.join(going_on, "key", "left_semi").select("tid", "first", "more", "anchor"), f"{name}-rest")
+    rest = materialize(spans.join(going_on, "key", "left_semi").select("tid", "firsts", "more", "anchor"), f"{name}-rest")
     discard(spans, going_on)
     return repeated, rest
 
 
 def by_text(parts: DataFrame) -> DataFrame:
     """The parts of each text as a list, bounded by the text's own length."""
-    return parts.distinct().groupBy("tid").agg(F.collect_list(F.struct("first", "more", "anchor")).alias("runs"))
+    return parts.distinct().groupBy("tid").agg(F.collect_list(F.struct("firsts", "more", "anchor")).alias("runs"))
 
 
 def cut_out(texts: DataFrame, listed: DataFrame, unit: str, threshold: int) -> DataFrame:
@@ -206,7 +224,7 @@ def cut_out(texts: DataFrame, listed: DataFrame, unit: str, threshold: int) -> D
                 raw = body.as_py()
                 units, kept, end, spans = Units(raw, unit), [], 0, 0
                 merged: list[list[int]] = []
-                for f, m in sorted((p["first"], p["more"]) for p in parts.as_py()):
+                for f, m in sorted((f, p["more"]) for p in parts.as_py() for f in p["firsts"]):
                     if merged and f <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], f + m + threshold)
                     else:
@@ -243,7 +261,7 @@ def repeated_windows(df: DataFrame, text_col: str = "text", unit: str = "bytes",
     repeated, rest = divide(parts, "suffix-1")
     copies = df.groupBy(text_id(text_col).alias("tid")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tid")
     # A text with copies has no run that is repeated only in it, so its whole spans are added here.
-    copied = materialize(parts.join(copies, "tid", "left_semi").select("tid", "first", "more"), "suffix-copied")
+    copied = materialize(parts.join(copies, "tid", "left_semi").select("tid", "firsts", "more"), "suffix-copied")
     discard(parts)
     covered = [repeated.unionByName(copied)]
     needed = materialize(covered[0].select("tid").unionByName(rest.select("tid")).distinct(), "suffix-needed")
