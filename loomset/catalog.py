@@ -495,7 +495,7 @@ def source_folders(spark, sf_dir):
 def name_phrases(spark, sf_dir):
     key, name = F.col("p_partkey"), F.col("p_name")
     kind = F.when(key % 3 == 1, "concept").otherwise("character")
-    rows = _t(spark, sf_dir, "part").where(F.length("p_name") >= 12)
+    rows = _t(spark, sf_dir, "part")
     return rows.select("p_partkey", plan_files.plan_subject(F.when(key % 3 < 2, name).otherwise(" "), kind).alias("subject"), T.article(name).alias("art"), T.mask(name).alias("secret"), T.lower_first(F.col("p_type")).alias("lowered"))
 
 
