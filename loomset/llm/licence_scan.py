@@ -50,7 +50,7 @@ def licence_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = template_rows(templates or TEMPLATES)
     column = F.array(*(F.struct(F.lit(n).alias("licence"), F.array(*map(F.lit, b)).alias("grams")) for n, b in rows))
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
-    low, high = min(math.ceil(least * len(b)) for _, b in rows), max(math.floor(most * len(b)) for _, b in rows)
+    low, high = min(math.ceil(least * len(b) - 1e-9) for _, b in rows), max(math.floor(most * len(b) + 1e-9) for _, b in rows)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("body"))
     segments = F.array_distinct(F.concat(F.split("body", "\n", -1), F.split("body", "\n[ \t]*\n", -1), F.array(F.col("body"))))
@@ -62,7 +62,7 @@ def licence_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grams = lambda w: F.array_distinct(F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat_ws(" ", F.get(w, i), x)))
     base = base.withColumn("grams", F.filter(F.transform("words", grams), lambda g: F.size(g).between(low, high)))
     dice = lambda g, t: 2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + F.size(t["grams"]))
-    fits = lambda g, t: (F.size(g) >= F.lit(least) * F.size(t["grams"])) & (F.size(g) <= F.lit(most) * F.size(t["grams"]))
+    fits = lambda g, t: 2 * F.least(F.size(g), F.size(t["grams"])) >= F.lit(threshold) * (F.size(g) + F.size(t["grams"])) - 1e-9
     base = base.withColumn("templates", F.when(F.size("grams") > 0, column))
     scored = F.flatten(F.transform("grams", lambda g: F.transform(F.filter("templates", lambda t: fits(g, t)), lambda t: F.struct((-dice(g, t)).alias("minus"), t["licence"].alias("licence")))))
     base = base.select("id", F.filter(F.when(F.size("grams") > 0, scored), lambda m: -m["minus"] >= threshold).alias("found"))

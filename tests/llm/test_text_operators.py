@@ -84,6 +84,15 @@ def test_licences(spark, docs):
     assert licence_scan.licence_scan(docs).count() == docs.count() and licence_scan.licence_scan(docs.limit(0)).collect() == []
 
 
+def test_licences_at_exactly_the_threshold(spark):
+    rows = spark.createDataFrame([(1, "It was released under the MIT License.\nSo was released under the MIT License."), (2, "a b c d e f g"), (3, "d e f g h i j")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licence_scan.licence_scan(rows).collect()}
+    assert got[1].n_matches == 2 and got[1].best_dice >= 0.8
+    # 9 bigrams against segments of 6: Dice 12 / 15
+    got = {r.doc_id: r.n_matches for r in licence_scan.licence_scan(rows, templates={"X": ["a b c d e f g h i j"]}).collect()}
+    assert got == {1: 0, 2: 1, 3: 1}
+
+
 def test_classifier_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     all_docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
