@@ -3,15 +3,19 @@
 Segments of a document (each line, each paragraph and the whole text) and the templates are brought to
 lower-case ASCII words; the similarity is the Dice coefficient of their sets of word bigrams. From
 the sizes alone a coefficient of at least t needs a segment of t / (2 - t) to (2 - t) / t times the
-template's bigrams, so templates out of these bounds are never compared. All DataFrame expressions.
+template's bigrams, so templates out of these bounds are never compared. A notice inside a longer
+segment is found by windows: all runs of the whole text's words of up to (2 - t) / t times the template's
+length. A window at the threshold shares t / (2 - t) of the template's bigrams, so it has one of any
+few more than the rest (anchors), and texts without anchors are never searched. All DataFrame expressions.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.llm.common import table
@@ -39,16 +43,63 @@ def template_rows(templates: dict[str, list[str]]) -> list[tuple[str, list[str]]
     return [(name, template_bigrams(t)) for name, texts in templates.items() for t in texts]
 
 
+def window_rows(templates: dict[str, list[str]], threshold: float) -> list[tuple[list[str], int, int, list[str]]]:
+    """For each template: its bigrams, how many a window must share, the most places of a window, its anchors."""
+    out = []
+    for text in (t for texts in templates.values() for t in texts):
+        grams, places = template_bigrams(text), len(re.findall("[a-z0-9]+", text.lower())) - 1
+        need = max(1, math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9))
+        anchors = sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - need + 1]
+        out.append((grams, need, max(1, math.floor((2 - threshold) / threshold * places + 1e-9)), anchors))
+    return out
+
+
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def best_windows(words: Column, column: Column, known: list[str]) -> Column:
+    """The best window of each template, as far as one shares enough: ``minus`` its coefficient, ``licence`` and ``t``.
+
+    A window that starts or ends between the template's bigrams is never better than one cut to them; equal
+    stretches of a text are searched once.
+    """
+
+    def of(b: Column, hits: Column, t: Column) -> Column:
+        size, need, span = F.size(t["grams"]), t["need"], t["span"]
+
+        def search(own: Column) -> Column:
+            near = lambda h, i: F.filter(F.slice(own, i + 1, span), lambda x: x["at"] < h["at"] + span)
+            starts = F.filter(own, lambda h, i: F.size(F.array_distinct(F.transform(near(h, i), lambda x: x["gram"]))) >= need)
+            stretches = F.array_distinct(F.transform(starts, lambda h: F.array_join(F.slice(b, h["at"], span), "|")))
+            dice = lambda g: 2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + size)
+            each = lambda v: F.array_max(F.transform(F.sequence(need, F.size(v)), lambda n: bind(F.array_distinct(F.slice(v, 1, n)), dice)))
+            return F.struct((-F.array_max(F.transform(stretches, lambda s: bind(F.split(s, "\\|", -1), each)))).alias("minus"), t["licence"].alias("licence"), t["t"].alias("t"))
+
+        return bind(F.filter(hits, lambda h: F.array_contains(t["grams"], h["gram"])), search)
+
+    def in_text(b: Column) -> Column:
+        hits = F.filter(F.transform(b, lambda g, i: F.struct((i + 1).alias("at"), g.alias("gram"))), lambda h: h["gram"].isin(known))
+        return bind(hits, lambda h: F.transform(column, lambda t: of(b, h, t)))
+
+    grams = lambda w: F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
+    return F.filter(bind(words, lambda w: bind(grams(w), in_text)), lambda m: m["minus"].isNotNull())
+
+
 def licence_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per input row: the id, ``n_matches``, ``licences`` (sorted, comma-separated), ``best_licence``, ``best_dice``.
 
-    ``n_matches`` counts pairs of a distinct segment and a template at or above ``threshold``. Without a match the
+    ``n_matches`` counts pairs of a distinct segment and a template at or above ``threshold``, and the templates
+    that only a window matches, once each; ``best_dice`` is the best of segments and windows. Without a match the
     last two are null and ``licences`` is empty; ties go to the first name. A null or empty text has no
     match. Repeated rows count each; an empty table gives an empty result; only the two named columns
     are read. Each document stays one row: nothing is exploded or shuffled.
     """
-    rows = template_rows(templates or TEMPLATES)
-    column = F.array(*(F.struct(F.lit(n).alias("licence"), F.array(*map(F.lit, b)).alias("grams")) for n, b in rows))
+    rows, windows = template_rows(templates or TEMPLATES), window_rows(templates or TEMPLATES, threshold)
+    named = lambda t, n, b, need, span: F.struct(F.lit(n).alias("licence"), F.array(*map(F.lit, b)).alias("grams"), F.lit(t).alias("t"), F.lit(need).alias("need"), F.lit(span).alias("span"))
+    column = F.array(*(named(t, n, b, *w[1:3]) for t, ((n, b), w) in enumerate(zip(rows, windows, strict=True))))
+    known, anchors = sorted({g for w in windows for g in w[0]}), sorted({g for w in windows for g in w[3]})
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
     low, high = min(math.ceil(least * len(b) - 1e-9) for _, b in rows), max(math.floor(most * len(b) + 1e-9) for _, b in rows)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -60,16 +111,22 @@ def licence_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = base.withColumn("words", F.transform("segments", lambda s: F.split(norm(s), " ", -1)))
     base = base.withColumn("words", F.filter("words", lambda w: F.size(w) > low))
     grams = lambda w: F.array_distinct(F.transform(F.slice(w, 2, F.size(w)), lambda x, i: F.concat_ws(" ", F.get(w, i), x)))
-    base = base.withColumn("grams", F.filter(F.transform("words", grams), lambda g: F.size(g).between(low, high)))
+    base = base.withColumn("all_grams", F.transform("words", grams))
+    # The whole text is the last segment.
+    anchored = F.exists(F.get("all_grams", F.size("all_grams") - 1), lambda g: g.isin(anchors))
+    base = base.select("id", F.filter("all_grams", lambda g: F.size(g).between(low, high)).alias("grams"), F.when(anchored, F.get("words", F.size("words") - 1)).alias("text_words"))
     dice = lambda g, t: 2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + F.size(t["grams"]))
     fits = lambda g, t: 2 * F.least(F.size(g), F.size(t["grams"])) >= F.lit(threshold) * (F.size(g) + F.size(t["grams"])) - 1e-9
     base = base.withColumn("templates", F.when(F.size("grams") > 0, column))
-    scored = F.flatten(F.transform("grams", lambda g: F.transform(F.filter("templates", lambda t: fits(g, t)), lambda t: F.struct((-dice(g, t)).alias("minus"), t["licence"].alias("licence")))))
-    base = base.select("id", F.filter(F.when(F.size("grams") > 0, scored), lambda m: -m["minus"] >= threshold).alias("found"))
+    scored = F.flatten(F.transform("grams", lambda g: F.transform(F.filter("templates", lambda t: fits(g, t)), lambda t: F.struct((-dice(g, t)).alias("minus"), t["licence"].alias("licence"), t["t"].alias("t")))))
+    none = F.lit([]).cast("array<struct<minus: double, licence: string, t: int>>")
+    good = lambda c, when: F.coalesce(F.filter(F.when(when, c), lambda m: -m["minus"] >= threshold), none)
+    base = base.select("id", good(scored, F.size("grams") > 0).alias("found"), good(best_windows(F.col("text_words"), column, known), F.col("text_words").isNotNull()).alias("inside"))
+    base = base.select("id", F.size("found").alias("n_found"), F.filter("inside", lambda m: ~F.exists("found", lambda f: f["t"] == m["t"])).alias("only_inside"), F.concat("found", "inside").alias("found"))
     best = F.array_min("found")
     return base.select(
         F.col("id").alias(id_col),
-        F.greatest(F.lit(0), F.coalesce(F.size("found"), F.lit(0))).cast("long").alias("n_matches"),
+        (F.col("n_found") + F.size("only_inside")).cast("long").alias("n_matches"),
         F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda m: m["licence"]))), ","), F.lit("")).alias("licences"),
         best["licence"].alias("best_licence"),
         F.round(-best["minus"], 6).alias("best_dice"),

@@ -93,6 +93,42 @@ def test_licences_at_exactly_the_threshold(spark):
     assert got == {1: 0, 2: 1, 3: 1}
 
 
+def brute_licences(text, threshold):
+    """Matches by (licence, template): segments with their Dice, then all windows of words."""
+    words = lambda s: re.findall("[a-z0-9]+", s.lower())
+    grams = lambda w: {f"{a} {b}" for a, b in zip(w, w[1:])}
+    dice = lambda g, t: 2 * len(g & t) / (len(g) + len(t))
+    n, best = 0, []
+    w = words(text)
+    for name, texts in licence_scan.TEMPLATES.items():
+        for template in texts:
+            t, most = grams(words(template)), int((2 - threshold) / threshold * (len(words(template)) - 1) + 1e-9) + 1
+            segments = {*text.split("\n"), *re.split("\n[ \t]*\n", text), text}
+            found = [d for s in segments if (d := dice(grams(words(s)), t)) >= threshold]
+            inside = max((dice(grams(w[i:j]), t) for i in range(len(w)) for j in range(i + 2, min(len(w), i + most) + 1)), default=0)
+            n += len(found) or int(inside >= threshold)
+            best += [(-max([*found, inside]), name)] if found or inside >= threshold else []
+    return n, ",".join(sorted({x for _, x in best})), min(best)[1] if best else None, round(-min(best)[0], 6) if best else None
+
+
+def test_licences_inside_longer_segments(spark):
+    mit, isc = licence_scan.TEMPLATES["MIT"][2].split(), licence_scan.TEMPLATES["ISC"][0].split()
+    warranty = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED".split()
+    wrapped = lambda w, mark: "\n".join(mark + " ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+    texts = [
+        "This library is tiny and has no dependencies. Released under the MIT License. Patches are welcome.",
+        "/*\n" + wrapped(mit, " * ") + "\n *\n" + wrapped(warranty, " * ") + "\n */\nint main() { return 0; }",
+        "Some words before the notice\n" + wrapped(isc, "# ") + "\n#\n# and after it the program begins " + "with other words " * 9,
+        "We ship it as is. It is free and very unencumbered software released into the public domain, and so on and on.\n" * 40,
+        "Under the license of the public domain, the terms of the software are subject to the following: nothing of the kind.",
+        "a b " * 3, "", "licensed under the apache license, version 2.0 " * 30,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in licence_scan.licence_scan(rows).collect()}
+    assert got[0][1:3] == ("MIT", "MIT") and got[1][2] == "MIT" and got[2][2] == "ISC" and got[4][0] == 0
+    assert got == {i: brute_licences(t, 0.8) for i, t in enumerate(texts)}
+
+
 def test_classifier_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     all_docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
