@@ -7,6 +7,7 @@ again as the next stage's documents. All but the last return the columns of ``do
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomset.llm.common import WORD, materialize, table
@@ -20,7 +21,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows without an id are told apart by their text; rows with the same id share their fate."""
+    """Rows without an id go by their text. Rows can share a key, so nothing may join on it alone."""
     return docs.select(*COLUMNS, F.coalesce(F.col("doc_id"), -1 - F.abs(F.xxhash64("text") / 2).cast("long")).alias("row_key"))
 
 
@@ -31,10 +32,16 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates."""
-    keyed = _keyed(docs)
+    """The document with the least id of each class of near duplicates, one row of it; rows without an id come last.
+
+    A row is told from its copies by a number of its own, written once so that all readers see the same.
+    """
+    tie = F.xxhash64("text", "lang", "source")
+    keyed = materialize(docs.select(*COLUMNS, tie.alias("tie"), F.monotonically_increasing_id().alias("row_key")), "near-keyed")
     classes = jaccard_classes(keyed, "row_key")
-    kept = materialize(classes.where("class_id = row_key").select("row_key").distinct(), "near-kept")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie", "row_key"))["row_key"]
+    ids = keyed.select("row_key", "doc_id", "tie").join(classes.select("row_key", "class_id").hint("merge"), "row_key")
+    kept = materialize(ids.groupBy("class_id").agg(least.alias("row_key")).select("row_key"), "near-kept")
     return keyed.join(kept.hint("merge"), "row_key", "left_semi").select(*COLUMNS)
 
 
@@ -49,11 +56,18 @@ def repeats_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, the last time in part where it takes a part."""
+    """Documents as often as the mix takes them, the last time in part where it takes a part.
+
+    Rows with one key get the takings of that key one each, in the order of source and size.
+    """
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     keyed = _keyed(docs)
-    taken = mix_sources(keyed, "row_key").groupBy("row_key").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
-    taken = materialize(taken.where("taken > 0"), "mix-taken")
-    rows = keyed.join(taken.hint("merge"), "row_key").withColumn("time", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    taken = mix_sources(keyed, "row_key").where("size > 0").groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("source", "size", "taken"))).alias("takings"))
+    taken = materialize(taken.where("exists(takings, t -> t.taken > 0)"), "mix-taken")
+    order = W.partitionBy("row_key").orderBy("source", "size", F.xxhash64("text", "lang"))
+    rows = keyed.withColumn("size", words).where("size > 0").withColumn("place", F.row_number().over(order)).join(taken.hint("merge"), "row_key")
+    rows = rows.withColumn("taken", F.get("takings", F.col("place") - 1)["taken"]).where("taken > 0")
+    rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     left = F.col("taken") - (F.col("time") - 1) * F.col("size")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, left.cast("int")), " ")
     rows = rows.withColumn("text", F.when(left >= F.col("size"), F.col("text")).otherwise(part))

@@ -1,4 +1,7 @@
+import collections
+
 import corpus_pipeline
+from loomset.llm import mixing
 
 
 def test_pipeline_on_small_documents(spark, docs):
@@ -17,3 +20,28 @@ def test_pipeline_on_small_documents(spark, docs):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 50 and out.where("NOT same_ids OR NOT round_trip").count() == 0
+
+
+def as_docs(spark, rows):
+    """Rows of (doc_id, text, lang, source)."""
+    return spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_one_row_of_each_class_stays(spark):
+    text = " ".join(f"word{i * 7919 % 1000}" for i in range(200))
+    other, third = text.replace("word", "other"), text.replace("word", "third")
+    rows = [(None, text, "en", "a")] * 5 + [(7, text, "en", "a")] * 2 + [(2, other, "en", "b"), (2, other, "en", "b"), (1, third, "en", "b"), (2, third, "en", "b"), (None, "alone in here", "en", "a"), (None, "alone in here", "en", "a"), (3, None, "en", "a"), (3, None, "en", "a")]
+    out = corpus_pipeline.near_duplicates(spark, as_docs(spark, rows), "")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(7, text), (2, other), (1, third), (None, "alone in here"), (3, None), (3, None)], key=repr)
+
+
+def test_rows_with_one_id_are_mixed_by_themselves(spark):
+    rows = [(5, f"w{i} " * (9 + i), "en", "b") for i in range(40)] + [(5, f"v{i} " * 30, "en", "a") for i in range(10)] + [(5, "same text " * 20, "en", "c")] * 6 + [(5, "", "en", "c"), (5, None, None, None)]
+    docs = as_docs(spark, rows)
+    takings = mixing.mix_sources(docs).collect()
+    want, got = collections.Counter(), collections.Counter()
+    for r in takings:
+        want[r.source] += r.taken
+    for r in corpus_pipeline.mixed(spark, docs, "").collect():
+        got[r.source] += len(r.text.split())
+    assert got == +want and len({r.taken for r in takings}) > 2
