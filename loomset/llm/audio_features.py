@@ -98,9 +98,9 @@ def mel_bank(rate: int, mels: int = MELS, frame: int = FRAME) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frames x mels in dB, and each frame's energy in dB. A signal below one frame is padded with zeros."""
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
+    """Frames x mels in dB, and each frame's energy in dB. The last frame is padded with zeros, so every sample is in a frame."""
+    short = FRAME - len(x) if len(x) < FRAME else -(len(x) - FRAME) % HOP
+    x = np.concatenate([x, np.zeros(short, np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     window, bank = np.hanning(FRAME).astype(np.float32), mel_bank(rate)
     mels, energy = np.empty((len(frames), MELS), np.float32), np.empty(len(frames), np.float32)
@@ -130,7 +130,7 @@ def features(samples: bytes, rate: int) -> dict:
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128.0) / 128.0
     y, out_rate = resample(x), rate * UP // DOWN
     mels, energy = log_mel(y, out_rate)
-    return {"mels": mels, "spans": [(a * HOP / out_rate, ((b - 1) * HOP + FRAME) / out_rate) for a, b in segments(energy)]}
+    return {"mels": mels, "spans": [(a * HOP / out_rate, min((b - 1) * HOP + FRAME, len(y)) / out_rate) for a, b in segments(energy)]}
 
 
 def mel_tensor(mels: np.ndarray, rows: int = 16) -> pa.ExtensionArray:
@@ -177,8 +177,8 @@ def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def media_features(media: DataFrame, id_col: str = "doc_id", keep_tensors: bool = True) -> DataFrame:
     """Reads each stored file back: its checksums, log-mel ``tensors`` (an Arrow stream) and ``spans`` in seconds.
 
-    Null media is an error: ``store_media`` never makes it. ``feature`` is a digest of shape, tensor
-    values rounded to 0.1 dB and spans in milliseconds, equal for equal texts.
+    Null media is an error: ``store_media`` never makes it. ``feature`` is a digest of shape, values
+    read back from the tensors and rounded to 0.1 dB, and spans in milliseconds, equal for equal texts.
     """
     kind = media.schema[id_col].dataType.simpleString()
     rows = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
@@ -191,9 +191,11 @@ def media_features(media: DataFrame, id_col: str = "doc_id", keep_tensors: bool
                 samples, rate = from_wav(raw)
                 got = features(samples, rate)
                 spans = [(round(a, 3), round(b, 3)) for a, b in got["spans"]]
-                told = hashlib.sha256(np.round(got["mels"] * 10).astype("<i2").tobytes() + repr(spans).encode()).hexdigest()[:32]
+                stored = tensor_bytes(got["mels"])
+                mels = read_tensors(stored).reshape(-1, MELS)[: len(got["mels"])]
+                told = hashlib.sha256(np.round(mels * 10).astype("<i2").tobytes() + repr(spans).encode()).hexdigest()[:32]
                 loud = sum(b - a for a, b in spans)
-                for column, value in zip(out, (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{len(got['mels'])}x{MELS};spans={len(spans)};loud={loud:.3f};{told}", tensor_bytes(got["mels"]) if keep_tensors else None, [{"start_s": a, "end_s": b} for a, b in spans] if keep_tensors else None), strict=True):
+                for column, value in zip(out, (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{len(mels)}x{MELS};spans={len(spans)};loud={loud:.3f};{told}", stored if keep_tensors else None, [{"start_s": a, "end_s": b} for a, b in spans] if keep_tensors else None), strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensors", "spans"]

@@ -165,3 +165,14 @@ def test_polyphase_resampling_is_filtering_and_decimation():
 def test_hysteresis():
     energy = np.array([0, 0, 0, 5, 2, 2, 0, 2, 0, 4, 9, 0, 0, 0], float)
     assert audio_features.segments(energy) == [(3, 6), (9, 11)]
+
+
+def test_every_sample_is_in_a_feature(spark):
+    for units in (1, 2, 3, 4, 5):
+        body = b"abcdefgh" * (units * audio_features.UNIT // 8)
+        one, two = (audio_features.features(b, audio_features.RATE)["mels"] for b in (body, body[:-24] + b"z" * 24))
+        assert one.shape == two.shape and not np.array_equal(one, two)
+    docs = spark.createDataFrame([(1, "abcdefgh" * 72), (2, "abcdefgh" * 69 + "z" * 24)], "doc_id long, text string")
+    media = audio_features.store_media(docs)
+    with_tensors, without = (audio_features.media_features(media, keep_tensors=k).orderBy("doc_id").collect() for k in (True, False))
+    assert [r.feature for r in with_tensors] == [r.feature for r in without] and len({r.feature for r in without}) == 2
