@@ -1,21 +1,15 @@
-"""What the corpus operators share: the scratch store, batch bounds and text columns.
-
-Scratch tables go to the folder that the cluster names in ``spark.checkpoint.dir`` (shared by the
-driver and all executors); only where that is unset, as in tests, a local folder takes its place.
-"""
+"""What the corpus operators share: batch bounds, text columns and numbers for rows; their scratch tables are those of the store."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomset.session import ship
+from loomset.store import discard, materialize
+
+__all__ = ["BATCH_ROWS", "WORD", "discard", "id_and_bytes", "materialize", "numbered", "small_batches", "table", "text_bytes"]
 
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` yields exactly these on UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,50 +22,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = spark.sparkContext.getCheckpointDir()
-        if known:
-            return known
-        base = tempfile.mkdtemp(prefix="loomset-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(base)
-        return spark.sparkContext.getCheckpointDir()
-    return base
-
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``number`` from 0 by ``order``, as a table: rows are sorted in ranges, and each range starts after the rows before it.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table of the shared folder and read it back.
-
-    This cuts the lineage: when executors are lost, later stages reread the table and recompute
-    nothing before it. The table's size is also known to the planner from here on, so that joins
-    with it are broadcast only when it is in fact small.
+    No task sees all rows; only the ranges' counts, a row each, come together. Rows that tie are numbered
+    as they come, so ``order`` should be of unique keys.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomset-{name}-{uuid.uuid4().hex[:12]}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    # What the write shuffled is of no use any more; Spark removes it once its driver has collected its garbage.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
-    out._scratch_path = path
+    ranged = df.repartitionByRange(*order).select("*", F.spark_partition_id().alias("range"))
+    ranged = materialize(ranged, f"{name}-ranged")
+    starts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.sum("n").over(W.orderBy("range")) - F.col("n")).drop("n")
+    place = F.row_number().over(W.partitionBy("range").orderBy(*order)) - 1
+    out = ranged.withColumn("place", place).join(F.broadcast(starts), "range").withColumn("number", F.col("start") + F.col("place"))  # a row for each task of the shuffle
+    out = materialize(out.drop("range", "place", "start"), f"{name}-numbered")
+    discard(ranged)
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes scratch tables that nothing reads any more: all that came from them is a table by now."""
-    for t in tables:
-        jvm = t.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
+def small_batches(spark: SparkSession) -> None:
+    """Before any Python map: the package goes to the executors, and batches stay small.
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Before any Python map: the package goes to the executors, and batches stay small."""
+    Spark bounds a batch's bytes itself. All operators use the same number of rows, so it doesn't matter
+    when a lazy plan runs; a number that the user has set to anything but Spark's own is left alone.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def text_bytes(column: str) -> Column:
