@@ -1,25 +1,29 @@
 """Suffix-array dedup by a depth-limited radix sort.
 
 Every position of every text starts a suffix; only its first ``threshold`` units (bytes or words) are
-ordered. The passes go from the most significant digit on, and each drops the groups of one, so that
-what is left after the last digit are exactly the windows that occur more than once:
-
-1. The first digit of a window is its anchor: the gram whose hash is least in it (leftmost of equals).
-   Neighbouring windows share an anchor, so they move as one *run*, about one run for half a window
-   of text. Runs whose gram occurs nowhere else are dropped. Runs that agree over their whole span
-   need no further digit: all their windows are repeated.
-2. The second digit of the remaining runs: a run is cut into sub-runs of ``STEP`` windows at fixed
-   distances from the anchor, and ordered by the core that all windows of a sub-run contain.
-3. The last digit: the single windows of the remaining sub-runs, by all their units.
-
-Groups are found by aggregates that keep two numbers for a key, so a key that a third of all rows
-share costs no more than others. Texts that are equal are one text with copies. What a text repeats
-within itself, such as a line, is one row with all its places before anything is shuffled.
+ordered, and the groups that are equal through them are exactly the windows that occur more than once.
+
+1. Suffixes are dealt to buckets by the gram whose hash is least in their window (the anchor, leftmost
+   of equals): equal windows have equal anchors at equal places. Neighbouring windows share an anchor,
+   so they move as one *run*, about one run for half a window of text. Buckets of one run are dropped.
+   A run found again over its whole span is repeated without any sorting, and stands once in its bucket.
+2. The suffixes of a bucket are ordered by most-significant-digit passes from their leading unit on: a
+   pass splits each group by its next digit (8 bytes, or 2 words) and drops groups of one. What is left
+   after ``threshold`` units is repeated.
+3. A bucket of more than ``BUCKET_RUNS`` different runs is not brought to one task: passes over all
+   executors deal it by further digits, dropping groups of one, until its parts are small enough; what
+   is still together after all units is equal, and repeated.
+
+Groups of any size are found by aggregates that keep two numbers for a key. Texts that are equal are
+one text with copies, from the first step on. What a text repeats within itself, such as a line, is one
+row with all its places before anything is shuffled. Equality of whole spans and of the digits of large
+buckets is that of 128-bit digests; within a bucket units themselves are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -29,8 +33,10 @@ from pyspark.sql import functions as F
 
 from loomset.llm.common import discard, materialize, small_batches, table, text_bytes
 
-#: Windows in a sub-run.
-STEP = 16
+#: Windows in a sub-run, and units in a digit, of buckets that are dealt over several tasks.
+STEP, DIGIT = 16, 256
+#: Runs of a bucket that is ordered in one task, and bytes of such buckets that are ordered at once.
+BUCKET_RUNS, ORDERED_BYTES = 1024, 1 << 21
 #: Windows handled at once: bounds the memory for a text of any length. Places within take PLACE_BITS.
 CHUNK, PLACE_BITS = 1 << 19, 20
 GRAM = {"bytes": 32, "words": 8}
@@ -121,7 +127,7 @@ def emit(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Places:
-    """The parts of one text; parts that agree over their span, and so in length and anchor, share a row."""
+    """The runs of one text; runs that agree over their span, and so in length and anchor, share a row."""
 
     def __init__(self, tid: bytes) -> None:
         self.tid, self.found = tid, {}
@@ -133,7 +139,8 @@ class Places:
         return [(key, span, self.tid, sorted(set(firsts)), more, anchor) for (key, span, more, anchor), firsts in self.found.items()]
 
 
-def first_digit(docs: DataFrame, unit: str, threshold: int) -> DataFrame:
+def all_runs(texts: DataFrame, unit: str, threshold: int) -> DataFrame:
+    """The runs of all texts, each with its bucket (``key``, the anchor's gram) and a digest of its whole ``span``."""
     gram = GRAM[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,81 +161,240 @@ def first_digit(docs: DataFrame, unit: str, threshold: int) -> DataFrame:
                         rows = []
             yield emit(rows)
 
-    return docs.mapInArrow(run, PARTS)
+    return texts.select("tid", "body").mapInArrow(run, PARTS)
 
 
-def next_digit(texts: DataFrame, listed: DataFrame, unit: str, threshold: int, step: int) -> DataFrame:
-    """Cuts the listed runs of each text into sub-runs of ``step`` windows."""
-    joined = texts.join(listed, "tid").select("tid", "body", "runs")
+def divide(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drops buckets of one run; a span found at several places is repeated, all of it.
+
+    Returns the repeated runs (tid, first, more) and, for the order, one run (key, size, tid, first,
+    more, anchor) for each span of the buckets that hold several spans, ``size`` spans each. Aggregates
+    keep the least and the greatest place of a key, so a hot key costs no more than others.
+    """
+    one, other = (F.xxhash64("tid", F.get("firsts", at)) for at in (F.lit(0), F.size("firsts") - 1))
+    lo, hi = F.min(F.least(one, other)).alias("lo"), F.max(F.greatest(one, other)).alias("hi")
+    twice = parts.groupBy("key").agg(lo, hi).where("lo <> hi").select("key")
+    twice = materialize(twice, "suffix-twice")  # a table of its own, so that the join can split a hot key
+    shared = materialize(parts.join(twice, "key", "left_semi"), "suffix-shared")
+    discard(twice)
+    spans = shared.groupBy("span").agg(lo, hi, F.min(F.struct("key", "tid", F.get("firsts", F.lit(0)).alias("first"), "more", "anchor")).alias("part"))
+    spans = materialize(spans.select("span", F.expr("lo <> hi").alias("settled"), "part.*"), "suffix-spans")
+    repeated = shared.join(spans.where("settled").select("span"), "span", "left_semi")
+    repeated = materialize(repeated.select("tid", F.explode("firsts").alias("first"), "more"), "suffix-repeated")
+    discard(shared)
+    mixed = spans.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.every("settled").alias("all_settled")).where("size > 1 AND NOT all_settled").select("key", "size")
+    mixed = materialize(mixed, "suffix-mixed")
+    rest = materialize(spans.join(mixed, "key").select("key", "size", "tid", "first", "more", "anchor"), "suffix-rest")
+    discard(spans, mixed)
+    return repeated, rest
+
+
+def with_units(texts: DataFrame, rest: DataFrame, unit: str, threshold: int) -> DataFrame:
+    """The runs with the units of their windows, cut out of their texts."""
+    listed = rest.groupBy("tid").agg(F.collect_list(F.struct("key", "size", "first", "more", "anchor")).alias("runs"))  # bounded by the text's own length
+    joined = texts.hint("merge").join(listed, "tid").select("tid", "body", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["key", "size", "tid", "first", "more", "anchor", "units"])
         for batch in batches:
             rows: list[tuple] = []
             for tid, body, parts in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                units, places = Units(body.as_py(), unit), Places(tid.as_py())
-                for part in parts.as_py():
-                    # A part that goes on has one place: with more it would be settled, or stand for all of its span.
-                    a, low = part["firsts"][0] + part["anchor"], part["anchor"] - part["more"]
-                    for j in range(low // step, part["anchor"] // step + 1):
-                        o1, o2 = max(low, j * step), min(part["anchor"], j * step + step - 1)
-                        core = digest(units.slice(a - j * step, a - j * step + threshold - step + 1), j + 1)
-                        span = core if step == 1 else digest(units.slice(a - o2, a - o1 + threshold), (o1 << 20) + o2 + 1)
-                        places.add(core, span, a - o2, o2 - o1, o2)
-                rows += places.rows()
-                if len(rows) > 50_000:
-                    yield emit(rows)
-                    rows = []
-            yield emit(rows)
+                units, tid = Units(body.as_py(), unit), tid.as_py()
+                for p in parts.as_py():
+                    rows.append((p["key"], p["size"], tid, p["first"], p["more"], p["anchor"], units.slice(p["first"], p["first"] + p["more"] + threshold)))
+                    if len(rows) >= 8192:
+                        yield pack(rows)
+                        rows = []
+            yield pack(rows)
+
+    return joined.mapInArrow(run, "key binary, size long, tid binary, first int, more int, anchor int, units binary")
+
+
+def digits(slices: list[bytes], unit: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """All slices' units in one row, as digits that compare like them: a digit at each unit, the
+    units' bounds by slice, and how many units a digit holds (8 bytes, or 2 ranks of words)."""
+    if unit == "bytes":
+        sizes, width = [len(s) for s in slices], 8
+        buffer = np.frombuffer(b"".join(slices) + bytes(width), np.uint8)
+        at_each = np.ndarray((len(buffer) - width + 1,), ">u8", buffer, strides=(1,))
+    else:
+        words = [s.split(b" ") for s in slices]
+        sizes, width = [len(x) for x in words], 2
+        flat = [w for x in words for w in x]
+        rank = {w: i for i, w in enumerate(sorted(set(flat)), 1)}
+        ranks = np.fromiter((rank[w] for w in flat), np.uint64, len(flat))
+        at_each = (ranks << np.uint64(32)) | np.concatenate([ranks[1:], np.zeros(1, np.uint64)])
+    return at_each, np.concatenate([[0], np.cumsum(sizes)]), width
+
+
+def radix_order(at_each: np.ndarray, places: np.ndarray, groups: np.ndarray, width: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Orders the suffixes at ``places`` through ``depth`` units by most-significant-digit passes within their groups.
+
+    Each pass sorts the groups whose members differ in the next digit, splits them there, and drops
+    groups of one. Returns what is left after the last digit in order, with its group: the suffixes
+    that agree with another one of their group through the whole depth.
+    """
+    order = np.argsort(groups, kind="stable")
+    places, groups = places[order], groups[order]
+    for at in [*range(0, depth - width, width), depth - width]:  # the last digit may overlap the one before
+        if not len(places):
+            break
+        digit = at_each[places + at].astype(np.uint64)
+        same = groups[1:] == groups[:-1]
+        uneven = same & (digit[1:] != digit[:-1])
+        if uneven.any():
+            number = np.concatenate([[0], np.cumsum(~same)])
+            split = np.bincount(number[1:][uneven], minlength=number[-1] + 1)[number] > 0
+            spot = np.flatnonzero(split)
+            spot = spot[np.lexsort((digit[spot], number[spot]))]
+            turned = np.arange(len(places))
+            turned[split] = spot
+            places, groups, digit = places[turned], groups[turned], digit[turned]
+        border = np.concatenate([[True], (groups[1:] != groups[:-1]) | (digit[1:] != digit[:-1]), [True]])
+        alone = border[1:] & border[:-1]
+        groups = np.cumsum(border[:-1])[~alone]
+        places = places[~alone]
+    return places, groups
+
+
+def repeated_in(rows: list[tuple], unit: str, threshold: int) -> list[tuple]:
+    """(tid, first, more) of the windows that occur again in their bucket; rows are (key, tid, first, more, anchor, units)."""
+    at_each, bounds, width = digits([r[5] for r in rows], unit)
+    more, anchor = (np.array([r[i] for r in rows], np.int64) for i in (3, 4))
+    keys = {}
+    bucket = np.array([keys.setdefault(r[0], len(keys)) for r in rows], np.int64)
+    owner = np.repeat(np.arange(len(rows)), more + 1)
+    begins = np.concatenate([[0], np.cumsum(more + 1)])
+    step = np.arange(begins[-1]) - begins[owner]
+    # Equal windows have their anchor at the same place, so only windows at one distance from it meet.
+    groups = bucket[owner] * (1 << PLACE_BITS) + anchor[owner] - step
+    left, _ = radix_order(at_each, bounds[owner] + step, groups, width, threshold)
+    hit = np.zeros(len(owner) + 1, bool)
+    spots = np.searchsorted(bounds, left, "right") - 1
+    hit[begins[spots] + left - bounds[spots]] = True
+    starts = hit[:-1] & ~np.where(step > 0, np.concatenate([[False], hit[:-2]]), False)
+    ends = hit[:-1] & ~np.where(step < more[owner], hit[1:], False)
+    return [(rows[owner[a]][1], rows[owner[a]][2] + int(step[a]), int(b - a)) for a, b in zip(np.flatnonzero(starts), np.flatnonzero(ends), strict=True)]
+
+
+def ordered(buckets: DataFrame, unit: str, threshold: int) -> DataFrame:
+    """The repeated windows (tid, first, more) of whole buckets, many of which are ordered at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def pack(rows: list[tuple]) -> pa.RecordBatch:
+            found = repeated_in(rows, unit, threshold) if rows else []
+            columns = list(zip(*found, strict=True)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)], ["tid", "first", "more"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size > ORDERED_BYTES and held[-1][0] != row[0]:
+                    yield pack(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[5])
+        yield pack(held)
 
-    return joined.mapInArrow(run, PARTS)
+    return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "tid binary, first int, more int")
 
 
-def divide(parts: DataFrame, name: str, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """One pass: drops keys found at one place only; what agrees over its span is repeated, the rest goes on.
+def next_digit(texts: DataFrame, hot: DataFrame, unit: str, threshold: int, depth: int) -> DataFrame:
+    """A pass over all executors for buckets too large for one: (key, tid, first, more, anchor) by one digit more.
 
-    Returns the repeated parts (tid, firsts, more) and, for the next digit, one part for each span of
-    the keys with several spans. Aggregates keep the least and the greatest place of a key.
+    Runs are cut into sub-runs of ``STEP`` windows at fixed distances from the anchor; the digit is
+    the ``DIGIT`` units from ``depth`` on of what all windows of a sub-run hold. Beyond that, each
+    window goes by itself, by all its units.
     """
-    one, other = (F.xxhash64("tid", F.get("firsts", at)) for at in (F.lit(0), F.size("firsts") - 1))
-    lo, hi = F.min(F.least(one, other)).alias("lo"), F.max(F.greatest(one, other)).alias("hi")
-    twice = parts.groupBy("key").agg(lo, hi).where("lo <> hi").select("key")
-    twice = materialize(twice, f"{name}-twice")  # a table of its own, so that the join can split a hot key
-    shared = materialize(parts.join(twice, "key", "left_semi"), f"{name}-shared")
-    discard(twice)
-    if last:
-        return shared.select("tid", "firsts", "more"), None
-    spans = shared.groupBy("span").agg(lo, hi, F.min(F.struct("key", "tid", F.slice("firsts", 1, 1).alias("firsts"), "more", "anchor")).alias("part"))
-    spans = materialize(spans.select("span", F.expr("lo <> hi").alias("settled"), "part.*"), f"{name}-spans")
-    repeated = shared.join(spans.where("settled").select("span"), "span", "left_semi").select("tid", "firsts", "more")
-    repeated = materialize(repeated, f"{name}-repeated")
-    discard(shared)
-    going_on = spans.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.every("settled").alias("all_settled")).where("n > 1 AND NOT all_settled").select("key")
-    going_on = materialize(going_on, f"{name}-keys")
-    rest = materialize(spans.join(going_on, "key", "left_semi").select("tid", "firsts", "more", "anchor"), f"{name}-rest")
-    discard(spans, going_on)
-    return repeated, rest
+    listed = hot.groupBy("tid").agg(F.collect_list(F.struct("key", "first", "more", "anchor")).alias("runs"))
+    joined = texts.hint("merge").join(listed, "tid").select("tid", "body", "runs")
+    core = threshold - STEP + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for tid, body, parts in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                units, tid = Units(body.as_py(), unit), tid.as_py()
+                for p in parts.as_py():
+                    a, low, step = p["first"] + p["anchor"], p["anchor"] - p["more"], STEP if depth < core else 1
+                    for j in range(low // step, p["anchor"] // step + 1):
+                        o1, o2 = max(low, j * step), min(p["anchor"], j * step + step - 1)
+                        begin = a - j * step
+                        data = units.slice(begin + depth, begin + min(core, depth + DIGIT)) if step > 1 else units.slice(begin, begin + threshold)
+                        rows.append((digest(p["key"] + j.to_bytes(4, "little") + data), tid, a - o2, o2 - o1, o2))
+                if len(rows) > 50_000:
+                    yield emit_runs(rows)
+                    rows = []
+            yield emit_runs(rows)
+
+    return joined.mapInArrow(run, "key binary, tid binary, first int, more int, anchor int")
+
 
+def emit_runs(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "tid", "first", "more", "anchor"])
 
-def by_text(parts: DataFrame) -> DataFrame:
-    """The parts of each text as a list, bounded by the text's own length."""
-    return parts.distinct().groupBy("tid").agg(F.collect_list(F.struct("firsts", "more", "anchor")).alias("runs"))
 
+def order_all(texts: DataFrame, rest: DataFrame, unit: str, threshold: int) -> list[DataFrame]:
+    """The repeated windows (tid, first, more) of all buckets, as tables; large buckets are first dealt by further digits.
 
-def cut_out(texts: DataFrame, listed: DataFrame, unit: str, threshold: int) -> DataFrame:
-    joined = texts.join(listed, "tid").select("tid", "body", "runs")
+    Passes over large buckets read the units of their runs, not whole texts: each run is a text of its
+    own there, named by its text and its place.
+    """
+    small, large = F.col("size") <= BUCKET_RUNS, F.col("size") > BUCKET_RUNS
+    columns = ("key", "tid", "first", "more", "anchor", "units")
+    cut = materialize(with_units(texts, rest, unit, threshold), "suffix-units")
+    found = [materialize(ordered(cut.where(small).select(*columns), unit, threshold), "suffix-ordered")]
+    hot = cut.where(large).withColumn("tid", F.concat("tid", F.unhex(F.lpad(F.hex("first"), 8, "0"))))
+    if not hot.isEmpty():
+        hot = materialize(hot, "suffix-hot")
+        pieces, rest = hot.select("tid", F.col("units").alias("body")), hot.select("key", "size", "tid", F.lit(0).alias("first"), "more", "anchor")
+        place = F.conv(F.hex(F.substring("tid", 17, 4)), 16, 10).cast("int")
+        own = (F.substring("tid", 1, 16).alias("tid"), (place + F.col("first")).alias("first"), "more")
+        spent = [hot]
+        for depth in range(0, threshold - STEP + 1 + DIGIT, DIGIT):
+            parts = materialize(next_digit(pieces, rest.where(large), unit, threshold, depth), "suffix-digit")
+            sizes = materialize(parts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "suffix-sizes")
+            rest = materialize(parts.join(sizes, "key"), "suffix-dealt")
+            discard(parts, sizes)
+            spent.append(rest)
+            if depth >= threshold - STEP + 1:  # windows by all their units: what is left is repeated
+                found.append(materialize(rest.select(*own), "suffix-equal"))
+                break
+            units = with_units(pieces, rest.where(small), unit, threshold)
+            found.append(materialize(ordered(units.select(*columns), unit, threshold).select(*own), "suffix-ordered"))
+            if rest.where(large).isEmpty():
+                break
+        discard(*spent)
+    discard(cut)
+    return found
+
+
+def cut_out(texts: DataFrame, covered: DataFrame, unit: str, threshold: int) -> DataFrame:
+    """Removes the covered windows from each text, and all windows from a text with copies."""
+    listed = covered.distinct().groupBy("tid").agg(F.collect_list(F.struct("first", "more")).alias("runs"))
+    joined = texts.hint("merge").join(listed, "tid", "left").where("copies > 1 OR runs IS NOT NULL").select("tid", "body", "copies", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for tid, body, parts in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            for tid, body, copies, parts in zip(*batch.columns, strict=True):
                 raw = body.as_py()
                 units, kept, end, spans = Units(raw, unit), [], 0, 0
+                if units.n < threshold:
+                    continue
                 merged: list[list[int]] = []
-                for f, m in sorted((f, p["more"]) for p in parts.as_py() for f in p["firsts"]):
-                    if merged and f <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], f + m + threshold)
-                    else:
-                        merged.append([f, f + m + threshold])
+                if copies.as_py() > 1:
+                    merged.append([0, units.n])
+                else:
+                    for f, m in sorted((p["first"], p["more"]) for p in parts.as_py()):
+                        if merged and f <= merged[-1][1]:
+                            merged[-1][1] = max(merged[-1][1], f + m + threshold)
+                        else:
+                            merged.append([f, f + m + threshold])
                 for i, j in merged:
                     lo, hi = units.edges(i, j)
                     kept.append(raw[end:lo])
@@ -253,32 +419,22 @@ def repeated_windows(df: DataFrame, text_col: str = "text", unit: str = "bytes",
     another; all its places are removed. Words are compared without the white space between them. A null or
     empty text, one shorter than a window and one without repeated windows have no row. Rows that repeat
     are copies of a text, so a text of at least a window goes whole. An empty table gives an empty result.
+    ``threshold`` must be at least twice the gram (32 bytes, 8 words).
     """
-    spark = df.sparkSession
-    small_batches(spark, 128)
-    docs = df.select(text_id(text_col).alias("tid"), text_bytes(text_col).alias("body"))
-    parts = materialize(first_digit(docs, unit, threshold), "suffix-runs")
-    repeated, rest = divide(parts, "suffix-1")
-    copies = df.groupBy(text_id(text_col).alias("tid")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tid")
-    # A text with copies has no run that is repeated only in it, so its whole spans are added here.
-    copied = materialize(parts.join(copies, "tid", "left_semi").select("tid", "firsts", "more"), "suffix-copied")
-    discard(parts)
-    covered = [repeated.unionByName(copied)]
-    needed = materialize(covered[0].select("tid").unionByName(rest.select("tid")).distinct(), "suffix-needed")
-    # The texts that any later pass looks at, each once.
-    # Merged at every size: the plan at 100 TB is the one that small inputs test.
-    texts = docs.join(needed.hint("merge"), "tid", "left_semi").groupBy("tid").agg(F.first("body").alias("body"))
-    texts = materialize(texts, "suffix-texts")
-    parts = materialize(next_digit(texts, by_text(rest), unit, threshold, STEP), "suffix-subruns")
-    repeated, rest = divide(parts, "suffix-2")
+    if threshold < 2 * GRAM[unit]:
+        raise ValueError(f"a window of {threshold} {unit} is shorter than two grams of {GRAM[unit]}")
+    small_batches(df.sparkSession)
+    docs = df.select(text_id(text_col).alias("tid"), text_bytes(text_col).alias("body")).where(F.octet_length("body") >= threshold)
+    # Each text once, whatever its copies; equal texts are combined before the shuffle.
+    texts = materialize(docs.groupBy("tid").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies")), "suffix-texts")
+    parts = materialize(all_runs(texts, unit, threshold), "suffix-runs")
+    repeated, rest = divide(parts)
     discard(parts)
-    covered.append(repeated)
-    parts = materialize(next_digit(texts, by_text(rest), unit, threshold, 1), "suffix-windows")
-    repeated, _ = divide(parts, "suffix-3", last=True)
-    covered.append(repeated)
-    every = covered[0].unionByName(covered[1]).unionByName(covered[2]).withColumn("anchor", F.lit(0))
-    out = materialize(cut_out(texts, by_text(every), unit, threshold), "suffix-cut")
-    discard(texts, needed, parts)
+    found = [repeated, *order_all(texts, rest, unit, threshold)]
+    discard(rest)
+    covered = reduce(DataFrame.unionByName, found)
+    out = materialize(cut_out(texts, covered, unit, threshold), "suffix-cut")
+    discard(texts, *found)
     return out
 
 
