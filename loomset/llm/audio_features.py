@@ -1,9 +1,10 @@
 """Media columns: 8-bit PCM in a WAV container, and its audio features.
 
 A payload is stored losslessly as unsigned 8-bit samples of a mono WAV file. Features come from the
-samples read back: polyphase resampling by a windowed-sinc filter, overlapped log-mel filterbanks,
+samples read back from a table of the shared folder: polyphase resampling by a windowed-sinc filter, overlapped log-mel filterbanks,
 and energy segments by hysteresis (a segment opens at a high threshold and ends at a low one), given
-as time spans. The log-mel frames are kept as fixed-shape Arrow tensors.
+as time spans. The log-mel frames are kept as fixed-shape Arrow tensors in a second table, and what
+is told of them is computed from the tensors read back.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm.common import id_and_bytes, small_batches, table
+from loomset.llm.common import discard, id_and_bytes, materialize, small_batches, table
 
 #: Payloads are padded with bytes 255 to a positive multiple of this.
 UNIT = 576
@@ -154,11 +155,12 @@ def read_tensors(blob: bytes) -> np.ndarray:
         return source.read_all().column("log_mel").combine_chunks().to_numpy_ndarray()
 
 
-SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, tensors binary, spans array<struct<start_s: double, end_s: double>>"
+SPANS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
 
 
 def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id, ``n_bytes`` of the text and ``media``, the WAV file of its padded payload.
+    """Writes a table with a row per input row and reads it back: the id, ``n_bytes`` of the text and ``media``, the WAV file of its padded payload.
 
     A null or empty text gives one unit of padding. Repeated rows and null ids pass through; an empty
     table gives an empty result; only the id and the text column are read.
@@ -171,17 +173,17 @@ def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in bodies], pa.int64()), pa.array([to_wav(pad(b)) for b in bodies], pa.binary())], ["id", "n_bytes", "media"])
 
     small_batches(df.sparkSession)
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    media = docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return materialize(media, "media")
 
 
-def media_features(media: DataFrame, id_col: str = "doc_id", keep_tensors: bool = True) -> DataFrame:
-    """Reads each stored file back: its checksums, log-mel ``tensors`` (an Arrow stream) and ``spans`` in seconds.
+def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Reads each stored file, writes a table and reads it back: the file's checksums, ``n_frames``, log-mel ``tensors`` (an Arrow stream) and ``spans`` in seconds.
 
-    Null media is an error: ``store_media`` never makes it. ``feature`` is a digest of shape, values
-    read back from the tensors and rounded to 0.1 dB, and spans in milliseconds, equal for equal texts.
+    Null media is an error: ``store_media`` never makes it. Repeated rows and null ids pass through.
     """
     kind = media.schema[id_col].dataType.simpleString()
-    rows = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
+    rows = media.select(F.col(f"`{id_col}`").alias("id"), "n_bytes", "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,20 +192,45 @@ def media_features(media: DataFrame, id_col: str = "doc_id", keep_tensors: bool
                 raw = blob.as_py()
                 samples, rate = from_wav(raw)
                 got = features(samples, rate)
-                spans = [(round(a, 3), round(b, 3)) for a, b in got["spans"]]
-                stored = tensor_bytes(got["mels"])
-                mels = read_tensors(stored).reshape(-1, MELS)[: len(got["mels"])]
-                told = hashlib.sha256(np.round(mels * 10).astype("<i2").tobytes() + repr(spans).encode()).hexdigest()[:32]
-                loud = sum(b - a for a, b in spans)
-                for column, value in zip(out, (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), f"{len(mels)}x{MELS};spans={len(spans)};loud={loud:.3f};{told}", stored if keep_tensors else None, [{"start_s": a, "end_s": b} for a, b in spans] if keep_tensors else None), strict=True):
+                spans = [{"start_s": round(a, 3), "end_s": round(b, 3)} for a, b in got["spans"]]
+                row = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), len(got["mels"]), tensor_bytes(got["mels"]), spans)
+                for column, value in zip(out, row, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensors", "spans"]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), SPANS]
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "tensors", "spans"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["id", "n_bytes", *names])
 
     small_batches(media.sparkSession)
-    return rows.mapInArrow(run, f"id {kind}, {SCHEMA}, feature string, tensors binary, spans array<struct<start_s: double, end_s: double>>").withColumnRenamed("id", id_col)
+    return materialize(rows.mapInArrow(run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col), "media-features")
+
+
+def feature_digest(found: DataFrame) -> DataFrame:
+    """The rows of ``media_features`` with ``feature`` in place of ``tensors`` and ``spans``.
+
+    It is a digest of shape, values of the stored tensors rounded to 0.1 dB, and spans in milliseconds,
+    equal for equal texts.
+    """
+    kept = [c for c in found.columns if c not in ("tensors", "spans")]
+    names = [f"c{i}" for i in range(len(kept))]
+    kinds = ", ".join(f"{n} {found.schema[c].dataType.simpleString()}" for n, c in zip(names, kept, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for n, blob, spans in zip(batch.column(len(kept)), batch.column(len(kept) + 1), batch.column(len(kept) + 2).to_pylist(), strict=True):
+                mels = read_tensors(blob.as_py()).reshape(-1, MELS)[: n.as_py()]
+                spans = [(x["start_s"], x["end_s"]) for x in spans]
+                value = hashlib.sha256(np.round(mels * 10).astype("<i2").tobytes() + repr(spans).encode()).hexdigest()[:32]
+                told.append(f"{len(mels)}x{MELS};spans={len(spans)};loud={sum(b - a for a, b in spans):.3f};{value}")
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(told, pa.string())], [*names, "feature"])
+
+    small_batches(found.sparkSession)
+    rows = found.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, kept, strict=True)), F.col("n_frames").alias("n"), "tensors", "spans")
+    return rows.mapInArrow(run, f"{kinds}, feature string").toDF(*kept, "feature")
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(store_media(table(spark, sf_dir, "documents")), keep_tensors=False).drop("tensors", "spans")
+    media = store_media(table(spark, sf_dir, "documents"))
+    found = media_features(media)
+    discard(media)
+    return feature_digest(found).drop("n_frames")
