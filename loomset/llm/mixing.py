@@ -5,59 +5,75 @@ equally many words are then allocated by highest quotients: first to sources by
 within each source to its shards by their sizes, as integer quotas. A shard's documents, in a seeded
 order, form a ring of words, and its quota of consecutive blocks is laid out on the ring from a
 seeded start, so that a document takes part at most as often as the cap allows.
+
+Neither a source's shards nor all sources ever meet in one task: targets and quotas are found by rounds
+of sums, and the last few seats are dealt in a distributed order.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomset.llm.common import WORD, materialize, small_batches, table
+from loomset.llm.common import WORD, discard, materialize, numbered, table
+
+#: Divisors tried in a round; seats of a group that may be left for the last step; rounds until then at most.
+TRIED, LAST_SEATS, ROUNDS = 16, 4096, 12
 
 
-def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
-    """Seats by the highest quotients votes / (2 * taken + 1), at most ``most`` each; ties go to the first.
+def apportion(units: DataFrame, seats: DataFrame, name: str) -> DataFrame:
+    """``units`` (grp, unit, votes, most) with ``quota``: the seats (grp, seats) of each group by the highest quotients votes / (2 * taken + 1).
 
-    A bisection on the divisor finds all but the last few seats at once; those are dealt one by one.
+    A unit gets ``most`` seats at most, one without votes none; a group whose units can't take all its
+    seats fills them; ties go to the least unit. A round tries ``TRIED`` divisors for all groups at once
+    by sums, and keeps the two around the right one; the seats between them are dealt in order.
     """
-    votes, most = np.asarray(votes, float), np.asarray(most, np.int64)
-    seats = int(min(seats, most[votes > 0].sum())) if len(votes) else 0
-    if seats <= 0:
-        return np.zeros(len(votes), np.int64)
-    at = lambda d: np.minimum(most, np.floor(votes / (2 * d) + 0.5).astype(np.int64))
-    low, high = votes[votes > 0].min() / (4.0 * (seats + 1)), votes.max() * 2
-    while at(low).sum() < seats:
-        low /= 16
-    for _ in range(200):
-        mid = (low + high) / 2
-        if at(mid).sum() >= seats:
-            low = mid
-        else:
-            high = mid
-    got = at(high)
-    while (left := seats - int(got.sum())) > 0:
-        quotients = np.where(got < most, votes / (2.0 * got + 1), -1.0)
-        got[np.flatnonzero(quotients >= quotients.max() * (1 - 1e-12))[:left]] += 1
-    return got
-
-
-def water_fill(sizes: np.ndarray, weights: np.ndarray, total: float, cap: float) -> np.ndarray:
-    """Shares of ``total`` by weight, none above ``cap`` times its size; the excess goes to the others by weight."""
-    limits, target, free = cap * sizes.astype(float), np.zeros(len(sizes)), np.ones(len(sizes), bool)
-    left = float(total)
-    while free.any() and left > 0:
-        share = left * weights / weights[free].sum()
-        over = free & (share >= limits)
-        if not over.any():
-            target[free] = share[free]
+    at = lambda x: F.least(F.col("most"), F.floor(F.col("votes") * x + 0.5).cast("long"))
+    units = units.where("votes > 0 AND most > 0")
+    # A unit has its k-th seat where votes * x >= k - 1/2: x is half of the divisor's inverse, and seats grow with it.
+    state = units.groupBy("grp").agg(F.max((F.col("most") + 1) / F.col("votes")).alias("high"), F.sum("most").alias("at_high"))
+    state = state.join(seats, "grp").select("grp", F.least("seats", "at_high").alias("seats"), F.lit(0.0).alias("low"), F.lit(0).cast("long").alias("at_low"), "high", "at_high")
+    state = materialize(state, f"{name}-bounds")
+    for _ in range(ROUNDS):
+        if (state.agg(F.max(F.col("at_high") - F.col("at_low")).alias("open")).first().open or 0) <= LAST_SEATS:
             break
-        target[over] = limits[over]
-        left -= limits[over].sum()
-        free &= ~over
-    return target
+        tried = lambda i: F.col("low") + (F.col("high") - F.col("low")) * (i / TRIED)
+        sums = units.join(state.select("grp", "low", "high"), "grp").groupBy("grp").agg(*(F.sum(at(tried(i))).alias(f"at_{i}") for i in range(1, TRIED)))
+        told = state.join(sums, "grp").withColumn("steps", F.array(*(F.struct(x.alias("x"), F.col(n).alias("n")) for x, n in [(F.col("low"), "at_low"), *((tried(i), f"at_{i}") for i in range(1, TRIED)), (F.col("high"), "at_high")])))
+        lower, upper = F.element_at(F.filter("steps", lambda s: s["n"] <= F.col("seats")), -1), F.get(F.filter("steps", lambda s: s["n"] >= F.col("seats")), F.lit(0))
+        closer = told.select("grp", "seats", lower["x"].alias("low"), lower["n"].alias("at_low"), upper["x"].alias("high"), upper["n"].alias("at_high"))
+        closer = materialize(closer, f"{name}-bounds")
+        discard(state)
+        state = closer
+    dealt = units.join(state, "grp").withColumn("sure", at(F.col("low"))).withColumn("may", at(F.col("high")))
+    dealt = materialize(dealt.select("grp", "unit", "votes", "sure", "may", (F.col("seats") - F.col("at_low")).alias("left")), f"{name}-sure")
+    open_seats = dealt.where("may > sure AND left > 0").select("grp", "unit", "left", "votes", F.explode(F.sequence("sure", F.col("may") - 1)).alias("k"))
+    open_seats = open_seats.select("grp", "unit", "left", ((F.col("k") + 0.5) / F.col("votes")).alias("x"))
+    ranked = numbered(open_seats, [F.col("grp"), F.col("x"), F.col("unit")], name)
+    firsts = ranked.groupBy("grp").agg(F.min("number").alias("first"))
+    won = ranked.join(firsts, "grp").where("number - first < left").groupBy("grp", "unit").agg(F.count(F.lit(1)).alias("won"))
+    out = dealt.join(won, ["grp", "unit"], "left").select("grp", "unit", (F.col("sure") + F.coalesce("won", F.lit(0))).alias("quota"))
+    out = materialize(out, f"{name}-quotas")
+    discard(state, dealt, ranked)
+    return out
+
+
+def water_level(sources: DataFrame, total: float) -> float | None:
+    """The level at which the sources (weight, room) take ``total`` as least(room, level * weight); None where no level does: all are full.
+
+    The level rises by rounds of sums: what the full ones can't take is shared again among the others.
+    """
+    level = 0.0
+    while True:
+        full = F.col("room") <= level * F.col("weight")
+        got = sources.agg(F.sum(F.when(full, F.col("room")).otherwise(0.0)).alias("taken"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("weight")).first()
+        if not got.weight:
+            return None
+        risen = (total - got.taken) / got.weight
+        if risen <= level:
+            return level
+        level = risen
 
 
 def mix_sources(
@@ -77,64 +93,49 @@ def mix_sources(
     Sizes are words (a null text has none); sources in code-point order, null last, take the weights in
     turn. An empty table, or one without words, gives targets and ``taken`` of 0. Rows that repeat are
     documents of their own. Only the three named columns are read. Reruns agree, as the orders and
-    starts are hashes of the id, the size and the seed. A null source is a source like the others.
-    Only the table of sources (a row each) is ever in one task.
+    starts are hashes of the id, the text and the seed. A null source is a source like the others.
     """
     sizes = df.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("lot"),
     )
     sizes = materialize(sizes, "mix-sizes")
-    small_batches(df.sparkSession, 10_000)
-    cuts = (weights, share, cap, shard_words, block_words)
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        kinds, part, most, words, _ = cuts
-        pdf = pdf.assign(key=[None if s is None else s.encode("utf-8", "surrogatepass") for s in pdf.source])
-        pdf = pd.concat([pdf[pdf.key.notna()].sort_values("key"), pdf[pdf.key.isna()]]).reset_index(drop=True)
-        weight = np.resize(np.asarray(kinds, float), len(pdf))
-        target = water_fill(pdf.source_size.to_numpy(), weight, part * pdf.source_size.sum(), most)
-        return pd.DataFrame({"source": pdf.source, "source_size": pdf.source_size, "target": target, "n_shards": np.maximum(1, -(-pdf.source_size // words))})
-
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).groupBy().applyInPandas(plan, "source string, source_size long, target double, n_shards long")
-    sources = materialize(sources, "mix-sources")
-    placed = sizes.join(sources, sizes.source.eqNullSafe(sources.source), "left").select(
-        "id", sizes.source, "size", "source_size", "target", F.pmod(F.xxhash64(F.lit(seed), "id", "size"), "n_shards").alias("shard")
-    )
-    cells = materialize(placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("target").alias("target")), "mix-cells")
-
-    def seats(pdf: pd.DataFrame) -> pd.DataFrame:
-        *_, most, _, block = cuts
-        room = np.floor(pdf.room.to_numpy()).astype(np.int64)
-        return pd.DataFrame({"source": pdf.source, "quota": sainte_lague(pdf.target.to_numpy(), round(pdf.target.sum() / block), room)})
-
-    def by_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        *_, most, _, block = cuts
-        pdf = pdf.sort_values("shard")
-        room = np.floor(most * pdf.words.to_numpy() / block).astype(np.int64)
-        return pd.DataFrame({"source": pdf.source, "shard": pdf.shard, "words": pdf.words, "quota": sainte_lague(pdf.words.to_numpy(), int(pdf.quota.iloc[0]), room)})
-
-    rooms = cells.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.floor(F.col("words") * cap / block_words)).cast("double").alias("room"))
-    quotas = rooms.groupBy().applyInPandas(seats, "source string, quota long")
-    shards = cells.select("source", "shard", "words").alias("c").join(quotas.alias("q"), F.col("c.source").eqNullSafe(F.col("q.source")))
-    shards = shards.select("c.source", "shard", "words", "quota").groupBy("source").applyInPandas(by_shard, "source string, shard long, words long, quota long")
-    arcs = shards.select(
-        F.col("source").alias("cell_source"),
-        F.col("shard").alias("cell_shard"),
-        F.col("words").alias("ring"),
-        (F.col("quota") * block_words).alias("quota_words"),
-        (F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest(F.lit(1), F.floor(F.col("words") / block_words))) * block_words).alias("begin"),
-    )
-    order = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id", "size"), "id", "size")
-    spots = placed.withColumn("upto", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    joined = spots.join(arcs, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("shard") == F.col("cell_shard")), "left")
-    laps = F.when(F.col("ring") > 0, F.floor(F.col("quota_words") / F.col("ring"))).otherwise(0)
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = numbered(sources, [F.col("source").asc_nulls_last()], "mix-sources")
+    kinds = F.array(*(F.lit(float(x)) for x in weights))
+    sources = sources.select("source", "number", "source_size", F.get(kinds, (F.col("number") % len(weights)).cast("int")).alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("room"))
+    total = sources.agg(F.sum("source_size").alias("n")).first().n or 0
+    level = water_level(sources, share * total) if total else 0.0
+    target = F.col("room") if level is None else F.least("room", F.col("weight") * level)
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
+    sources = materialize(sources.select("source", F.col("number").alias("grp"), "source_size", target.alias("target"), shards.alias("n_shards")), "mix-targets")
+    placed = sizes.join(sources, sizes.source.eqNullSafe(sources.source), "left").select("id", sizes.source, "size", "source_size", "target", "grp", F.pmod("lot", "n_shards").alias("unit"), "lot")
+    cells = placed.where("size > 0").groupBy("grp", "unit").agg(F.sum("size").alias("votes"))
+    cells = materialize(cells.withColumn("most", F.floor(F.col("votes") * F.lit(float(cap)) / block_words)), "mix-cells")
+    rooms = cells.groupBy("grp").agg(F.sum("most").alias("most"))
+    by_target = sources.join(rooms, "grp").select(F.lit(0).cast("long").alias("grp"), F.col("grp").alias("unit"), F.col("target").alias("votes"), "most")
+    blocks = round((sources.agg(F.sum("target").alias("n")).first().n or 0.0) / block_words)
+    seats = apportion(by_target, df.sparkSession.range(1).select(F.col("id").alias("grp"), F.lit(blocks).cast("long").alias("seats")), "mix-seats")
+    quotas = apportion(cells, seats.select(F.col("unit").alias("grp"), F.col("quota").alias("seats")), "mix-quotas")
+    arcs = cells.join(quotas, ["grp", "unit"]).select(
+        "grp", "unit", F.col("votes").alias("ring"), (F.col("quota") * block_words).alias("quota_words"),
+        (F.pmod(F.xxhash64(F.lit(seed), "grp", "unit"), F.greatest(F.lit(1), F.floor(F.col("votes") / block_words))) * block_words).alias("begin"),
+    )
+    arcs = materialize(arcs, "mix-arcs")
+    discard(cells, seats, quotas)
+    # Documents without words are in no ring, however many there are.
+    order = W.partitionBy("grp", "unit").orderBy(F.xxhash64(F.lit(seed + 1), "lot"), "lot", "id", "size")
+    spots = placed.where("size > 0").withColumn("upto", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    joined = spots.join(arcs, ["grp", "unit"], "left")
+    laps = F.floor(F.col("quota_words") / F.col("ring"))
     first, last = F.col("upto") - F.col("size"), F.col("upto")
     arc = F.col("quota_words") - laps * F.col("ring")
     overlap = lambda shift: F.greatest(F.lit(0), F.least(last, F.col("begin") + arc - shift) - F.greatest(first, F.col("begin") - shift))
-    taken = laps * F.col("size") + overlap(F.lit(0)) + overlap(F.col("ring"))
-    return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    taken = F.coalesce(laps * F.col("size") + overlap(F.lit(0)) + overlap(F.col("ring")), F.lit(0)).cast("long")
+    out = lambda rows, c: rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", c.alias("taken"))
+    return out(joined, taken).unionByName(out(placed.where("size = 0"), F.lit(0).cast("long")))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
