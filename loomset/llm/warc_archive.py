@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm.common import materialize, small_batches, table
+from loomset.llm.common import discard, materialize, small_batches, table
 
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -72,8 +72,10 @@ def write_archive(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     spark = df.sparkSession
     pages = df.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{body_col}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    digests = pages.select("page_id", "url", F.unhex(F.sha2("payload", 256)).alias("sha256"), F.sha1("payload").alias("sha1_hex"), F.length("payload").cast("long").alias("n"))
-    digests = materialize(digests, "warc-digests")
+    # One pass hashes the payloads; all that follows reads its table.
+    staged = pages.select("page_id", "url", "payload", F.unhex(F.sha2("payload", 256)).alias("sha256"), F.sha1("payload").alias("sha1_hex"), F.length("payload").cast("long").alias("n"))
+    staged = materialize(staged, "warc-staged")
+    digests = staged.drop("payload")
     firsts = digests.groupBy("sha256").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("copies"))
     # Digests that occur once need no word from the others: only the repeated ones are joined back.
     repeated = materialize(firsts.where("copies > 1").drop("copies"), "warc-repeated")
@@ -88,16 +90,16 @@ def write_archive(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             made = [header_bytes(p, u, base64.b32encode(bytes.fromhex(s)).decode(), n, r) for p, u, s, n, r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), batch.column(2), pa.array(made, pa.binary())], ["page_id", "refers_to", "sha256", "header"])
 
-    small_batches(spark, 1024)
+    small_batches(spark)
     headers = materialize(named.mapInArrow(head, f"page_id {kind}, refers_to {kind}, sha256 binary, header binary"), "warc-headers")
     # The scan leaves out what another record stores. The table of repeats is read with a known size:
     # the planner broadcasts it only when it is small, and sorts and merges otherwise.
-    keyed = pages.withColumn("sha256", F.unhex(F.sha2("payload", 256)))
-    once = keyed.join(repeated.select("sha256", F.col("response_id").alias("keeper"), F.lit(True).alias("again")), "sha256", "left")
+    once = staged.select("page_id", "sha256", "payload").join(repeated.select("sha256", F.col("response_id").alias("keeper"), F.lit(True).alias("again")), "sha256", "left")
     once = once.where(F.col("again").isNull() | F.col("page_id").eqNullSafe(F.col("keeper")))
     alone = once.where(F.col("again").isNull()).select("sha256", "payload")
     shared = once.where(F.col("again")).select("sha256", "payload").dropDuplicates(["sha256"])  # the same id may come twice
     payloads = materialize(alone.unionByName(shared), "warc-payloads")
+    discard(staged, repeated)
     return headers, payloads
 
 
@@ -112,31 +114,40 @@ def read_records(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     return joined.select("page_id", "refers_to", "sha256", body.alias("record"), "payload")
 
 
-def verify_records(records: DataFrame) -> DataFrame:
-    """Parses each rebuilt record and checks both digests; a mismatch raises.
+def verify_archive(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Reads an archive back: each stored payload against its strong digest, once, and each record rebuilt and parsed.
 
-    Gives ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``target_uri``.
+    Gives ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``target_uri``;
+    a mismatch raises. A revisit meets only the digests of its payload, not the payload, however many
+    revisits there are. An empty archive gives an empty result.
     """
-    kind = records.schema["page_id"].dataType.simpleString()
+    kind = headers.schema["page_id"].dataType.simpleString()
+    sound = F.when(F.unhex(F.sha2("payload", 256)) == F.col("sha256"), F.sha1("payload")).otherwise(F.raise_error(F.concat(F.lit("a stored payload doesn't match its digest "), F.hex("sha256"))))
+    told = materialize(payloads.select("sha256", F.length("payload").cast("long").alias("n"), sound.alias("sha1_hex")), "warc-told")
+    known = headers.join(told, "sha256")
+    ending = F.lit(bytearray(CRLF * 2))
+    whole = known.where("refers_to IS NULL").join(payloads, "sha256").select("page_id", "refers_to", "n", "sha1_hex", F.concat("header", "payload", ending).alias("record"))
+    again = known.where("refers_to IS NOT NULL").select("page_id", "refers_to", "n", "sha1_hex", F.concat("header", ending).alias("record"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for strong, record, full in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
-                full = full.as_py()
+            out: list[list] = [[] for _ in range(3)]
+            for target, n, strong, record in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 fields, _, payload = parse_record(record.as_py())
-                sha1 = base32_sha1(full)
-                revisit = fields["WARC-Type"] == "revisit"
-                if hashlib.sha256(full).digest() != strong.as_py() or fields["WARC-Payload-Digest"] != f"sha1:{sha1}" or (payload != full and not revisit):
+                sha1 = base64.b32encode(bytes.fromhex(strong)).decode()
+                revisit = target is not None
+                right = fields["WARC-Type"] == ("revisit" if revisit else "response") and fields["WARC-Payload-Digest"] == f"sha1:{sha1}"
+                right = right and (fields["WARC-Refers-To"] == record_id(target) and not payload if revisit else len(payload) == n and base32_sha1(payload) == sha1)
+                if not right:
                     raise ValueError(f"record {fields['WARC-Record-ID']} doesn't match its digest")
-                for column, value in zip(out, (len(full), sha1, fields["WARC-Type"], fields.get("WARC-Target-URI")), strict=True):
+                for column, value in zip(out, (sha1, fields["WARC-Type"], fields.get("WARC-Target-URI")), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), *(pa.array(x, pa.string()) for x in out[1:3]), batch.column(1), pa.array(out[3], pa.string())], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.string()) for x in out[:2]), batch.column(1), pa.array(out[2], pa.string())], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"])
 
-    small_batches(records.sparkSession)
-    return records.mapInArrow(check, f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, target_uri string")
+    small_batches(headers.sparkSession)
+    return whole.unionByName(again).mapInArrow(check, f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, target_uri string")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers, payloads = write_archive(table(spark, sf_dir, "pages"))
-    return verify_records(read_records(headers, payloads)).drop("target_uri")
+    return verify_archive(headers, payloads).drop("target_uri")
