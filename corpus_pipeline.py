@@ -21,12 +21,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows without an id go by their text. Rows can share a key, so nothing may join on it alone."""
-    return docs.select(*COLUMNS, F.coalesce(F.col("doc_id"), -1 - F.abs(F.xxhash64("text") / 2).cast("long")).alias("row_key"))
+    """Rows without an id go by a digest of their text, told from ids by a letter. Rows can share a key, so nothing may join on it alone."""
+    digest = F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32)
+    return docs.select(*COLUMNS, F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), digest)).alias("row_key"))
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; its labels are the table ``labels``."""
+    """Documents that the quality classifier keeps; its labels are the table ``labels``.
+
+    Each row is judged by itself: rows with one id may differ in their fate, equal rows of one site don't.
+    A score at the limit of quality is kept, one at the limit of toxicity isn't. Nulls are judged like empty texts.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"))
     return classify(docs.select(*COLUMNS), model).where("verdict.kept").select(*COLUMNS)
 
@@ -75,7 +80,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, with parity and round trip."""
+    """The documents' pieces, with parity and round trip: a row for each row, whether ids are null, repeat or not; a null text has no pieces."""
     import public_tokenizers
 
     out = sentencepiece_encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
