@@ -28,6 +28,7 @@ from loomset.llm.graph import components
 
 #: Tokens chosen at each node: 1 / threshold, rounded up.
 CHOSEN = 2
+#: Tokens of a sketch at least; lower thresholds take longer ones.
 SKETCH = 64
 LEAF, DEPTH = 64, 3
 #: A node whose largest child has this share of it isn't split further.
@@ -66,7 +67,7 @@ def sketch(values: np.ndarray, size: int = SKETCH) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def describe(docs: DataFrame, width: int) -> DataFrame:
+def describe(docs: DataFrame, width: int, length: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,9 +77,9 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 values = shingles(body.as_py(), width)
                 sids.append(blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None)
                 sizes.append(len(values))
-                sketches.append(sketch(values))
+                sketches.append(sketch(values, length))
             flat = np.concatenate(sketches) if sketches else np.empty(0, np.int32)
-            offsets = np.arange(len(sketches) + 1, dtype=np.int32) * SKETCH
+            offsets = np.arange(len(sketches) + 1, dtype=np.int32) * length
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "tid", "sid", "n", "sketch"])
 
     return docs.mapInArrow(run, f"id {kind}, tid binary, sid binary, n long, sketch array<int>")
@@ -98,6 +99,11 @@ def n_runs(threshold: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
 
 
+def sketch_length(threshold: float, recall: float) -> int:
+    """Tokens of a sketch: half of them or fewer are the trees' roots, the others are for the nodes below."""
+    return max(SKETCH, 2 * CHOSEN * n_runs(threshold, recall))
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections, over slabs of the values that several sets hold."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -173,8 +179,6 @@ def compare(blocks: DataFrame, threshold: float) -> DataFrame:
 def leaf_members(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(leaf, sid) for all leaves of all runs with two sets or more. A leaf's high byte is its run's tree."""
     trees = n_runs(threshold, recall) * CHOSEN
-    if trees > SKETCH // 2:
-        raise ValueError("the recall needs a longer sketch")
     low = (1 << 56) - 1
     root = lambda t: F.xxhash64(F.lit(t), F.get("sketch", F.lit(t))).bitwiseAND(F.lit(low)).bitwiseOR(F.lit(t << 56))
     at = sets.select("sid", F.explode(F.array(*map(root, range(trees)))).alias("node"))
@@ -193,7 +197,7 @@ def leaf_members(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
         large = at.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
-        deeper = SKETCH - trees
+        deeper = sketch_length(threshold, recall) - trees
         pick = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(deeper)).cast("int") + trees
         child = lambda k: F.xxhash64("node", pick(k), F.get("sketch", pick(k))).bitwiseAND(F.lit(low)).bitwiseOR(F.col("node").bitwiseAND(F.lit(~low)))
         down = large.join(sets.select("sid", "sketch"), "sid").select("sid", "node", "size", F.explode(F.array(*map(child, range(CHOSEN)))).alias("child"))
@@ -288,9 +292,9 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     all ids in it are null. An empty table gives an empty result. Only the two named columns are read.
     """
     spark = df.sparkSession
-    small_batches(spark, 128)
+    small_batches(spark)
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.substring(F.sha2(text_bytes(text_col), 256), 1, 32)).alias("tid"), text_bytes(text_col).alias("body"))
-    described = materialize(describe(docs, width), "sets-described")
+    described = materialize(describe(docs, width, sketch_length(threshold, recall)), "sets-described")
     rows = materialize(described.select("id", "sid"), "sets-rows")
     sets = described.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = materialize(sets, "sets")

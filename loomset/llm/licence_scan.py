@@ -145,8 +145,8 @@ WITH t(licence, tg) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS body FROM documents),
 s AS (SELECT DISTINCT k, unnest(list_concat(list_concat(string_split(body, chr(10)), regexp_split_to_array(body, '\\n[ \\t]*\\n')), [body])) AS seg FROM d),
 w AS (SELECT k, string_split(trim(regexp_replace(lower(seg), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM s),
-g AS (SELECT k, list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS sg FROM w WHERE len(ws) BETWEEN 2 AND 100000),
-m AS (SELECT k, licence, 2.0 * len(list_intersect(sg, tg)) / (len(sg) + len(tg)) AS dice FROM g, t WHERE len(sg) >= {threshold / (2 - threshold)} * len(tg) AND len(sg) <= {(2 - threshold) / threshold} * len(tg)),
+g AS (SELECT k, list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS sg FROM w WHERE len(ws) >= 2),
+m AS (SELECT k, licence, 2.0 * len(list_intersect(sg, tg)) / (len(sg) + len(tg)) AS dice FROM g, t WHERE 2 * least(len(sg), len(tg)) >= {threshold} * (len(sg) + len(tg)) - 1e-9),
 a AS (SELECT k, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(dice) AS best FROM m WHERE dice >= {threshold} GROUP BY k),
 b AS (SELECT m.k, min(licence) AS best_licence FROM m JOIN a ON m.k = a.k AND m.dice = a.best GROUP BY m.k)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(licences, '') AS licences, best_licence, round(CAST(best AS DOUBLE), 6) AS best_dice

@@ -83,15 +83,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits on ``sample_rows`` labelled documents, the first by a hash of the id.
 
     Labels that are null, or whose document is missing, are left out; of repeated labels the largest
-    counts. Word counts are aggregated on the executors; the driver gets ``lexicon_size`` words at
+    counts, and of documents with one id the least text. Word counts are aggregated on the executors; the driver gets ``lexicon_size`` words at
     most for each head and one short row of features for each sampled document.
     """
-    small_batches(docs.sparkSession, 128)
+    small_batches(docs.sparkSession)
     known = labels.where("quality IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "quality-sample-ids")
     # The sample has sample_rows ids at most: small enough to broadcast, whatever the input.
     picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_bytes(text_col).alias("body")).join(F.broadcast(known), "doc_id")
-    picked = materialize(picked.dropDuplicates(["doc_id"]), "quality-sample")
+    picked = materialize(picked.groupBy("doc_id").agg(*(F.min(c).alias(c) for c in ("body", "quality", "toxic"))), "quality-sample")
     total = picked.agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic")).first()
     if total.n < 20:
         return Model()
@@ -190,9 +190,11 @@ def classify(
     ``host`` and ``path`` are columns of strings, by default the source, and source and language. A
     null site is a site of its own. A null or empty text is judged by its features of form like any
     other. Repeated rows count each; an empty table gives an empty result; columns of ``df`` pass
-    through untouched, whatever their names but ``verdict``.
+    through untouched, whatever their names; one named ``verdict`` raises ValueError.
     """
-    small_batches(df.sparkSession, 128)
+    if "verdict" in (keep or df.columns):
+        raise ValueError("the input has a column verdict of its own")
+    small_batches(df.sparkSession)
     host = F.col("source").cast("string") if host is None else host
     path = F.concat_ws("/", F.col("source"), F.col("lang")) if path is None else path
     own = df.select(F.struct(*(F.col(f"`{c}`") for c in keep or df.columns)).alias("row"), host.alias("host"), path.alias("path"), scores(model, text_bytes(text_col)).alias("s"))
