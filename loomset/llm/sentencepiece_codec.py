@@ -5,7 +5,7 @@ a precompiled map), the metaspace marker, byte fallback, and for a unigram model
 BPE model the merges that its scores imply. Where nothing merges across the start of a run of markers,
 texts are cut there, each worker keeps the ids of the pieces it has met, and the rest of a batch goes
 to the library's threads at once; otherwise whole texts do. Each text's
-ids are compared with those of the sentencepiece library (``verify``), and decoded again.
+ids are compared with those of the sentencepiece library (``verify``), and decoded again by the rebuilt decoder.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ from loomset.llm.common import id_and_bytes, small_batches, table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-#: Pieces whose ids a worker keeps, about 300 MB.
-ROOM = 1_500_000
+#: Bytes, estimated, of the pieces whose ids and texts a worker keeps.
+ROOM = 450_000_000
 END = "\0"
 
 
 def apart(pieces) -> re.Pattern[str]:
-    """Cuts normalised text where no merge can cross: before runs of markers, and around other marks.
+    """Cuts text, its markers as spaces, where no merge can cross: before runs of markers, and around other marks.
 
     A mark is an ASCII character, not a letter or digit, that stands in no piece beside a character
     other than marks and the marker before it; so no piece holds both sides of a cut.
@@ -42,7 +42,7 @@ def apart(pieces) -> re.Pattern[str]:
     while wrong := {a for a, b in beside if a in marks and b not in marks} | {b for a, b in beside if b in marks and a not in marks and a != MARK}:
         marks -= wrong
     own = "".join(map(re.escape, sorted(marks)))
-    return re.compile(f"{MARK}*[{own}]+|{MARK}*[^{MARK}{own}]+|{MARK}+" if own else f"{MARK}*[^{MARK}]+|{MARK}+")
+    return re.compile(f" *[{own}]+| *[^ {own}]+| +" if own else " *[^ ]+| +")
 
 
 def parse_model(blob: bytes):
@@ -96,70 +96,93 @@ def build_tokenizer(blob: bytes):
     if not any(MARK in p.piece.lstrip(MARK) for p in model.pieces):
         # No piece has a marker after another character, so none spans the start of a run of markers.
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", int(norm.add_dummy_prefix), 0)])
+    tokenizer.decoder = decoders.Sequence([*piece_decoders(model), decoders.Strip(" ", int(norm.add_dummy_prefix), 0)])
     return tokenizer
 
 
-def piece_bytes(blob: bytes) -> list[bytes]:
-    """What each id decodes to, as bytes."""
-    out = []
-    for p in parse_model(blob).pieces:
-        if p.type == BYTE:
-            out.append(bytes([int(p.piece[1:-1], 16)]))
-        elif p.type == CONTROL:
-            out.append(b"")
-        elif p.type == UNKNOWN:
-            out.append(" ⁇ ".encode())
-        else:
-            out.append(p.piece.replace(MARK, " ").encode())
-    return out
+def piece_decoders(model) -> list:
+    """The decoder's steps but for the first marker: control pieces vanish, the unknown piece has its surface, bytes are fused."""
+    from tokenizers import Regex, decoders
+
+    special = [decoders.Replace(Regex(f"^{re.escape(p.piece)}$"), "" if p.type == CONTROL else model.trainer_spec.unk_surface) for p in model.pieces if p.type in (CONTROL, UNKNOWN)]
+    return [*special, decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
 
 
 class Codec:
-    def __init__(self, blob: bytes, threads: int, verify: bool) -> None:
+    def __init__(self, blob: bytes, threads: int, verify: bool, room: int = ROOM) -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
-        self.tokenizer, self.table, self.reference = build_tokenizer(blob), piece_bytes(blob), None
-        norm = parse_model(blob).normalizer_spec
+        from tokenizers import Tokenizer, decoders, pre_tokenizers
+
+        model = parse_model(blob)
+        self.tokenizer, self.reference, self.size = build_tokenizer(blob), None, len(model.pieces)
+        norm = model.normalizer_spec
         self.lead = norm.add_dummy_prefix
+        self.hidden = {i for i, p in enumerate(model.pieces) if p.type == CONTROL}
+        self.marked = {i for i, p in enumerate(model.pieces) if p.type == NORMAL and p.piece.startswith(MARK)}
+        self.tokenizer.decoder = decoders.Sequence(piece_decoders(model))
         self.cut = bool(self.tokenizer.pre_tokenizer) and self.lead and not norm.precompiled_charsmap and not norm.remove_extra_whitespaces
         if self.cut:
-            from tokenizers import Tokenizer, pre_tokenizers
-
-            self.pieces, self.met, self.cuts, self.numbers = Tokenizer(self.tokenizer.model), {}, apart(parse_model(blob).pieces), list(range(len(self.table)))
+            self.pieces, self.cuts, self.numbers = Tokenizer(self.tokenizer.model), apart(model.pieces), list(range(self.size))
             self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(END)
+            self.pieces.decoder = self.tokenizer.decoder
+            self.met: dict[str, tuple[int, ...]] = {}
+            self.back: dict[str, str] = {}
+            self.room, self.held = room, 0
         if verify:
             import sentencepiece
 
             self.reference = sentencepiece.SentencePieceProcessor(model_proto=blob)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [ids for ids, _ in self.there_and_back(texts)]
+
+    def there_and_back(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+        """Each text's ids, and what they decode to. A piece that no merge crosses is encoded, and its ids decoded, once."""
         if not self.cut:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        parts = [self.cuts.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        met = self.met
-        missing = list(set().union(*parts).difference(met))
-        if len(met) + len(missing) > ROOM:
-            met.clear()
-            missing = list(set().union(*parts))
-        self.learn(missing)
-        return [list(chain.from_iterable(map(met.__getitem__, p))) for p in parts]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            yield from zip(ids, map(self.unmarked, ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False)), strict=True)
+            return
+        parts = [self.cuts.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        missing = set().union(*parts).difference(self.met)
+        if self.held + sum(map(self.cost, missing)) > self.room:
+            self.met.clear()
+            self.back.clear()
+            self.held, missing = 0, set().union(*parts)
+        self.learn(list(missing))
+        for p in parts:
+            ids = list(chain.from_iterable(map(self.met.__getitem__, p)))
+            yield ids, self.unmarked(ids, "".join(map(self.back.__getitem__, p)))
+
+    @staticmethod
+    def cost(piece: str) -> int:
+        """Bytes that a piece takes here, about: a string, a tuple of ids and two places in a table."""
+        return 250 + 10 * len(piece)
 
     def learn(self, missing: list[str]) -> None:
         """The ids of new pieces: joined by a character that ends a pre-token, many pieces to an encoding."""
         plain = [p for p in missing if END not in p]
         groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        for group, e in zip(groups, self.pieces.encode_batch([END.join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.pieces.encode_batch([END.join(g).replace(" ", MARK) for g in groups], add_special_tokens=False), strict=True):
             numbers, at = list(map(self.numbers.__getitem__, e.ids)), e.word_ids
             starts = [i for i in range(len(at)) if i == 0 or at[i] != at[i - 1]] + [len(at)]
             self.met.update(zip(group, (tuple(numbers[a:b]) for a, b in zip(starts, starts[1:], strict=False)), strict=True))
         for p in missing:
             if END in p:
-                self.met[p] = tuple(t.id for t in self.pieces.model.tokenize(p))
+                self.met[p] = tuple(t.id for t in self.pieces.model.tokenize(p.replace(" ", MARK)))
+        decoded = self.pieces.decode_batch([list(self.met[p]) for p in missing], skip_special_tokens=False)
+        self.back.update((p, p if p == text else text) for p, text in zip(missing, decoded, strict=True))  # one string for both
+        self.held += sum(map(self.cost, missing))
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.table.__getitem__, ids))
-        return raw[bool(self.lead and raw[:1] == b" ") :].decode("utf-8", "replace")
+        if ids and not 0 <= min(ids) <= max(ids) < self.size:
+            raise IndexError(f"an id outside the vocabulary of {self.size}")
+        return self.unmarked(ids, self.tokenizer.decode(ids, skip_special_tokens=False))
+
+    def unmarked(self, ids: list[int], text: str) -> str:
+        """The text without the marker that leads its first piece; a space that isn't a marker stays."""
+        first = next((i for i in ids if i not in self.hidden), None)
+        return text[1:] if self.lead and first in self.marked else text
 
 
 #: The worker's codec by model, so that the next task of the same worker finds it.
@@ -191,9 +214,8 @@ def sentencepiece_encode(df: DataFrame, model_path: str, id_col: str = "doc_id",
         own = codec(shared.value, threads, verify)
         for batch in batches:
             texts = [b.as_py().decode("utf-8", "replace") for b in batch.column(1)]
-            ids = own.encode(texts)
+            ids, decoded = map(list, zip(*own.there_and_back(texts), strict=True)) if texts else ([], [])
             same = [a == b for a, b in zip(ids, own.reference.encode(texts), strict=True)] if own.reference else [None] * len(ids)
-            decoded = [own.decode(x) for x in ids]
             trips = [a == b.replace(MARK, " ") for a, b in zip(decoded, texts, strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if ids else np.empty(0, np.int32)
@@ -205,7 +227,11 @@ def sentencepiece_encode(df: DataFrame, model_path: str, id_col: str = "doc_id",
 
 
 def sentencepiece_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per input row: the id and ``decoded``. Null ids decode to null; ids outside the vocabulary raise."""
+    """One row per input row: the id and ``decoded``. Null ids decode to null; ids outside the vocabulary raise.
+
+    Control pieces decode to nothing and the unknown piece to its surface. Bytes that aren't UTF-8 become
+    replacement characters. Repeated rows pass through; an empty table gives an empty result.
+    """
     spark = df.sparkSession
     with open(model_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
