@@ -1,8 +1,8 @@
 """Quality rules: how far a document's histograms are from its language's.
 
 All of it is DataFrame expressions. A document's character classes and common words are counted; the
-reference of each language is the sum over all its documents; the verdict compares both histograms
-with the reference by Jensen-Shannon distance, from a minimum length on.
+reference of each language is the sum over all its other documents; the verdict compares both
+histograms with the reference by Jensen-Shannon distance, from a minimum length on.
 """
 
 from __future__ import annotations
@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 
 from loomset.llm.common import WORD, materialize, table
 
-#: The languages' commonest function words, six each.
-COMMON_WORDS = ["the", "of", "and", "to", "in", "is", "la", "les", "des", "et", "une", "que", "der", "die", "und", "das", "nicht", "mit", "el", "los", "las", "del", "por", "con"]
+#: Common function words of English, French, German and Spanish, by language.
+COMMON_WORDS = list(dict.fromkeys(
+    "the of and to in is that it for on with was as by at this from are be or have not "
+    "la les des et une que le un est pour dans qui sur pas par du au se plus ne avec ce "
+    "der die und das nicht mit den von zu ist ein eine auf dem im sich auch als an wie werden aus "
+    "el los las del por con en y para su lo es al como pero sus entre cuando todo esta son sin".split()
+))
+#: Limits of the distances, and words that a language's other documents must hold to be a reference.
+CHAR_LIMIT, WORD_LIMIT, MIN_REFERENCE = 0.25, 0.32, 2000
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
 #: Character classes in the order in which they are taken out of the text; what is left is the last class.
@@ -67,7 +74,7 @@ def base_counts(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
         ),
     )
     repeated = F.expr("CASE WHEN size(spots) = 0 OR get(spots, 0) IS NULL THEN 0L ELSE aggregate(transform(spots, (p, j) -> least(3, coalesce(get(spots, j + 1) - p, 3))), 0L, (t, x) -> t + x) END")
-    found = F.filter("words", lambda x: F.lower(x).isin(COMMON_WORDS))
+    found = F.filter(F.transform("words", F.lower), lambda x: x.isin(COMMON_WORDS))
     step = step.select(
         "id",
         "lang",
@@ -75,15 +82,15 @@ def base_counts(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
         size.cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
-        F.transform(found, F.lower).alias("common"),
+        # Each between spaces of its own, so that a word's count is what its removal leaves out.
+        F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" ")).alias("common"),
     )
     rest = "text"
     for name, members in CLASSES.items():
         step = step.withColumn(f"rest_{name}", F.translate(rest, members, "")).withColumn(f"c_{name}", (F.length(rest) - F.length(f"rest_{name}")).cast("long"))
         rest = f"rest_{name}"
     step = step.withColumn("c_other", F.length(rest).cast("long")).withColumn("n_chars", F.length("text").cast("long"))
-    equal = lambda w: lambda x: x == w
-    counts = [F.size(F.filter("common", equal(w))).cast("long") for w in COMMON_WORDS]
+    counts = [((F.length("common") - F.length(F.replace("common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in COMMON_WORDS]
     step = step.select("id", "lang", "n_chars", "n_words", (F.col("n_chars") - F.col("c_space")).alias("word_chars"), F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", F.array(*(f"c_{c}" for c in [*CLASSES, "other"])).alias("chars"), F.array(*counts).alias("commons"))
     return step
 
@@ -94,32 +101,78 @@ def quality_rules(
     text_col: str = "text",
     lang_col: str = "lang",
     min_words: int = 50,
-    char_limit: float = 0.25,
-    word_limit: float = 0.28,
+    char_limit: float = CHAR_LIMIT,
+    word_limit: float = WORD_LIMIT,
+    min_reference: int = MIN_REFERENCE,
 ) -> DataFrame:
     """One row per input row: the base measures, ``base_failed``, both distances and ``kept``.
 
     A null text has no words and fails the base rules. A document shorter than ``min_words`` fails
-    them too and gets no distance. A null language is a language of its own. References are sums over
-    all documents of the language, so an empty table gives an empty result. Repeated rows count each.
-    Only the three named columns are read. Each document is one row throughout: nothing is exploded,
-    and only the languages' histograms are aggregated.
+    them too and gets no distance. A null language is a language of its own. A document is compared
+    with the sums over all other documents of its language; where these hold fewer than
+    ``min_reference`` words there is no distance, and the base rules decide. An empty table gives an
+    empty result. Repeated rows count each, as references of each other too. Only the three named
+    columns are read. Each document is one row throughout: nothing is exploded, and only the
+    languages' histograms are aggregated.
     """
     counts = materialize(base_counts(df, id_col, text_col, lang_col), "quality-counts")
     sum_up = lambda c, k: F.array(*(F.sum(F.get(c, F.lit(i))) for i in range(k)))
     sums = counts.groupBy("lang").agg(sum_up("chars", len(CLASSES) + 1).alias("ref_chars"), sum_up("commons", len(COMMON_WORDS)).alias("ref_commons"), F.sum("n_words").alias("ref_words"), F.sum("n_chars").alias("ref_n"))
-    sums = sums.select(F.col("lang").alias("ref_lang"), shares(F.col("ref_chars"), F.col("ref_n"), False).alias("ref_chars"), shares(F.col("ref_commons"), F.col("ref_words"), True).alias("ref_commons"))
-    joined = counts.join(sums, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    by_char = js_distance(shares(F.col("chars"), F.col("n_chars"), False), F.col("ref_chars"))
-    by_word = js_distance(shares(F.col("commons"), F.col("n_words"), True), F.col("ref_commons"))
+    joined = counts.join(sums.withColumnRenamed("lang", "ref_lang"), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    others = lambda ref, own: F.zip_with(ref, own, lambda a, b: a - b)
+    n, words = F.col("ref_n") - F.col("n_chars"), F.col("ref_words") - F.col("n_words")
+    by_char = js_distance(shares(F.col("chars"), F.col("n_chars"), False), shares(others("ref_chars", "chars"), n, False))
+    by_word = js_distance(shares(F.col("commons"), F.col("n_words"), True), shares(others("ref_commons", "commons"), words, True))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    long_enough = F.col("n_words") >= min_words
+    told = (F.col("n_words") >= min_words) & (words >= min_reference)
     out = joined.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        F.when(long_enough, by_char).alias("char_distance"), F.when(long_enough, by_word).alias("word_distance"),
+        F.when(told, by_char).alias("char_distance"), F.when(told, by_word).alias("word_distance"),
     )
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce((F.col("char_distance") <= char_limit) & (F.col("word_distance") <= word_limit), F.lit(True)))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+def op6_sql() -> str:
+    """The base measures, both distances and the verdict in DuckDB SQL."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    space = r"[^\x20\x09-\x0D]"
+    inner = "t"
+    takes = []
+    for name, members in CLASSES.items():
+        chars = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)" if name == "space" else quoted(members)
+        outer = f"translate({inner}, {chars}, '')"
+        takes.append(f"length({inner}) - length({outer}) AS c_{name}")
+        inner = outer
+    names = [*CLASSES, "other"]
+    chars = [f"c_{c}" for c in names]
+    commons = [f"m_{i}" for i in range(len(COMMON_WORDS))]
+    counts = ", ".join(f"len(list_filter(low, lambda x: x = {quoted(w)})) AS m_{i}" for i, w in enumerate(COMMON_WORDS))
+    term = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+
+    def distance(bins: list[str], own: str, total: str, rest: bool) -> str:
+        pairs = [(f"({c} / greatest(1, {own}))", f"((s_{c} - {c}) / greatest(1, {total} - {own}))") for c in bins]
+        if rest:
+            used, all_used = " + ".join(bins), " + ".join(f"(s_{c} - {c})" for c in bins)
+            pairs.append((f"(greatest(0, {own} - ({used})) / greatest(1, {own}))", f"(greatest(0, {total} - {own} - ({all_used})) / greatest(1, {total} - {own}))"))
+        return "sqrt(greatest(0, (" + " + ".join(f"{term(a, b)} + {term(b, a)}" for a, b in pairs) + ") / 2))"
+
+    sums = ", ".join(f"sum({c}) OVER l AS s_{c}" for c in [*chars, *commons])
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{space}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{space}')) AS ls FROM d),
+v AS (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3),
+x AS (SELECT k, i, count(*) OVER (PARTITION BY k, ws[i], ws[i + 1], ws[i + 2]) AS n FROM v),
+r AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM x WHERE n > 1) GROUP BY k),
+c AS (SELECT k, doc_id, lang, len(ws) AS n_words, length(t) AS n, len(ls) - len(list_distinct(ls)) AS n_dup_lines, list_transform(ws, lambda x: lower(x)) AS low, {", ".join(takes)}, length({inner}) AS c_other FROM w),
+b AS (SELECT * EXCLUDE (low), {counts} FROM c),
+s AS (SELECT *, sum(n) OVER l AS s_n, sum(n_words) OVER l AS s_words, {sums} FROM b WINDOW l AS (PARTITION BY lang)),
+q AS (SELECT s.*, coalesce(r.n, 0) AS rep, n_words >= 50 AND s_words - n_words >= {MIN_REFERENCE} AS told FROM s LEFT JOIN r ON s.k = r.k),
+j AS (SELECT *, n_words < 50 OR 100 * rep > 50 * n_words AS base_failed, CASE WHEN told THEN {distance(chars, "n", "s_n", False)} END AS cd, CASE WHEN told THEN {distance(commons, "n_words", "s_words", True)} END AS wd FROM q)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n - c_space AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(rep AS BIGINT) AS n_repeat_words, base_failed,
+round(CAST(cd AS DOUBLE), 6) AS char_distance, round(CAST(wd AS DOUBLE), 6) AS word_distance, NOT base_failed AND coalesce(cd <= {CHAR_LIMIT} AND wd <= {WORD_LIMIT}, true) AS kept
+FROM j"""

@@ -7,7 +7,7 @@ from loomset.llm.jaccard_join import op7_jaccard_join
 from loomset.llm.licence_scan import op5_licence_scan, op5_sql
 from loomset.llm.mixing import op8_source_mixing
 from loomset.llm.quality_classifier import op1_quality_classifier
-from loomset.llm.quality_rules import op6_quality_rules
+from loomset.llm.quality_rules import op6_quality_rules, op6_sql
 from loomset.llm.sentencepiece_codec import op4_sentencepiece
 from loomset.llm.suffix_dedup import op10_suffix_dedup
 from loomset.llm.token_counts import op2_token_counts
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-SQL = {"op5_licence_scan": op5_sql()}
+SQL = {"op5_licence_scan": op5_sql(), "op6_quality_rules": op6_sql()}
