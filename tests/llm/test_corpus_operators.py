@@ -1,3 +1,4 @@
+import base64
 import collections
 import hashlib
 import itertools
@@ -5,6 +6,8 @@ import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from loomset.llm import audio_features, graph, jaccard_join, mixing, suffix_dedup, warc_archive
 
@@ -30,6 +33,38 @@ def test_suffix_dedup_against_brute_force(spark, docs):
     assert suffix_dedup.suffix_dedup(docs).count() == docs.count() and suffix_dedup.suffix_dedup(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_radix_order_leaves_the_repeated_windows(unit):
+    rnd = random.Random(5)
+    for depth in (16, 23, 50):
+        texts = ["".join(rnd.choice("ab") for _ in range(rnd.randint(depth, 300))).encode() for _ in range(6)]
+        texts += [texts[0][3:] + texts[1][:depth], texts[2]]
+        slices = texts if unit == "bytes" else [b" ".join(bytes([c]) * (1 + c % 3) for c in t) for t in texts]
+        at_each, bounds, width = suffix_dedup.digits(slices, unit)
+        places = np.array([b + i for b, t in zip(bounds, texts) for i in range(len(t) - depth + 1)])
+        window = {p: t[i : i + depth] for b, t in zip(bounds, texts) for i, p in enumerate(range(b, b + len(t) - depth + 1))}
+        groups = np.array([window[p][0] % 2 for p in places])
+        seen = collections.Counter((g, window[p]) for p, g in zip(places, groups))
+        left, group = suffix_dedup.radix_order(at_each, places, groups, width, depth)
+        assert sorted(left) == [p for p, g in zip(places, groups) if seen[g, window[p]] > 1]
+        assert [(window[p][0] % 2, window[p]) for p in left] == sorted((window[p][0] % 2, window[p]) for p in left)
+        assert len(set(group)) == sum(n > 1 for n in seen.values())
+
+
+@pytest.mark.parametrize("most, digit", [(2, 64), (1, 4096)])
+def test_large_buckets_are_dealt_by_further_digits(spark, monkeypatch, most, digit):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_RUNS", most)
+    monkeypatch.setattr(suffix_dedup, "DIGIT", digit)
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcd ") for _ in range(n))
+    line, passages = word(120), [word(500) for _ in range(3)]
+    texts = [word(rnd.randint(0, 700)) + line + word(rnd.randint(200, 700)) for _ in range(25)]
+    texts += [word(i) + passages[i % 3][i : 480 - i] + line + passages[i % 2][:350] + word(60) for i in range(25)] + [texts[0], line * 9, "é" * 700]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(texts[r.doc_id].encode() if r.kept is None else bytes(r.kept)).hexdigest()) for r in suffix_dedup.suffix_dedup(rows).collect())
+    assert [g[1:] for g in got] == list(brute_cut([t.encode() for t in texts], 400))
+
+
 def test_suffix_dedup_by_words(spark):
     passage = " ".join(f"p{i}" for i in range(55))
     rows = spark.createDataFrame([(1, f"alpha {passage} beta"), (2, f"gamma\n{passage.replace(' ', '  ')}\tdelta"), (3, " ".join(f"p{i}" for i in range(49)))], "doc_id long, text string")
@@ -79,6 +114,15 @@ def test_jaccard_join_against_brute_force(spark, docs):
     assert jaccard_join.jaccard_classes(docs).count() == docs.count() and jaccard_join.jaccard_classes(docs.limit(0)).collect() == []
 
 
+def test_low_thresholds_take_longer_sketches(spark):
+    rnd = random.Random(12)
+    own = [f"w{i}" for i in range(200)]
+    texts = [" ".join(own[:140] + rnd.choices(own, k=10 + 12 * i)) for i in range(9)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(rows, threshold=0.5).collect()}
+    assert got == dict(enumerate(brute_classes(texts, least=0.5)))
+
+
 def test_blocks_of_a_leaf_find_the_same_links(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 16)
     texts = [" ".join(f"h{j}" for j in range(150)) + f" end{i}" for i in range(120)]
@@ -93,19 +137,32 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
-def test_sainte_lague_is_the_highest_quotients():
-    rnd = np.random.default_rng(4)
-    for _ in range(40):
-        n, seats = int(rnd.integers(1, 9)), int(rnd.integers(0, 60))
-        votes, most = rnd.integers(0, 50, n).astype(float), rnd.integers(0, 25, n)
-        want = np.zeros(n, int)
-        for _ in range(seats):
-            q = np.where((want < most) & (votes > 0), votes / (2 * want + 1), -1)
-            if q.max() < 0:
-                break
-            want[int(q.argmax())] += 1
-        got = mixing.sainte_lague(votes, seats, most)
-        assert got.sum() == want.sum() and np.allclose(sorted(votes / (2 * got + 1)), sorted(votes / (2 * want + 1)))
+def highest_quotients(votes, most, seats):
+    taken = [0] * len(votes)
+    for _ in range(min(seats, sum(m for v, m in zip(votes, most) if v > 0))):
+        k = min((i for i in range(len(votes)) if taken[i] < most[i] and votes[i] > 0), key=lambda i: ((taken[i] + 0.5) / votes[i], i))
+        taken[k] += 1
+    return taken
+
+
+def test_apportionment_is_by_the_highest_quotients(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LAST_SEATS", 20)
+    rnd = random.Random(4)
+    units, seats, want = [], [], {}
+    for g in range(30):
+        n = rnd.randint(1, 9)
+        votes, most = ([float(rnd.choice((0, 1, 7, rnd.randint(1, 90)))) for _ in range(n)], [rnd.randint(0, 25) for _ in range(n)])
+        seats.append((g, rnd.randint(0, 90)))
+        units += [(g, i, v, m) for i, (v, m) in enumerate(zip(votes, most))]
+        want |= {(g, i): q for i, q in enumerate(highest_quotients(votes, most, seats[-1][1])) if votes[i] > 0 and most[i] > 0}
+    got = mixing.apportion(spark.createDataFrame(units, "grp long, unit long, votes double, most long"), spark.createDataFrame(seats, "grp long, seats long"), "test")
+    assert {(r.grp, r.unit): r.quota for r in got.collect()} == want
+
+
+def test_a_source_of_very_many_equal_shards(spark):
+    units = spark.range(100_000).selectExpr("0L AS grp", "id AS unit", "CAST(64 AS DOUBLE) AS votes", "16L AS most")
+    got = mixing.apportion(units, spark.createDataFrame([(0, 1_150_001)], "grp long, seats long"), "test")
+    assert {(r.quota, r.n, r.last) for r in got.groupBy("quota").agg(F.count("unit").alias("n"), F.max("unit").alias("last")).collect()} == {(12, 50_001, 50_000), (11, 49_999, 99_999)}
 
 
 def test_mixing(spark, docs):
@@ -116,7 +173,45 @@ def test_mixing(spark, docs):
     again = mixing.mix_sources(docs.repartition(3)).toPandas()
     key = lambda d: sorted(map(repr, d.itertuples(index=False)))
     assert key(got) == key(again) and mixing.mix_sources(docs.limit(0)).collect() == []
-    assert mixing.water_fill(np.array([10, 100]), np.array([3.0, 1.0]), 165.0, 2.0).tolist() == [20.0, 145.0]
+    level = lambda rows, total: mixing.water_level(spark.createDataFrame(rows, "room double, weight double"), total)
+    assert level([(20.0, 3.0), (200.0, 1.0)], 165.0) == 145.0 and level([(20.0, 3.0), (30.0, 1.0)], 60.0) is None
+
+
+def test_taken_is_the_ring_of_each_shard(spark):
+    """The layout again in plain Python: quotas by highest quotients, and blocks on each shard's ring of words."""
+    rnd = random.Random(9)
+    rows = [(i, " ".join(["w"] * rnd.choice((0, 3, rnd.randint(1, 60)))), rnd.choice("aab")) for i in range(150)] + [(None, "x y z", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, shard_words=400, cap=2.0, block_words=4, seed=5)
+    hashed = df.select("doc_id", "text", "source", F.xxhash64(F.lit(5), "doc_id", "text").alias("lot")).withColumn("place", F.xxhash64(F.lit(6), "lot")).collect()
+    size = lambda r: len(r.text.split())
+    names = ["a", "b", None]
+    sizes = [sum(size(r) for r in hashed if r.source == s) for s in names]
+    target, free, left = [0.0] * 3, {0, 1, 2}, 1.5 * sum(sizes)
+    weight = [3, 1, 2]
+    while free:
+        share = {i: left * weight[i] / sum(weight[j] for j in free) for i in free}
+        over = {i for i in free if share[i] >= 2 * sizes[i]}
+        target = [share.get(i, target[i]) if i not in over else 2.0 * sizes[i] for i in range(3)]
+        left -= sum(2 * sizes[i] for i in over)
+        free = free - over if over else set()
+    shards = [max(1, -(-n // 400)) for n in sizes]
+    rings = [[sorted((r for r in hashed if r.source == s and size(r) and r.lot % shards[i] == u), key=lambda r: (r.place, r.lot)) for u in range(shards[i])] for i, s in enumerate(names)]
+    words = [[sum(map(size, ring)) for ring in some] for some in rings]
+    quotas = highest_quotients(target, [sum(n * 2 // 4 for n in w) for w in words], round(sum(target) / 4))
+    want = collections.Counter()
+    for i, quota in enumerate(quotas):
+        for u, seats in enumerate(highest_quotients(words[i], [n * 2 // 4 for n in words[i]], quota)):
+            n = words[i][u]
+            begin = spark.range(1).select(F.xxhash64(F.lit(5), F.lit(i).cast("long"), F.lit(u).cast("long"))).first()[0] % max(1, n // 4) * 4
+            hits = collections.Counter((begin + k) % n for k in range(seats * 4))
+            at = 0
+            for r in rings[i][u]:
+                want[r.doc_id, r.source, size(r), sum(hits[at + k] for k in range(size(r)))] += 1
+                at += size(r)
+    want.update((r.doc_id, r.source, 0, 0) for r in hashed if not size(r))
+    assert collections.Counter((r.doc_id, r.source, r["size"], r.taken) for r in got.collect()) == want
+    assert {r.source: r.target for r in got.collect()} == dict(zip(names, target))
 
 
 def test_warc_round_trip(spark):
@@ -124,16 +219,46 @@ def test_warc_round_trip(spark):
     headers, payloads = warc_archive.write_archive(rows)
     assert payloads.count() == 3 and headers.count() == 6
     records = warc_archive.read_records(headers, payloads)
-    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc_archive.verify_records(records).collect()}
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc_archive.verify_archive(headers, payloads).collect()}
     assert got == {(1, 2, "revisit", 2), (2, 2, "response", None), (3, 0, "revisit", 4), (4, 0, "response", None), (5, 6, "response", None)}
     fields, _, payload = warc_archive.parse_record(bytes(records.where("page_id = 5").first().record))
     assert payload == b"b\r\n\r\nc" and fields["WARC-Payload-Digest"] == "sha1:" + warc_archive.base32_sha1(payload)
     empty = warc_archive.write_archive(rows.limit(0))
-    assert warc_archive.verify_records(warc_archive.read_records(*empty)).collect() == []
+    assert warc_archive.verify_archive(*empty).collect() == [] and warc_archive.read_records(*empty).collect() == []
+
+
+def brute_archive(rows):
+    """The contract in plain Python: of equal payloads the largest id is the response."""
+    largest = {}
+    for page, html in rows:
+        body = (html or "").encode()
+        largest[body] = max(largest.get(body, -1), -1 if page is None else page)
+    out = collections.Counter()
+    for page, html in rows:
+        body = (html or "").encode()
+        answer = None if largest[body] < 0 else largest[body]
+        out[page, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if page == answer else "revisit", None if page == answer else answer] += 1
+    return out
+
+
+def test_warc_of_many_copies_and_null_ids(spark, tmp_path):
+    rows = [(i, "<p>the same page</p>") for i in range(10_000)] + [(20_000 + i, f"<p>{i // 2}</p>") for i in range(100)] + [(30_000, "x" * 3_000_000), (30_001, "x" * 3_000_000), (None, "<p>3</p>"), (None, "alone"), (None, "twice"), (None, "twice"), (30_002, None), (30_003, ""), (30_004, "é\r\n\r\n")]
+    pages = spark.createDataFrame([(p, f"http://h/{p}", h) for p, h in rows], "page_id long, url string, html string").selectExpr("*", "url AS payload", "html AS header", "page_id AS n")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc_archive.op3_warc(spark, str(tmp_path)).collect()
+    assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == brute_archive(rows)
+
+
+def test_a_damaged_payload_is_found(spark):
+    headers, payloads = warc_archive.write_archive(spark.createDataFrame([(1, "u", "aa"), (2, "u", "bb")], "page_id long, url string, html string"))
+    damaged = payloads.withColumn("payload", F.when(F.col("payload") == F.lit(bytearray(b"aa")), F.lit(bytearray(b"ab"))).otherwise(F.col("payload")))
+    with pytest.raises(Exception, match="doesn't match its digest"):
+        warc_archive.verify_archive(headers, damaged).collect()
 
 
 def test_media(spark, docs):
-    got = audio_features.media_features(audio_features.store_media(docs)).collect()
+    found = audio_features.media_features(audio_features.store_media(docs))
+    got = found.collect()
     want = collections.Counter()
     for r in docs.collect():
         raw = (r.text or "").encode()
@@ -143,8 +268,10 @@ def test_media(spark, docs):
     for r in got:
         mels = audio_features.read_tensors(bytes(r.tensors))
         assert mels.shape[1:] == (16, audio_features.MELS) and all(s.start_s < s.end_s for s in r.spans)
+        assert mels.shape[0] == -(-r.n_frames // 16)
+    told = audio_features.feature_digest(found)
     by_text = collections.defaultdict(set)
-    for r in got:
+    for r in told.collect():
         by_text[r.payload_sha256].add(r.feature)
     assert all(len(x) == 1 for x in by_text.values())
 
@@ -172,7 +299,25 @@ def test_every_sample_is_in_a_feature(spark):
         body = b"abcdefgh" * (units * audio_features.UNIT // 8)
         one, two = (audio_features.features(b, audio_features.RATE)["mels"] for b in (body, body[:-24] + b"z" * 24))
         assert one.shape == two.shape and not np.array_equal(one, two)
-    docs = spark.createDataFrame([(1, "abcdefgh" * 72), (2, "abcdefgh" * 69 + "z" * 24)], "doc_id long, text string")
-    media = audio_features.store_media(docs)
-    with_tensors, without = (audio_features.media_features(media, keep_tensors=k).orderBy("doc_id").collect() for k in (True, False))
-    assert [r.feature for r in with_tensors] == [r.feature for r in without] and len({r.feature for r in without}) == 2
+    docs = spark.createDataFrame([(1, "abcdefgh" * 72), (2, "abcdefgh" * 69 + "z" * 24)], "`a.b` long, text string")
+    told = audio_features.feature_digest(audio_features.media_features(audio_features.store_media(docs, "a.b"), "a.b")).collect()
+    assert len({r.feature for r in told}) == 2 and {r["a.b"] for r in told} == {1, 2}
+    assert audio_features.feature_digest(audio_features.media_features(audio_features.store_media(docs.limit(0), "a.b"), "a.b")).collect() == []
+
+
+def test_log_mel_is_the_direct_transform():
+    rate, n = 8000, audio_features.FRAME
+    x = np.random.default_rng(2).normal(size=3 * n + 37).astype(np.float32)
+    mels, energy = audio_features.log_mel(x, rate)
+    padded = np.concatenate([x, np.zeros(-(len(x) - n) % audio_features.HOP)])
+    assert len(mels) == len(energy) == (len(padded) - n) // audio_features.HOP + 1
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * i / (audio_features.MELS + 1) / 2595) - 1) for i in range(audio_features.MELS + 2)]
+    for k in (0, 2, len(mels) - 1):
+        frame = padded[k * audio_features.HOP :][:n] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1)))
+        power = [abs(sum(frame * np.exp(-2j * np.pi * b * np.arange(n) / n))) ** 2 for b in range(n // 2 + 1)]
+        for m in range(audio_features.MELS):
+            lo, mid, hi = edges[m : m + 3]
+            weights = [max(0.0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid))) for f in (b * rate / n for b in range(n // 2 + 1))]
+            assert abs(10 * np.log10(np.dot(power, weights) + 1e-6) - mels[k, m]) < 0.01
+        assert abs(10 * np.log10(np.mean(frame**2) + 1e-9) - energy[k]) < 0.01

@@ -1,11 +1,13 @@
 import collections
+import random
+import re
 
 import corpus_pipeline
 from loomset.llm import mixing
 
 
 def test_pipeline_on_small_documents(spark, docs):
-    rows = docs.selectExpr("doc_id", "text", "lang", "source", "CAST(length(text) AS LONG) AS n_chars")
+    rows = docs.selectExpr("doc_id", "text", "lang", "source", "CAST(length(text) AS LONG) AS n_chars", "1 AS verdict", "text AS tid", "text AS row_key", "text AS kept", "2 AS size", "3 AS taken")
     sf = "/root/testdata/sf0.001"
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, rows, sf)
@@ -45,3 +47,43 @@ def test_rows_with_one_id_are_mixed_by_themselves(spark):
     for r in corpus_pipeline.mixed(spark, docs, "").collect():
         got[r.source] += len(r.text.split())
     assert got == +want and len({r.taken for r in takings}) > 2
+
+
+def test_repeats_are_cut_like_by_hand(spark):
+    rnd = random.Random(13)
+    word = lambda: rnd.choice(("oak", "elm", "ash", "fir")) + str(rnd.randrange(400))
+    passages = [[word() for _ in range(n)] for n in (49, 50, 51, 80)]
+    texts = [" ".join([word() for _ in range(rnd.randrange(30))] + passages[i % 4] + [word() for _ in range(rnd.randrange(30))]) for i in range(16)]
+    texts += [texts[0], "\t" + "  ".join(passages[3]) + "\n", "", None, " ".join(passages[1] + passages[1])]
+    words = [(t or "").split() for t in texts]
+    seen = collections.Counter(tuple(w[i : i + 50]) for w in words for i in range(len(w) - 49))
+    want = []
+    for t, w in zip(texts, words):
+        hit = {k for i in range(len(w) - 49) if seen[tuple(w[i : i + 50])] > 1 for k in range(i, i + 50)}
+        starts = [m.start() for m in re.finditer(r"\S+", t or "")] + [len(t or "")]
+        kept = "".join((t or "")[starts[i] : starts[i + 1]] for i in range(len(w)) if i not in hit)
+        want.append((t or "")[: starts[0]] + kept if hit else t)
+    out = corpus_pipeline.repeats_cut(spark, as_docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), "")
+    got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert got == {i: (t, len(t or "")) for i, t in enumerate(want)} and any(a != b for a, b in zip(texts, want))
+
+
+def test_stages_by_hand(spark):
+    """Near duplicates, mixing and encoding of a few documents, by rules in plain Python."""
+    import public_tokenizers
+    import sentencepiece
+
+    text = [f"w{i} " * 3 + " ".join(f"u{i}x{j}" for j in range(40)) for i in range(6)]
+    rows = [(i, text[i], "en", "ab"[i % 2]) for i in range(6)] + [(10, text[0], "en", "a"), (11, text[1] + " end", "en", "b")]
+    docs = corpus_pipeline.near_duplicates(spark, as_docs(spark, rows), "")
+    assert sorted(r.doc_id for r in docs.collect()) == [0, 1, 2, 3, 4, 5]
+    taken = {r.row_key: r.taken for r in mixing.mix_sources(corpus_pipeline._keyed(docs), "row_key").collect()}
+    out = collections.defaultdict(list)
+    for r in corpus_pipeline.mixed(spark, docs, "").collect():
+        out[r.doc_id].append(r.text)
+    for i in range(6):
+        words = text[i].split()
+        whole, part = divmod(taken[f"i{i}"], len(words))
+        assert sorted(out[i]) == sorted([text[i]] * whole + [" ".join(words[:part])] * (part > 0))
+    own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert {r.doc_id: r.ids for r in corpus_pipeline.encoded(spark, docs, "").collect()} == {i: own.encode(text[i]) for i in range(6)}
