@@ -267,12 +267,18 @@ def difference_hash(spark, sf_dir):
     return _hashes(spark, sf_dir)
 
 
-@query(f"WITH {BITS} SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.hash, b.hash)) <= 12")
+@query(f"WITH {BITS}, c AS (SELECT hash, min(vec_id) AS ord, count(*) AS n FROM h GROUP BY hash) SELECT a.ord AS a, a.n AS n_a, b.ord AS b, b.n AS n_b, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS distance FROM c a JOIN c b ON a.ord < b.ord AND bit_count(xor(a.hash, b.hash)) <= 12")
 def near_duplicate_pairs(spark, sf_dir):
     return dedupe.near_pairs(_hashes(spark, sf_dir), 12, 56)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BITS}, near AS (SELECT a.vec_id AS a, list(b.vec_id) AS bs FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.hash, b.hash)) <= 14 GROUP BY a.vec_id),
+    every AS (SELECT vec_id AS v, coalesce(bs, []) AS bs FROM h LEFT JOIN near ON vec_id = a),
+    greedy AS (SELECT v AS seed, list_concat([v], bs) AS own, list_concat([v], bs) AS taken FROM every WHERE v = (SELECT min(v) FROM every)
+    UNION ALL SELECT v, own, list_concat(taken, own) FROM (SELECT e.v, list_filter(list_concat([e.v], e.bs), lambda x: NOT list_contains(g.taken, x)) AS own, g.taken, row_number() OVER (ORDER BY e.v) AS rn FROM greedy g JOIN every e ON NOT list_contains(g.taken, e.v)) WHERE rn = 1)
+    SELECT seed, unnest(own) AS member FROM greedy WHERE len(own) > 1"""
+)
 def near_duplicate_groups(spark, sf_dir):
     return dedupe.near_groups(_hashes(spark, sf_dir), 14, 56)
 
@@ -490,7 +496,7 @@ def source_folders(spark, sf_dir):
 
 @query(
     """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'character ' || p_name WHEN 1 THEN p_name ELSE 'the character' END AS subject, CASE WHEN lower(left(p_name, 1)) IN ('a', 'e', 'i', 'o', 'u') THEN 'an' ELSE 'a' END AS art,
-    left(p_name, 4) || '...' || right(p_name, 4) AS secret, CASE WHEN len(regexp_extract_all(split_part(p_type, ' ', 1), '[A-Z]')) > 1 THEN p_type ELSE lower(left(p_type, 1)) || substr(p_type, 2) END AS lowered FROM part WHERE length(p_name) >= 12"""
+    CASE WHEN length(p_name) < 12 THEN '********' ELSE left(p_name, 4) || '...' || right(p_name, 4) END AS secret, CASE WHEN len(regexp_extract_all(split_part(p_type, ' ', 1), '[A-Z]')) > 1 THEN p_type ELSE lower(left(p_type, 1)) || substr(p_type, 2) END AS lowered FROM part"""
 )
 def name_phrases(spark, sf_dir):
     key, name = F.col("p_partkey"), F.col("p_name")

@@ -1,17 +1,19 @@
 """Near duplicates by perceptual hash.
 
-Pairs within a distance d agree on at least one of d + 1 bands of the hash, so an equi-join on bands
-finds them all; groups are the greedy cover in input order: each row not yet taken starts a group and
-takes all later rows within the distance that are not taken.
+Rows with equal hashes are one class with a count, told by its least row. Pairs of classes within a
+distance d agree on at least one of d + 1 bands of the hash, so an equi-join on bands finds them all;
+groups are the greedy cover in input order: each row not yet taken starts a group and takes all later
+rows within the distance that are not taken.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomset.session import ship
+from loomset.store import discard, materialize
 
 
 def difference_hash(grid: Column, rows: int, cols: int) -> Column:
@@ -27,61 +29,60 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
+def classes(hashes: DataFrame) -> DataFrame:
+    """(hash, ord, n): the least row of each hash, and how many rows have it; null hashes are left out."""
+    return hashes.where("hash IS NOT NULL").groupBy("hash").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
+
+
 def near_pairs(hashes: DataFrame, distance: int = 5, bits: int = 64) -> DataFrame:
-    """(a, b, distance) for rows a < b of (ord, hash) within the distance.
+    """(a, n_a, b, n_b, distance) for classes a < b of (ord, hash) within the distance.
 
-    Rows with the same hash meet as one: the join runs over distinct hashes, so many copies cost no
-    more than one, and a pair is checked in the first band on which it agrees.
+    Each class is told by its least row, with the number of its rows: copies are never expanded into
+    pairs. A pair is checked in the first band on which it agrees.
     """
     n = distance + 1
     edges = [round(i * bits / n) for i in range(n + 1)]
-    known = hashes.where("hash IS NOT NULL").groupBy("hash").agg(F.sort_array(F.collect_list("ord")).alias("ords"))
     band = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-    banded = known.select("hash", F.posexplode(F.array(*(band(F.col("hash"), i) for i in range(n)))).alias("band", "value"))
+    banded = classes(hashes).select("hash", "ord", "n", F.posexplode(F.array(*(band(F.col("hash"), i) for i in range(n)))).alias("band", "value"))
     left, right = banded.alias("l"), banded.alias("r")
     first = F.expr("CASE " + " ".join(f"WHEN shiftrightunsigned(l.hash ^ r.hash, {edges[i]}) & {(1 << (edges[i + 1] - edges[i])) - 1}L = 0 THEN {i}" for i in range(n)) + " END")
-    met = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.hash") < F.col("r.hash")))
-    near = met.where((hamming(F.col("l.hash"), F.col("r.hash")) <= distance) & (F.col("l.band") == first)).select(F.col("l.hash").alias("x"), F.col("r.hash").alias("y"), hamming(F.col("l.hash"), F.col("r.hash")).alias("distance"))
-    by_x, by_y = known.select(F.col("hash").alias("x"), F.explode("ords").alias("ox")), known.select(F.col("hash").alias("y"), F.explode("ords").alias("oy"))
-    apart = near.join(by_x, "x").join(by_y, "y").select(F.least("ox", "oy").alias("a"), F.greatest("ox", "oy").alias("b"), "distance")
-    same = known.where(F.size("ords") > 1).select(F.posexplode("ords").alias("i", "a"), "ords").select("a", F.explode(F.slice("ords", F.col("i") + 2, F.size("ords"))).alias("b"), F.lit(0).alias("distance"))
-    return apart.unionByName(same)
+    apart = hamming(F.col("l.hash"), F.col("r.hash"))
+    met = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.ord") < F.col("r.ord")))
+    near = met.where((apart <= distance) & (F.col("l.band") == first))
+    return near.select(F.col("l.ord").alias("a"), F.col("l.n").alias("n_a"), F.col("r.ord").alias("b"), F.col("r.n").alias("n_b"), apart.alias("distance"))
 
 
 def near_groups(hashes: DataFrame, distance: int = 5, bits: int = 64) -> DataFrame:
-    """(seed, member), the seed among its members, for groups of two or more.
+    """(seed, member), the seed among its members, for groups of two rows or more.
 
-    The greedy choice never looks beyond a component of the pair graph; components are labelled by
-    their least row, and each is decided by itself.
+    All rows of a class share its fate, so the choice is made among classes. Every class with no open
+    lesser neighbour is a seed; its neighbours are settled, and the next round looks at what is open.
+    Rounds are tables of the shared folder and no component meets in one task. In the end a class goes
+    to its least seed, as in the greedy order. Random orders take a number of rounds that grows like
+    the logarithm of the classes; a chain in order takes one for two links.
     """
-    ship(hashes.sparkSession)
-    pairs = near_pairs(hashes, distance, bits).select("a", "b")
-    label = pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
-    before = None
+    pairs = materialize(near_pairs(hashes, distance, bits).select("a", "b"), "dedupe-pairs")
+    unsettled, seeds = pairs, []
     while True:
-        label = label.checkpoint() if hashes.sparkSession.sparkContext.getCheckpointDir() else label.persist()
-        now = label.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if now == before or now is None:
+        found = unsettled.select(F.col("a").alias("seed")).distinct().join(unsettled.select(F.col("b").alias("seed")).distinct(), "seed", "left_anti")
+        found = materialize(found, "dedupe-seeds")
+        if found.isEmpty():
+            discard(found)
             break
-        before = now
-        ends = pairs.join(label.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(label.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        low = F.least("ra", "rb")
-        moved = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), low.alias("root")), F.struct(F.col("b").alias("node"), low.alias("root")))).alias("x")).select("x.*")
-        label = moved.groupBy("node").agg(F.min("root").alias("root"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(pdf.a, pdf.b, strict=True):
-            near.setdefault(a, []).append(b)
-        taken, rows = set(), []
-        for seed in sorted(near):
-            if seed in taken:
-                continue
-            members = sorted(set(near[seed]) - taken)
-            taken |= {seed, *members}
-            if members:
-                rows += [(seed, m) for m in (seed, *members)]
-        return pd.DataFrame(rows, columns=["seed", "member"])
-
-    whole = pairs.join(label.select(F.col("node").alias("a"), "root"), "a")
-    return whole.groupBy("root").applyInPandas(greedy, "seed long, member long")
+        seeds.append(found)
+        gone = found.unionByName(unsettled.join(found, F.col("a") == F.col("seed"), "left_semi").select(F.col("b").alias("seed"))).distinct()
+        gone = materialize(gone, "dedupe-gone")
+        left = unsettled.join(gone, F.col("a") == F.col("seed"), "left_anti").join(gone, F.col("b") == F.col("seed"), "left_anti")
+        left = materialize(left, "dedupe-open")
+        discard(gone, *([unsettled] if unsettled is not pairs else []))
+        unsettled = left
+    known = materialize(classes(hashes), "dedupe-classes")
+    taken = known.select(F.col("ord").alias("b"), F.lit(None).cast("long").alias("seed")).limit(0)
+    if seeds:
+        every = reduce(DataFrame.unionByName, seeds)
+        taken = pairs.join(every, F.col("a") == F.col("seed")).groupBy("b").agg(F.min("a").alias("seed"))
+    own = known.join(taken, F.col("ord") == F.col("b"), "left").select("hash", "n", F.coalesce("seed", "ord").alias("seed"))
+    sizes = own.groupBy("seed").agg(F.sum("n").alias("size")).where("size > 1").select("seed")
+    own = materialize(own.join(sizes, "seed").select("hash", "seed"), "dedupe-groups")
+    discard(pairs, known, *seeds, *([unsettled] if unsettled is not pairs else []))
+    return hashes.join(own, "hash").select("seed", F.col("ord").alias("member"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomset.store import materialize
+
 
 def status(caption: Column) -> Column:
     """ready, empty (a blank caption) or missing (none)."""
@@ -23,7 +25,7 @@ def numbered(rows: DataFrame, order: str = "ord") -> DataFrame:
     only the ranges' counts come together. ``order`` must be unique.
     """
     ranged = rows.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, order).withColumn("range", F.spark_partition_id())
-    ranged = ranged.persist()
+    ranged = materialize(ranged, "numbered")  # ranges are those of the table, whichever executors are lost
     sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
     starts = sizes.withColumn("start", F.sum("size").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)))  # a row per range
     place = F.row_number().over(W.partitionBy("range").orderBy(order))
