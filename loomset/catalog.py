@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomset.functions import messages
 from loomset.functions import text as T
-from loomset.operators import dedupe, export, lint, quality, selection, stats, tags
+from loomset.operators import choices, dedupe, export, lint, quality, selection, stats, tags
 from loomset.plans import files as plan_files
 from loomset.plans import shots
 from loomset.streaming.incremental import caption_stream
@@ -513,3 +513,88 @@ def mask_overlap(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v > 0).alias("s"), F.transform("embedding", lambda v, i: (v > 0.1) | ((i + 1) % 9 == 0)).alias("e"))
     union = F.size(F.filter(selection.mask_union(F.array("s", "e")), lambda x: x)).cast("long")
     return rows.select("vec_id", union.alias("n_union"), F.round(selection.overlap_share(F.col("s"), F.col("e")), 6).alias("share"))
+
+
+@query(
+    f"""WITH {TAGGED}, l AS (SELECT ord, {TAGLIST} AS l FROM p), d AS (SELECT ord, list_concat(['Brand#1'], list_filter({DEDUP.format(l='l')}, lambda x: x <> 'brand#1')) AS t FROM l)
+    SELECT ord, 'score_9, ' || array_to_string(list_filter(t, lambda x, i: i = 1 OR replace(x, '_', ' ') NOT IN ('brand#11', 'promo')), ', ') || ', end' AS caption FROM d"""
+)
+def caption_pipeline(spark, sf_dir):
+    raw = F.concat(F.upper("caption"), F.lit("., "), F.col("caption"))
+    return _tagged(spark, sf_dir).select("ord", choices.caption_steps(raw, "tags", trigger="Brand#1", drop="brand#11, PROMO", prefix="score_9,", suffix=",end").alias("caption"))
+
+
+@query(
+    """WITH k AS (SELECT p_partkey, p_type, CASE p_partkey % 4 WHEN 0 THEN 'custom' WHEN 1 THEN 'anime' WHEN 2 THEN 'nosuch' ELSE 'custom' END AS key, CASE WHEN p_partkey % 4 = 3 THEN '' ELSE p_type END AS own FROM part)
+    SELECT p_partkey, CASE WHEN key = 'nosuch' OR (key = 'custom' AND own = '') THEN 'match' ELSE key END AS style, CASE WHEN key = 'custom' AND own <> '' THEN 'Rendered as ' || CASE WHEN len(regexp_extract_all(split_part(own, ' ', 1), '[A-Z]')) > 1 THEN own ELSE lower(left(own, 1)) || substr(own, 2) END || '.' ELSE '' END AS phrase FROM k"""
+)
+def shot_styles(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    key = F.when(k == 1, " ANIME").when(k == 2, "nosuch").otherwise("Custom ")
+    own = F.when(k == 3, " . ").otherwise(F.concat(F.lit("  "), F.replace("p_type", F.lit(" "), F.lit("  ")), F.lit("..")))
+    return _t(spark, sf_dir, "part").select("p_partkey", choices.shot_style(key, own, ("match", "anime", "custom")).alias("s")).select("p_partkey", "s.*")
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'style' WHEN 1 THEN 'concept' WHEN 2 THEN 'character' ELSE 'other' END AS kind FROM orders), p AS (SELECT r_regionkey AS shot, CASE WHEN r_regionkey < 2 THEN 'concept' ELSE 'character' END AS plan FROM region)
+    SELECT o_orderkey, shot FROM d JOIN p ON plan = CASE kind WHEN 'style' THEN NULL WHEN 'concept' THEN 'concept' ELSE 'character' END"""
+)
+def plan_choice(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(k == 0, "style").when(k == 1, "concept").when(k == 2, "character").otherwise("other").alias("kind"))
+    plans = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("shot"), F.when(F.col("r_regionkey") < 2, "concept").otherwise("character").alias("plan"))
+    return choices.planned(rows, "kind", plans).select("o_orderkey", "shot")
+
+
+@query(
+    """WITH p AS (SELECT n_regionkey AS trainer, n_name AS name, n_nationkey AS ord FROM nation), f AS (SELECT trainer, arg_min(name, ord) AS name FROM p GROUP BY trainer),
+    w AS (SELECT c_custkey, c_nationkey % 7 AS trainer, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE 'none' END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT c_custkey, coalesce(p.name, f.name) AS preset FROM w LEFT JOIN p ON w.trainer = p.trainer AND w.name = p.name LEFT JOIN f ON w.trainer = f.trainer"""
+)
+def preset_lookup(spark, sf_dir):
+    nation = _t(spark, sf_dir, "nation")
+    presets = nation.select(F.col("n_regionkey").cast("long").alias("of"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("value"))
+    rows = _t(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select("c_custkey", (F.col("c_nationkey") % 7).cast("long").alias("trainer"), F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).otherwise("none").alias("key"))
+    return choices.preset(rows, "trainer", "key", presets).select("c_custkey", "preset")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_brand END AS value, '' AS p_type, CASE WHEN p_partkey % 2 = 0 THEN '✅ ' ELSE '⬜ ' END || p_brand AS label, p_partkey % 5 > 1 AS differs FROM part")
+def filled_fields(spark, sf_dir):
+    key, brand = F.col("p_partkey"), F.col("p_brand")
+    recorded = F.when(key % 5 == 0, F.lit(None).cast("string")).when(key % 5 == 1, brand).otherwise("other")
+    rows = _t(spark, sf_dir, "part").select("p_partkey", choices.filled(F.when(key % 3 == 0, F.concat(F.lit(" "), "p_name")).when(key % 3 == 1, "  "), brand).alias("value"), "p_type", choices.picker_label(brand, key % 2 == 0).alias("label"), choices.type_differs(recorded, brand).alias("differs"))
+    return choices.cleared(rows, "p_type")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'D:\\' || p_name WHEN 1 THEN '/data/' || p_brand END AS folder FROM part")
+def output_folders(spark, sf_dir):
+    k, name = F.col("p_partkey") % 5, F.col("p_name")
+    path = F.when(k == 0, F.concat(F.lit(' "D:\\'), name, F.lit('" '))).when(k == 1, F.concat(F.lit("/data/"), "p_brand")).when(k == 2, F.concat(name, F.lit("?"))).when(k == 3, F.concat(name, F.lit("/a:b"))).otherwise(' "" ')
+    return _t(spark, sf_dir, "part").select("p_partkey", choices.output_folder(path).alias("folder"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 AND s_name IS NOT NULL THEN s_name ELSE p_brand END AS outfit FROM part LEFT JOIN supplier ON p_partkey = s_suppkey"""
+)
+def dressed_shots(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    shots_ = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(k == 0, "angle").when(k == 1, "pose").otherwise("emotion").alias("kind"), F.col("p_brand").alias("outfit"))
+    outfits = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("outfit"))
+    return choices.dressed(shots_, outfits).select(F.col("id").alias("p_partkey"), "outfit")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id BETWEEN 30 AND 400")
+def range_picks(spark, sf_dir):
+    return choices.range_picked(_t(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 400, 30)
+
+
+@query("SELECT user_id, bool_and(event_type <> 'error') AS all_ok, count(*) FILTER (WHERE event_type = 'error') AS n_missing FROM events GROUP BY user_id")
+def report_checks(spark, sf_dir):
+    return choices.report(_t(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("name"), (F.col("event_type") != "error").alias("ok")), ["user_id"])
+
+
+@query("SELECT DISTINCT p_brand AS name FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 45)")
+def missing_dependencies(spark, sf_dir):
+    names = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), "p_size")
+    return choices.missing(names, names.where("p_size > 45"))

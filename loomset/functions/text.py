@@ -14,6 +14,9 @@ SPACE = r"(?U)[\s\x1c-\x1f]"
 #: Emoticons whose underscores stay.
 KAOMOJI = ["0_0", "(o)_(o)", "+_+", "+_-", "._.", "<o>_<o>", "<|>_<|>", "=_=", ">_<", "3_3", "6_9", ">_o", "@_@", "^_^", "o_o", "u_u", "x_x", "|_|", "||_||"]
 
+#: What a model says before its answer, as patterns.
+LEAD_INS = ["here is", "here's", "caption:", "tags:", "sure[,!.]?"]
+
 
 def empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
@@ -41,7 +44,7 @@ def clip_tokens(c: Column) -> Column:
 def clean_output(c: Column) -> Column:
     """A model's raw answer without its thoughts, one lead-in and the quotes around it."""
     t = F.regexp_replace(empty(c), r"(?s)<think>.*?</think>", "")
-    t = F.regexp_replace(squeeze(t), r"^(?i)(?:here is|here's|caption:|tags:|sure[,!.]?)\s*", "")
+    t = F.regexp_replace(squeeze(t), rf"^(?i)(?:{'|'.join(LEAD_INS)})\s*", "")
     return F.btrim(F.trim(t), F.lit('"'))
 
 

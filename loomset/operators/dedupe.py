@@ -42,10 +42,11 @@ def near_pairs(hashes: DataFrame, distance: int = 5, bits: int = 64) -> DataFram
     """
     n = distance + 1
     edges = [round(i * bits / n) for i in range(n + 1)]
-    band = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    masks = [-1 if hi - lo == 64 else (1 << (hi - lo)) - 1 for lo, hi in zip(edges, edges[1:], strict=False)]
+    band = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit(masks[i]))
     banded = classes(hashes).select("hash", "ord", "n", F.posexplode(F.array(*(band(F.col("hash"), i) for i in range(n)))).alias("band", "value"))
     left, right = banded.alias("l"), banded.alias("r")
-    first = F.expr("CASE " + " ".join(f"WHEN shiftrightunsigned(l.hash ^ r.hash, {edges[i]}) & {(1 << (edges[i + 1] - edges[i])) - 1}L = 0 THEN {i}" for i in range(n)) + " END")
+    first = F.expr("CASE " + " ".join(f"WHEN shiftrightunsigned(l.hash ^ r.hash, {edges[i]}) & {masks[i]}L = 0 THEN {i}" for i in range(n)) + " END")
     apart = hamming(F.col("l.hash"), F.col("r.hash"))
     met = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.ord") < F.col("r.ord")))
     near = met.where((apart <= distance) & (F.col("l.band") == first))
@@ -62,27 +63,28 @@ def near_groups(hashes: DataFrame, distance: int = 5, bits: int = 64) -> DataFra
     the logarithm of the classes; a chain in order takes one for two links.
     """
     pairs = materialize(near_pairs(hashes, distance, bits).select("a", "b"), "dedupe-pairs")
-    unsettled, seeds = pairs, []
+    unsettled, settled = pairs, []
     while True:
         found = unsettled.select(F.col("a").alias("seed")).distinct().join(unsettled.select(F.col("b").alias("seed")).distinct(), "seed", "left_anti")
         found = materialize(found, "dedupe-seeds")
         if found.isEmpty():
             discard(found)
             break
-        seeds.append(found)
-        gone = found.unionByName(unsettled.join(found, F.col("a") == F.col("seed"), "left_semi").select(F.col("b").alias("seed"))).distinct()
-        gone = materialize(gone, "dedupe-gone")
+        near = materialize(unsettled.join(found, F.col("a") == F.col("seed"), "left_semi").select(F.col("b").alias("seed")).distinct(), "dedupe-settled")
+        gone = found.unionByName(near)
         left = unsettled.join(gone, F.col("a") == F.col("seed"), "left_anti").join(gone, F.col("b") == F.col("seed"), "left_anti")
         left = materialize(left, "dedupe-open")
-        discard(gone, *([unsettled] if unsettled is not pairs else []))
+        settled.append(near)
+        discard(found, *([unsettled] if unsettled is not pairs else []))
         unsettled = left
     known = materialize(classes(hashes), "dedupe-classes")
     taken = known.select(F.col("ord").alias("b"), F.lit(None).cast("long").alias("seed")).limit(0)
-    if seeds:
-        every = reduce(DataFrame.unionByName, seeds)
-        taken = pairs.join(every, F.col("a") == F.col("seed")).groupBy("b").agg(F.min("a").alias("seed"))
+    if settled:
+        # Seeds are all classes that no seed settled, those too whose neighbours all went to others.
+        seeds = pairs.join(reduce(DataFrame.unionByName, settled), F.col("a") == F.col("seed"), "left_anti")
+        taken = seeds.groupBy("b").agg(F.min("a").alias("seed"))
     own = known.join(taken, F.col("ord") == F.col("b"), "left").select("hash", "n", F.coalesce("seed", "ord").alias("seed"))
     sizes = own.groupBy("seed").agg(F.sum("n").alias("size")).where("size > 1").select("seed")
     own = materialize(own.join(sizes, "seed").select("hash", "seed"), "dedupe-groups")
-    discard(pairs, known, *seeds, *([unsettled] if unsettled is not pairs else []))
+    discard(pairs, known, *settled, *([unsettled] if unsettled is not pairs else []))
     return hashes.join(own, "hash").select("seed", F.col("ord").alias("member"))
