@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomset.functions import messages
 from loomset.functions import text as T
-from loomset.operators import choices, dedupe, export, lint, quality, selection, stats, tags
+from loomset.operators import captioning, choices, dedupe, export, lint, quality, selection, stats, tags
 from loomset.plans import files as plan_files
 from loomset.plans import shots
 from loomset.streaming.incremental import caption_stream
@@ -598,3 +598,39 @@ def report_checks(spark, sf_dir):
 def missing_dependencies(spark, sf_dir):
     names = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), "p_size")
     return choices.missing(names, names.where("p_size > 45"))
+
+
+_PIPED = SQL["caption_pipeline"]
+
+
+def _answering(model, options):
+    return lambda caption: f"{caption.upper()}., {caption}"
+
+
+@query(_PIPED)
+def caption_batch(spark, sf_dir):
+    """The same captions as ``caption_pipeline``, by a tagger backend that is opened once for a task."""
+    rows = _tagged(spark, sf_dir).select("ord", F.col("caption").alias("content"), F.lit("").alias("caption"))
+    backend = captioning.configured(captioning.Backend("tagger", _answering))
+    done = captioning.caption_images(rows, backend, skip_existing=True, trigger="Brand#1", drop="brand#11, PROMO", prefix="score_9,", suffix=",end")
+    return done.select("ord", "caption")
+
+
+@query(
+    """WITH k AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'tags' WHEN 1 THEN 'prose' WHEN 2 THEN 'odd' END AS s, CASE p_size % 3 WHEN 0 THEN 'style' WHEN 1 THEN 'concept' ELSE 'character' END AS t, p_partkey % 5 = 0 AS sparse FROM part)
+    SELECT p_partkey, CASE WHEN t = 'character' THEN CASE WHEN s = 'tags' THEN 'List tags of {subject}.' ELSE 'Describe {subject}.' END
+      ELSE CASE WHEN t = 'concept' THEN 'Tell what surrounds it.' WHEN sparse THEN 'Name the content.' ELSE 'Tell the content, not the look.' END || ' Say {subject}. ' || CASE WHEN s = 'tags' THEN 'Tags only.' ELSE 'Sentences.' END END AS said FROM k"""
+)
+def instructions(spark, sf_dir):
+    n = F.col("p_partkey") % 4
+    style = F.when(n == 0, "tags").when(n == 1, "prose").when(n == 2, "odd")
+    kind = F.when(F.col("p_size") % 3 == 0, "style").when(F.col("p_size") % 3 == 1, "concept").otherwise("character")
+    framings = {"concept": "Tell what surrounds it.", "style": "Tell the content, not the look.", "style-sparse": "Name the content."}
+    said = captioning.instruction(style, kind, F.col("p_partkey") % 5 == 0, {"prose": "Describe {subject}.", "tags": "List tags of {subject}."}, framings, {"prose": "Sentences.", "tags": "Tags only."}, "Say {subject}.")
+    return _t(spark, sf_dir, "part").select("p_partkey", said.alias("said"))
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type END AS style FROM events")
+def known_choices(spark, sf_dir):
+    given = F.concat(F.lit(" "), F.initcap("event_type"), F.lit(" "))
+    return _t(spark, sf_dir, "events").select("event_id", choices.known(given, ("click", "view")).alias("style"))

@@ -43,10 +43,14 @@ def call(step: Callable[[], Any], retries: Retries, sleep: Callable[[float], Non
             sleep(retries.pause * 2**k)
 
 
-def run_backend(rows: DataFrame, key: str, payload: str, opened: Callable[[], Callable[[Any], str]], retries: Retries = Retries()) -> DataFrame:
+def run_backend(
+    rows: DataFrame, key: str, payload: str, opened: Callable[[], Callable[[Any], str]],
+    retries: Retries = Retries(), stop: Callable[[], bool] | None = None, keep: Callable[[Any, str], None] | None = None,
+) -> DataFrame:
     """(key, output, status, error): ``opened()`` loads a model once for a task and gives the function that answers a payload.
 
-    Calls at once are bounded by the partitions of ``rows``; no batch waits for another one.
+    Calls at once are bounded by the partitions of ``rows``; no batch waits for another one. Once ``stop()``
+    says so nothing more is asked, and what wasn't reached has no row. ``keep(key, output)`` gets each answer at once.
     """
     kind = rows.schema[key].dataType.simpleString()
 
@@ -54,17 +58,22 @@ def run_backend(rows: DataFrame, key: str, payload: str, opened: Callable[[], Ca
         answer = None
         for batch in batches:
             out: list[tuple] = []
-            for value in batch.column(1):
+            for spot, value in zip(batch.column(0), batch.column(1), strict=True):
+                if stop and stop():
+                    break
                 began = time.monotonic()
                 try:
                     answer = answer or opened()
-                    out.append((call(lambda v=value.as_py(): answer(v), retries), None, ""))
+                    said = call(lambda v=value.as_py(): answer(v), retries)
+                    if keep:
+                        keep(spot.as_py(), said)
+                    out.append((said, None, ""))
                 except Exception as e:  # one failed image must not stop the others
                     out.append((None, status_of(e), str(e) or type(e).__name__))
                 if (wait := retries.spacing - (time.monotonic() - began)) > 0:
                     time.sleep(wait)
-            said, codes, errors = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string()), pa.array(codes, pa.int32()), pa.array(errors, pa.string())], [key, "output", "status", "error"])
+            texts, codes, errors = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(0, len(out)), pa.array(texts, pa.string()), pa.array(codes, pa.int32()), pa.array(errors, pa.string())], [key, "output", "status", "error"])
 
     ship(rows.sparkSession)
     return rows.select(F.col(key), F.col(payload)).mapInArrow(run, f"`{key}` {kind}, output string, status int, error string")

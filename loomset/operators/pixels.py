@@ -101,6 +101,16 @@ def _lanczos(x: np.ndarray) -> np.ndarray:
     return np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0)
 
 
+def _cubic(x: np.ndarray) -> np.ndarray:
+    """The cubic convolution kernel whose slope at 1 is -1/2."""
+    x = np.abs(x)
+    return np.where(x < 1, 1.5 * x**3 - 2.5 * x**2 + 1, np.where(x < 2, -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2, 0))
+
+
+#: Kernels of resampling, with how far they reach.
+KERNELS = {"lanczos": (_lanczos, 3.0), "bicubic": (_cubic, 2.0), "triangle": (_triangle, 1.0)}
+
+
 def _weights(old: int, new: int, kernel: Callable, reach: float) -> np.ndarray:
     scale = old / new
     wide = max(scale, 1.0)
@@ -113,12 +123,26 @@ def _weights(old: int, new: int, kernel: Callable, reach: float) -> np.ndarray:
 def resample(image: np.ndarray, w: int, h: int, kernel: str = "lanczos") -> np.ndarray:
     """Columns first, then rows, each pass rounded to bytes."""
     image = image[..., None] if image.ndim == 2 else image
-    fn, reach = (_lanczos, 3.0) if kernel == "lanczos" else (_triangle, 1.0)
+    fn, reach = KERNELS[kernel]
     byte = lambda x: np.clip(np.floor(x + 0.5), 0, 255).astype(np.uint8)
     wide = byte(np.einsum("ij,hjc->hic", _weights(image.shape[1], w, fn, reach), image.astype(float)))
     return byte(np.einsum("ij,jwc->iwc", _weights(image.shape[0], h, fn, reach), wide.astype(float)))
 
 
+def tagger_input(image: np.ndarray, side: int = 448) -> np.ndarray:
+    """float32 (1, side, side, 3), blue first, 0 to 255: what a tagger reads. Transparency becomes white, as do the bars that make a square."""
+    image = (image[..., None] if image.ndim == 2 else image).astype(float)
+    if image.shape[2] in (2, 4):
+        share = image[..., -1:] / 255
+        image = np.floor(image[..., :-1] * share + 255 * (1 - share) + 0.5)
+    h, w, c = image.shape
+    long = max(h, w)
+    square = np.full((long, long, 3), 255, np.uint8)
+    top, left = (long - h) // 2, (long - w) // 2
+    square[top : top + h, left : left + w] = image if c == 3 else np.repeat(image, 3, axis=2)
+    return resample(square, side, side, "bicubic")[None, ..., ::-1].astype(np.float32)
+
+
 def to_long_side(image: np.ndarray, target: int) -> np.ndarray:
     h, w = image.shape[:2]
     if max(h, w) == target:

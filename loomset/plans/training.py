@@ -103,3 +103,35 @@ def write_config(t: Training, form: str) -> str:
     path = free_path(Path(t.folder) / f"{form}{suffix}", ".")
     path.write_text(text, encoding="utf-8")
     return str(path)
+
+
+#: What a command leaves for the user to fill in.
+OPEN = "<<FILL: {}>>"
+
+
+def _flags(values: dict[str, object]) -> str:
+    """Options in order: a list repeats nothing but stands in one, True is a bare flag, False and None are none."""
+    said = []
+    for name, value in values.items():
+        if value is True:
+            said.append(f"--{name}")
+        elif value is not None and value is not False:
+            said.append(f"--{name} {value if not isinstance(value, Path) else json.dumps(value.as_posix())}")
+    return " ".join(said)
+
+
+def run_command(t: Training, form: str, config: str, install: str = "") -> str:
+    """The line that starts a trainer from where it is installed; what isn't known stays open, to be filled in."""
+    at = install.strip() or OPEN.format("where the trainer is installed")
+    path = Path(config)
+    if form == "job":
+        return f'cd "{at}" && python run.py "{path.as_posix()}"'
+    script = t.model.get("script") or OPEN.format("the training script")
+    common = {"network_module": "networks.lora", "network_dim": t.rank, "network_alpha": t.alpha, "learning_rate": t.lr, "max_train_steps": t.steps, "output_dir": "output", "output_name": json.dumps(t.name, ensure_ascii=False)}
+    if form == "subsets":
+        model = {"pretrained_model_name_or_path": json.dumps(t.model.get("name_or_path") or OPEN.format("a base checkpoint"))}
+    elif form == "dataset":
+        model = {k: json.dumps(t.model.get(k) or OPEN.format(f"weights of the {k}")) for k in ("dit", "vae", "text_encoder")}
+    else:
+        raise ValueError(f"no form {form!r}; there are job, dataset and subsets")
+    return f'cd "{at}" && accelerate launch {script} {_flags({"dataset_config": path} | model | common | t.model.get("flags", {}))}'

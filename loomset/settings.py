@@ -85,3 +85,30 @@ def save_choices(path: str | Path, changes: dict) -> dict:
     every = load_choices(path) | changes
     _store(Path(path), json.dumps(every, indent=2).splitlines())
     return every
+
+
+_FALSE, _TRUE = {"0", "false", "no", "off", "f", "n"}, {"1", "true", "yes", "on", "t", "y"}
+
+
+def _like(default: object, given: str) -> object:
+    """The given text as a value of the default's type."""
+    if isinstance(default, bool):
+        if given.strip().lower() not in _FALSE | _TRUE:
+            raise ValueError(f"{given!r} is neither true nor false")
+        return given.strip().lower() in _TRUE
+    return type(default)(given)
+
+
+def settled(defaults: dict, prefix: str, env_file: str | Path = ".env") -> dict:
+    """The settings: an environment variable PREFIX_NAME comes before one in the file, and that before the default.
+
+    Names' case doesn't matter; a value takes its default's type, and one that can't is an error. Other names are ignored.
+    """
+    every = {k.lower(): v for k, v in (read_env(env_file) | dict(os.environ)).items()}
+    lower = {k: f"{prefix}{k}".lower() for k in defaults}
+    return {k: _like(v, every[lower[k]]) if lower[k] in every else v for k, v in defaults.items()}
+
+
+def key_of(name: str, settings: dict) -> str:
+    """A key from the settings, or where that is empty from the environment variable of its upper-case name; else ""."""
+    return str(settings.get(name.lower()) or "") or os.environ.get(name.upper(), "")

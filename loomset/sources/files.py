@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,3 +60,47 @@ def png_size(content: Column) -> Column:
     """struct<w, h> from a PNG header, null for other files."""
     number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")
     return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("w"), number(21).alias("h")))
+
+
+def expanded(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The images of the folders among ``paths`` and the files among them, in the order given; none at all is an error."""
+    # A line for each path that a user names, each with its folder's listing.
+    parts = [(list_images(spark, p) if Path(p).is_dir() else _parts(spark.createDataFrame([(p,)], "path string"))).withColumn("place", F.lit(i)) for i, p in enumerate(paths)]
+    if not parts or (every := reduce(DataFrame.unionByName, parts)).isEmpty():
+        raise ValueError("there are no images in the given paths")
+    return every.orderBy("place", "path")
+
+
+def chosen_inputs(spark: SparkSession, uploads: list[str], folder: str) -> DataFrame:
+    """Uploads come before a folder, which has to hold images; neither is an error."""
+    if not uploads and not folder.strip():
+        raise ValueError("give images, or a folder of images")
+    return expanded(spark, uploads or [folder.strip()])
+
+
+def dataset_metadata(folder: str) -> dict:
+    """What a packaged dataset says of itself in metadata.json; {} where that is absent, damaged or no table."""
+    try:
+        found = json.loads((Path(folder) / "metadata.json").read_text(encoding="utf-8"))
+    except (OSError, ValueError):
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def type_note(folder: str, selected: str) -> str:
+    """A line on the type that a dataset records, with a warning where it isn't the selected one; "" where it records none."""
+    found = dataset_metadata(folder)
+    recorded, style = (str(found.get(k) or "") for k in ("dataset_type", "caption_style"))
+    if not recorded:
+        return ""
+    line = f"metadata.json says: {recorded}" + (f", captions of {style}." if style else ".")
+    return line if recorded == selected else f"{line} The selected type is {selected}, and sample prompts follow it."
+
+
+def save_caption(folder: str, name: str, text: str) -> str:
+    """Writes one image's sidecar anew, stripped, and returns its path."""
+    if not folder.strip() or not name:
+        raise ValueError("a folder and an image are needed")
+    spot = (Path(folder.strip()) / name).with_suffix(".txt")
+    spot.write_text(text.strip(), encoding="utf-8")
+    return str(spot)
