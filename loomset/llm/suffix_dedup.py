@@ -167,7 +167,7 @@ def all_runs(texts: DataFrame, unit: str, threshold: int) -> DataFrame:
 def divide(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drops buckets of one run; a span found at several places is repeated, all of it.
 
-    Returns the repeated runs (tid, first, more) and, for the order, one run (key, size, tid, first,
+    Returns the repeated runs (tid, firsts, more), a text's equal runs in one row, and, for the order, one run (key, size, tid, first,
     more, anchor) for each span of the buckets that hold several spans, ``size`` spans each. Aggregates
     keep the least and the greatest place of a key, so a hot key costs no more than others.
     """
@@ -180,7 +180,7 @@ def divide(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = shared.groupBy("span").agg(lo, hi, F.min(F.struct("key", "tid", F.get("firsts", F.lit(0)).alias("first"), "more", "anchor")).alias("part"))
     spans = materialize(spans.select("span", F.expr("lo <> hi").alias("settled"), "part.*"), "suffix-spans")
     repeated = shared.join(spans.where("settled").select("span"), "span", "left_semi")
-    repeated = materialize(repeated.select("tid", F.explode("firsts").alias("first"), "more"), "suffix-repeated")
+    repeated = materialize(repeated.select("tid", "firsts", "more"), "suffix-repeated")
     discard(shared)
     mixed = spans.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.every("settled").alias("all_settled")).where("size > 1 AND NOT all_settled").select("key", "size")
     mixed = materialize(mixed, "suffix-mixed")
@@ -374,8 +374,8 @@ def order_all(texts: DataFrame, rest: DataFrame, unit: str, threshold: int) -> l
 
 
 def cut_out(texts: DataFrame, covered: DataFrame, unit: str, threshold: int) -> DataFrame:
-    """Removes the covered windows from each text, and all windows from a text with copies."""
-    listed = covered.distinct().groupBy("tid").agg(F.collect_list(F.struct("first", "more")).alias("runs"))
+    """Removes the covered windows (tid, firsts, more) from each text, and all windows from a text with copies."""
+    listed = covered.groupBy("tid").agg(F.collect_list(F.struct("firsts", "more")).alias("runs"))  # bounded by the text's own length
     joined = texts.hint("merge").join(listed, "tid", "left").where("copies > 1 OR runs IS NOT NULL").select("tid", "body", "copies", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +390,7 @@ def cut_out(texts: DataFrame, covered: DataFrame, unit: str, threshold: int) ->
                 if copies.as_py() > 1:
                     merged.append([0, units.n])
                 else:
-                    for f, m in sorted((p["first"], p["more"]) for p in parts.as_py()):
+                    for f, m in sorted((f, p["more"]) for p in parts.as_py() for f in p["firsts"]):
                         if merged and f <= merged[-1][1]:
                             merged[-1][1] = max(merged[-1][1], f + m + threshold)
                         else:
@@ -430,11 +430,11 @@ def repeated_windows(df: DataFrame, text_col: str = "text", unit: str = "bytes",
     parts = materialize(all_runs(texts, unit, threshold), "suffix-runs")
     repeated, rest = divide(parts)
     discard(parts)
-    found = [repeated, *order_all(texts, rest, unit, threshold)]
+    found = order_all(texts, rest, unit, threshold)
     discard(rest)
-    covered = reduce(DataFrame.unionByName, found)
-    out = materialize(cut_out(texts, covered, unit, threshold), "suffix-cut")
-    discard(texts, *found)
+    windows = reduce(DataFrame.unionByName, found).distinct().select("tid", F.array("first").alias("firsts"), "more")
+    out = materialize(cut_out(texts, repeated.unionByName(windows), unit, threshold), "suffix-cut")
+    discard(texts, repeated, *found)
     return out
 
 
