@@ -9,6 +9,7 @@ from loomset.llm.mixing import op8_source_mixing
 from loomset.llm.quality_classifier import op1_quality_classifier
 from loomset.llm.quality_rules import op6_quality_rules, op6_sql
 from loomset.llm.sentencepiece_codec import op4_sentencepiece
+from loomset.llm.spelling_variants import op11_spelling_variants, op11_sql
 from loomset.llm.suffix_dedup import op10_suffix_dedup
 from loomset.llm.token_counts import op2_token_counts
 from loomset.llm.warc_archive import op3_warc
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_media_columns": op9_media_columns,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
-SQL = {"op5_licence_scan": op5_sql(), "op6_quality_rules": op6_sql()}
+SQL = {"op5_licence_scan": op5_sql(), "op6_quality_rules": op6_sql(), "op11_spelling_variants": op11_sql()}
