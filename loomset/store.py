@@ -34,6 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def track(spark: SparkSession, path: str) -> None:
+    """The folder is deleted when it is spent, or when the driver ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _KEPT[path] = at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table of the shared folder and read it back.
 
@@ -44,15 +50,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomset-{name}-{uuid.uuid4().hex[:12]}"
     schema, began = df.schema, time.monotonic()
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    _KEPT[path] = at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+    track(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     if time.monotonic() - began > 2:
         # What the write shuffled is of no use any more; Spark removes it once its driver has collected its
         # garbage, and a driver with little to do seldom does so. A short write has left little behind.
         gc.collect()
-        jvm.System.gc()
+        spark._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path
     return out
