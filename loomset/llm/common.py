@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomset.session import ship
-from loomset.store import discard, materialize
+from loomset.store import discard, materialize, shared_dir, track
 
-__all__ = ["BATCH_ROWS", "WORD", "discard", "id_and_bytes", "materialize", "numbered", "small_batches", "table", "text_bytes"]
+__all__ = ["BATCH_ROWS", "WORD", "bucketed", "discard", "id_and_bytes", "materialize", "numbered", "small_batches", "table", "text_bytes"]
 
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` yields exactly these on UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +40,19 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` as a scratch table in as many buckets by ``key`` as there are shuffle partitions: joins on the key then move the other side only."""
+    spark = df.sparkSession
+    n, known = int(spark.conf.get("spark.sql.shuffle.partitions")), f"loomset_{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark).rstrip('/')}/loomset-{name}-{known}"
+    track(spark, path)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(known)
+    out = spark.table(known)
+    spark.sql(f"DROP TABLE {known}")  # an entry of the catalog; the files stay until they are discarded
+    out._scratch_path = path
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Before any Python map: the package goes to the executors, and batches stay small.
 
