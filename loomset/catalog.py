@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomset.functions import messages
 from loomset.functions import text as T
-from loomset.operators import captioning, choices, dedupe, export, lint, quality, selection, stats, tags
+from loomset.operators import answers, captioning, choices, dedupe, export, lint, quality, selection, stats, tags
 from loomset.plans import files as plan_files
 from loomset.plans import shots
 from loomset.streaming.incremental import caption_stream
@@ -612,10 +612,23 @@ def caption_batch(spark, sf_dir):
     """The same captions as ``caption_pipeline``, by a tagger backend that is opened once for a task."""
     rows = _tagged(spark, sf_dir).select("ord", F.col("caption").alias("content"), F.lit("").alias("caption"))
     backend = captioning.configured(captioning.Backend("tagger", _answering))
-    done = captioning.caption_images(rows, backend, skip_existing=True, trigger="Brand#1", drop="brand#11, PROMO", prefix="score_9,", suffix=",end")
+    log = answers.scratch_log(spark, each=4096)
+    done = captioning.caption_images(rows, backend, skip_existing=True, log=log, trigger="Brand#1", drop="brand#11, PROMO", prefix="score_9,", suffix=",end")
     return done.select("ord", "caption")
 
 
+@query(f"SELECT ord, caption, CAST(1 AS BIGINT) AS n_answers, CASE WHEN ord % 3 = 0 THEN 1 ELSE 2 END AS run FROM ({_PIPED})")
+def caption_resumed(spark, sf_dir):
+    """A batch that ended after every third image, taken up by its log: nothing is asked twice."""
+    rows = _tagged(spark, sf_dir).select("ord", F.col("caption").alias("content"), F.lit("").alias("caption"))
+    backend, log = captioning.configured(captioning.Backend("tagger", _answering)), answers.scratch_log(spark, each=4096)
+    finish = {"trigger": "Brand#1", "drop": "brand#11, PROMO", "prefix": "score_9,", "suffix": ",end"}
+    captioning.caption_images(rows.where("ord % 3 = 0"), backend, log=log, **finish)
+    done = captioning.caption_images(rows, backend, log=log, **finish)
+    told = log.read(spark, "ord", "bigint").groupBy("ord").agg(F.count(F.lit(1)).alias("n_answers"), F.max("run").alias("run"))
+    return done.join(told, "ord").select("ord", "caption", "n_answers", "run")
+
+
 @query(
     """WITH k AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'tags' WHEN 1 THEN 'prose' WHEN 2 THEN 'odd' END AS s, CASE p_size % 3 WHEN 0 THEN 'style' WHEN 1 THEN 'concept' ELSE 'character' END AS t, p_partkey % 5 = 0 AS sparse FROM part)
     SELECT p_partkey, CASE WHEN t = 'character' THEN CASE WHEN s = 'tags' THEN 'List tags of {subject}.' ELSE 'Describe {subject}.' END

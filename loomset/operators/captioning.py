@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from loomset.functions import text as T
 from loomset.operators import choices
-from loomset.operators.batch import Retries, run_backend
+from loomset.operators.answers import AnswerLog, scratch_log
+from loomset.operators.batch import Pace, Retries
 
 
 @dataclass(frozen=True)
@@ -100,19 +101,22 @@ def instruction(style: Column, dataset_type: Column, sparse: Column, templates:
 
 
 def caption_images(
-    rows: DataFrame, backend: Backend, payload: str = "content", style: str = "prose", skip_existing: bool = False,
-    retries: Retries = Retries(), stop: Stop | None = None, keep: Callable[[int, str], None] | None = None, **finish: Any,
+    rows: DataFrame, backend: Backend, payload: str = "content", style: str = "prose", skip_existing: bool = False, retries: Retries = Retries(),
+    stop: Stop | None = None, keep: Callable[[int, str], None] | None = None, log: AnswerLog | None = None, pace: Pace | None = None, **finish: Any,
 ) -> DataFrame:
     """(ord, output, caption, status, error) for ``rows`` (ord, caption and the payload), in order.
 
-    A backend is loaded once for a task. The wish to stop is read before each call, so nothing is asked
-    after it; rows that weren't reached are no rows of the result, and ``skip_existing`` leaves out what
-    has a caption, so that a second run does the rest. ``keep(ord, output)`` runs on the executor as soon
-    as an answer is there, and again should its task be repeated: it has to write the same twice. A tagger
-    gives tags, whatever the style; ``finish`` goes to ``choices.caption_steps``. Failures have no caption.
+    Each image is asked once: the answers go to ``log`` batch by batch, and the result is read from it. With
+    the log of an earlier run, done, stopped or killed, only what that lacks is asked, and its answers are
+    rows of this result too; without one, the log lives as long as the driver. A backend is loaded once for
+    a task. The wish to stop is read before each call, so nothing is asked after it; rows that weren't
+    reached are no rows of the result, and ``skip_existing`` leaves out what has a caption. ``keep(ord, output)``
+    runs on the executor as soon as an answer is there, and again should its task be repeated: it has to
+    write the same twice. A tagger gives tags, whatever the style; ``finish`` goes to
+    ``choices.caption_steps``. Failures have no caption.
     """
     style = "tags" if backend.kind == "tagger" and style not in ("tags", "e621") else style
     todo = rows.where(F.trim(T.empty(F.col("caption"))) == "") if skip_existing else rows
-    said = run_backend(todo, "ord", payload, lambda: backend.opened(backend.model, backend.options), retries, stop, keep)
+    said = (log or scratch_log(rows.sparkSession)).ask(todo, "ord", payload, lambda: backend.opened(backend.model, backend.options), retries, stop, keep, pace)
     done = F.when(F.col("error") == "", choices.caption_steps(F.col("output"), style, **finish))
     return said.withColumn("caption", done).select("ord", "output", "caption", "status", "error").orderBy("ord")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loomset import settings
 from loomset.operators import captioning, pixels
+from loomset.operators.answers import AnswerLog
 from loomset.plans import training
 from loomset.sources import files, headers
 
@@ -145,7 +146,8 @@ def test_a_batch_stops_between_images_and_starts_anew(spark, tmp_path):
             stop.request()
 
     backend = captioning.Backend("tagger", opened, "m")
-    assert [r.ord for r in captioning.caption_images(rows, backend, stop=stop, keep=keep).collect()] == [0, 1, 2]
+    one = AnswerLog(str(tmp_path / "log"), parallel=1)
+    assert [r.ord for r in captioning.caption_images(rows, backend, stop=stop, keep=keep, log=one).collect()] == [0, 1, 2]
     assert captioning.caption_images(rows, backend, stop=stop).count() == 0
     stop.start()
     assert captioning.caption_images(rows, backend, stop=stop).count() == 6
