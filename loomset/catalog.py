@@ -16,7 +16,7 @@ from loomset.functions import messages
 from loomset.functions import text as T
 from loomset.operators import answers, captioning, choices, dedupe, export, lint, quality, selection, stats, tags
 from loomset.plans import files as plan_files
-from loomset.plans import shots
+from loomset.plans import generation, shots
 from loomset.streaming.incremental import caption_stream
 
 QUERIES: dict = {}
@@ -629,6 +629,29 @@ def caption_resumed(spark, sf_dir):
     return done.join(told, "ord").select("ord", "caption", "n_answers", "run")
 
 
+def _made(shot: dict) -> str:
+    """Tells how many shots led to this one."""
+    return f"{int((shot['led_by'] or '0-').partition('-')[0]) + 1}-{shot['id']}"
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT p_partkey AS k, CASE p_partkey % 20 WHEN 18 THEN p_partkey + 1 WHEN 19 THEN p_partkey - 1 WHEN 0 THEN p_partkey - 1 ELSE CASE WHEN p_partkey % 4 <> 1 THEN p_partkey - 1 END END AS up, p_partkey % 7 = 0 AS kept FROM part),
+    t AS (SELECT k, up, up IN (SELECT k FROM s WHERE NOT kept) AS waits FROM s WHERE NOT kept),
+    w AS (SELECT k, 0 AS wave FROM t WHERE waits IS NOT TRUE UNION ALL SELECT t.k, w.wave + 1 FROM w JOIN t ON t.up = w.k AND t.waits),
+    d AS (SELECT t.k, w.wave, w.k IS NULL AS ring, CASE WHEN t.up % 7 = 0 AND t.up IN (SELECT k FROM s) THEN '5-old' END AS old, t.up FROM t LEFT JOIN w ON t.k = w.k),
+    m AS (SELECT k, wave, ring, old AS led_by, CASE WHEN old IS NULL THEN 1 ELSE 6 END AS n, up FROM d WHERE wave = 0 OR ring UNION ALL SELECT d.k, d.wave, d.ring, m.n || '-' || m.k, m.n + 1, d.up FROM m JOIN d ON d.up = m.k AND d.wave = m.wave + 1 AND NOT m.ring)
+    SELECT k::VARCHAR AS id, n || '-' || k AS path, '' AS error, wave::BIGINT AS wave, ring, led_by FROM m UNION ALL SELECT k::VARCHAR, '5-old', '', NULL, false, NULL FROM s WHERE kept"""
+)
+def generation_waves(spark, sf_dir):
+    """Chains of up to four shots, some in rings, some on results that are kept."""
+    key = F.col("p_partkey")
+    up = F.when(key % 20 == 18, key + 1).when((key % 20).isin(19, 0) | (key % 4 != 1), key - 1)
+    plan = _t(spark, sf_dir, "part").select(key.cast("string").alias("id"), F.lit("pose").alias("kind"), F.col("p_name").alias("local_prompt"), F.col("p_type").alias("cloud_prompt"), up.cast("string").alias("chain_from"), (key % 7 == 0).alias("kept"))
+    old = plan.where("kept").select("id", F.lit("5-old").alias("path"), F.lit(1).cast("long").alias("seed"), F.lit("").alias("error"))
+    made = generation.generate(plan, lambda: _made, old, plan.where("NOT kept").select("id"), log=answers.scratch_log(spark, each=4096))
+    return made.select("id", "path", "error", "wave", "ring", "led_by")
+
+
 @query(
     """WITH k AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'tags' WHEN 1 THEN 'prose' WHEN 2 THEN 'odd' END AS s, CASE p_size % 3 WHEN 0 THEN 'style' WHEN 1 THEN 'concept' ELSE 'character' END AS t, p_partkey % 5 = 0 AS sparse FROM part)
     SELECT p_partkey, CASE WHEN t = 'character' THEN CASE WHEN s = 'tags' THEN 'List tags of {subject}.' ELSE 'Describe {subject}.' END
