@@ -11,7 +11,7 @@ from loomset import settings
 from loomset.operators import dedupe, lint, pixels, reports
 from loomset.plans import training
 from loomset.session import build_session
-from loomset.sources import files, packages
+from loomset.sources import files, headers, packages, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -72,18 +72,18 @@ def run(args: argparse.Namespace) -> str:
         return reports.lint_report(pairs.withColumn("caption", F.coalesce("caption", F.lit(""))), args.trigger)
     if args.command == "export":
         folder = packages.package(pairs, args.root, args.name, args.trigger)
-        return packages.zipped(folder) if args.zip else folder
+        return packages.zipped(folder, spark) if args.zip else folder
     images = files.files(spark, args.folder).where(F.col("ext").isin(files.IMAGE_EXTENSIONS))
     if args.command == "preprocess":
         done = pixels.prepared(images, pixels.Preparation(args.target)).persist()
         named = F.concat(F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", ""), F.lit("_prepped.png"))
-        n = packages.write_files(done.where("content IS NOT NULL").select(named.alias("name"), "content"), args.out)
+        sinks.write_folder(done.where("content IS NOT NULL").select(named.alias("name"), "content"), args.out)
+        n = done.where("content IS NOT NULL").count()
         failed = [f"{r.path}: {r.error}" for r in done.where("content IS NULL").select("path", "error").orderBy("path").collect()]
         return "\n".join([f"{n} written", *failed])
-    found = pixels.measured(images)
     if args.command == "stats":
-        captioned = pairs.select("path", F.col("caption").isNotNull().alias("has_caption"))
-        return reports.stats_report(found.where("w IS NOT NULL").join(captioned, "path"))
+        return reports.stats_report(headers.sized_pairs(spark, args.folder))
+    found = pixels.measured(images)
     if args.command == "duplicates":
         numbered = found.join(pairs.select("path", "ord"), "path").persist()
         groups = dedupe.near_groups(numbered.select("ord", "hash"), args.distance)

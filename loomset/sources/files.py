@@ -7,10 +7,10 @@ from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomset.functions import text as T
+from loomset.operators import export
 
 #: Extensions of images.
 IMAGE_EXTENSIONS = ["png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff"]
@@ -44,7 +44,8 @@ def captions(spark: SparkSession, folder: str) -> DataFrame:
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Images with their captions, null where there is no sidecar, numbered by path."""
     joined = list_images(spark, folder).join(captions(spark, folder), ["folder", "stem"], "left")
-    return joined.select(F.row_number().over(W.orderBy("path")).cast("long").alias("ord"), F.col("name").alias("image"), "path", "ext", "caption")  # a folder's listing
+    listed = export.numbered(joined.select(F.col("name").alias("image"), "path", "ext", "caption"), "path")
+    return listed.select(F.col("number").alias("ord"), "image", "path", "ext", "caption")
 
 
 def tag_vocabulary(spark: SparkSession, path: str) -> DataFrame:

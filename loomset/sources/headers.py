@@ -1,17 +1,25 @@
-"""Sizes of images from the headers of their files, without decoding: PNG, GIF, BMP, JPEG, WebP and TIFF."""
+"""Sizes of images from the headers of their files, without decoding: PNG, GIF, BMP, JPEG, WebP and TIFF.
+
+The data source seeks: it reads the blocks that hold a header, and passes over what lies between them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomset.session import ship
 from loomset.sources import files
 
 Size = tuple[int, int] | None
+#: Bytes that are read at once.
+BLOCK = 64
 #: JPEG's frame markers (those of 0xC0 to 0xCF that aren't tables), and its markers without a body.
 FRAMES = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 BARE = frozenset(range(0xD0, 0xD9)) | {0x01}
@@ -82,15 +90,111 @@ def image_size(data: bytes) -> Size:
     return size if size and min(size) > 0 else None
 
 
+class Peeked:
+    """A file as bytes of which only those blocks are read that are looked at."""
+
+    def __init__(self, file, size: int) -> None:
+        self.file, self.size, self.blocks = file, size, {}
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _block(self, i: int) -> bytes:
+        if i not in self.blocks:
+            self.file.seek(i * BLOCK)
+            self.blocks[i] = self.file.read(BLOCK)
+        return self.blocks[i]
+
+    @property
+    def taken(self) -> int:
+        return sum(map(len, self.blocks.values()))
+
+    def __getitem__(self, at: int | slice) -> int | bytes:
+        if isinstance(at, int):
+            return self._block(at // BLOCK)[at % BLOCK]
+        start, stop, _ = at.indices(self.size)
+        data = b"".join(self._block(i) for i in range(start // BLOCK, -(-stop // BLOCK)))
+        return data[start % BLOCK : start % BLOCK + max(0, stop - start)]
+
+
+@dataclass
+class Listed(InputPartition):
+    """Files that one task looks into: address, path in its file system and size."""
+
+    files: list[tuple[str, str, int]]
+
+
+class ImageHeaders(DataSource):
+    """``spark.read.format("image_headers").load(folder)``: a row per image, from a few bytes of its file.
+
+    Options: ``path``, a folder as any of Arrow's file systems knows it; ``extensions``, of the files that are looked
+    into; ``files_per_task``. Other files are never opened. Direct children only, like a folder's listing.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "image_headers"
+
+    def schema(self) -> str:
+        return "path string, name string, stem string, ext string, length long, w int, h int, bytes_read long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return HeaderReader(self.options)
+
+
+class HeaderReader(DataSourceReader):
+    def __init__(self, options) -> None:
+        self.path = options["path"]
+        self.extensions = set((options.get("extensions") or ",".join(files.IMAGE_EXTENSIONS)).lower().split(","))
+        self.each = int(options.get("files_per_task") or 256)
+
+    def _opened(self):
+        return fs.FileSystem.from_uri(self.path) if ":/" in self.path else (fs.LocalFileSystem(), self.path)
+
+    def partitions(self) -> list[InputPartition]:
+        where, base = self._opened()
+        root = self.path.rstrip("/")
+        listed = [(f"{root}/{i.base_name}", i.path, i.size) for i in where.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.File and _ending(i.base_name) in self.extensions]
+        listed.sort()
+        return [Listed(listed[i : i + self.each]) for i in range(0, len(listed), self.each)] or [Listed([])]
+
+    def read(self, partition: Listed) -> Iterator[pa.RecordBatch]:
+        where, _ = self._opened()
+        rows: list[list] = [[] for _ in range(8)]
+        for address, path, size in partition.files:
+            name = path.rsplit("/", 1)[-1]
+            try:
+                with where.open_input_file(path) as file:
+                    head = Peeked(file, size)
+                    found = image_size(head) or (None, None)
+                    taken = head.taken
+            except (OSError, IndexError):  # gone or damaged
+                found, taken = (None, None), 0
+            for column, value in zip(rows, (address, name, name[: -len(_ending(name)) - 1], _ending(name), size, *found, taken), strict=True):
+                column.append(value)
+        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["path", "name", "stem", "ext", "length", "w", "h", "bytes_read"])
+
+
+def _ending(name: str) -> str:
+    """The extension in lower case; a name that begins with its only point has none."""
+    stem, point, ext = name.rpartition(".")
+    return ext.lower() if point and stem else ""
+
+
+def image_headers(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """(path, name, stem, ext, length, w, h, bytes_read) of the folder's images, w and h null where the header can't be read."""
+    ship(spark)
+    spark.dataSource.register(ImageHeaders)
+    return spark.read.format("image_headers").options(**options).load(folder)
+
+
 def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """(path, w, h) of the folder's readable images; those without a readable header are left out."""
+    return image_headers(spark, folder).select("path", "w", "h").where("w IS NOT NULL")
 
-    @F.pandas_udf("w int, h int")
-    def sized(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for content in contents:
-            found = [image_size(bytes(x)) or (None, None) for x in content]
-            yield pd.DataFrame(found, columns=["w", "h"]).astype("Int32")
 
-    ship(spark)
-    rows = files.files(spark, folder).where(F.col("ext").isin(files.IMAGE_EXTENSIONS))
-    return rows.select("path", sized("content").alias("size")).select("path", "size.*").where("w IS NOT NULL")
+def sized_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, w, h, has_caption) of the folder's readable images: what a dataset's statistics need, without the images."""
+    listed = image_headers(spark, folder).where("w IS NOT NULL")
+    return listed.join(files.captions(spark, folder).select("stem", F.lit(True).alias("found")).distinct(), "stem", "left").select("path", "w", "h", F.coalesce("found", F.lit(False)).alias("has_caption"))
