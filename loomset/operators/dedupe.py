@@ -1,20 +1,27 @@
 """Near duplicates by perceptual hash.
 
-Rows with equal hashes are one class with a count, told by its least row. Pairs of classes within a
-distance d agree on at least one of d + 1 bands of the hash, so an equi-join on bands finds them all;
-groups are the greedy cover in input order: each row not yet taken starts a group and takes all later
+Rows with equal hashes are one class with a count, told by its least row. Pairs of classes are found by
+multi-index hashing: within a distance, two hashes are within a smaller one in one of a few wide bands,
+and meet there half-way, so an equi-join on flipped values of bands finds them all; groups are the greedy cover in input order: each row not yet taken starts a group and takes all later
 rows within the distance that are not taken.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomset.store import discard, materialize
 
+#: Pairs that a key may bring together before its classes meet under further bits.
+HOT_PAIRS = 1 << 20
+#: Keys of a hash in one band: with more, bands are made narrower.
+MOST_KEYS = 512
+
 
 def difference_hash(grid: Column, rows: int, cols: int) -> Column:
     """Bits left < right for each pair of neighbours in a row, the first bit highest; rows * (cols - 1) bits, 64 at most."""
@@ -34,23 +41,106 @@ def classes(hashes: DataFrame) -> DataFrame:
     return hashes.where("hash IS NOT NULL").groupBy("hash").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
 
 
-def near_pairs(hashes: DataFrame, distance: int = 5, bits: int = 64) -> DataFrame:
+def ball(width: int, radius: int) -> list[int]:
+    """All numbers of ``width`` bits of which at most ``radius`` are set: what a band's value is flipped by."""
+    return [sum(1 << i for i in spots) for k in range(radius + 1) for spots in combinations(range(width), k)]
+
+
+def plan_bands(spans: list[tuple[int, int]], distance: int, parts: int) -> list[tuple[list[tuple[int, int]], int, int]]:
+    """Bands of the bits in ``spans`` (offset, width): (spans, width, radius) each.
+
+    Hashes within the distance are within the radius in one band at least: were they beyond it in all, the
+    bands' differences would sum up to more than the distance.
+    """
+    spots = [o + i for o, w in spans for i in range(w)]
+    edges = [round(i * len(spots) / parts) for i in range(parts + 1)]
+    low, wider = distance // parts, distance % parts + 1
+    bands = []
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        runs: list[tuple[int, int]] = []
+        for spot in spots[lo:hi]:
+            if runs and sum(runs[-1]) == spot:
+                runs[-1] = runs[-1][0], runs[-1][1] + 1
+            else:
+                runs.append((spot, 1))
+        if (radius := low if k < wider else low - 1) >= 0:
+            bands.append((runs, hi - lo, min(radius, hi - lo)))
+    return bands
+
+
+def parts_of(bits: int, distance: int, wide: int) -> int:
+    """How many bands: as few as keys of ``wide`` bits allow, but enough that no hash has over ``MOST_KEYS`` keys in a band."""
+    parts = max(1, min(bits // wide, distance + 1))
+    while sum(comb(-(-bits // parts), k) for k in range(-(-(distance // parts) // 2) + 1)) > MOST_KEYS:
+        parts += 1
+    return parts
+
+
+def _value(h: Column, spans: list[tuple[int, int]]) -> Column:
+    out, at = F.lit(0).cast("long"), 0
+    for offset, width in spans:
+        mask = -1 if width == 64 else (1 << width) - 1
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(h, offset).bitwiseAND(F.lit(mask)), at))
+        at += width
+    return out
+
+
+def _flip(band: Column, value: Column, mask: Column) -> Column:
+    return F.struct(band.alias("band"), value.bitwiseXOR(mask).alias("value"))
+
+
+def _keyed(rows: DataFrame, bands: list[tuple[list[tuple[int, int]], int, int]], greater: bool) -> DataFrame:
+    """Each row under its keys (band, value). A pair meets half-way: the lesser row flips up to one half of a band's radius, the greater one the rest."""
+    every = []
+    for i, (spans, width, radius) in enumerate(bands):
+        flips = F.from_json(F.lit(str(ball(width, radius // 2 if greater else radius - radius // 2))), "array<bigint>")
+        band, value = F.lit(i), _value(F.col("hash"), spans)
+        every.append(F.transform(flips, partial(_flip, band, value)))
+    return rows.withColumn("key", F.explode(F.concat(*every))).select("*", "key.band", "key.value").drop("key")
+
+
+def near_candidates(known: DataFrame, distance: int = 5, bits: int = 64, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """Pairs (a, n_a, hash_a, b, n_b, hash_b) of classes a < b that meet under a key, some more than once; all within the distance are among them.
+
+    Keys have 20 bits or more and as many as tell the classes apart, fewer where a distance is large for the bits. Where a key brings more than
+    ``hot_pairs`` pairs together, as for pictures that share a plain part, its classes meet under the bands of
+    their other bits instead, which must be within the distance too.
+    """
+    wide = max(20, (known.count() + 1).bit_length())
+    bands = plan_bands([(0, bits)], distance, parts_of(bits, distance, wide))
+    left, right = (materialize(_keyed(known, bands, greater), "dedupe-keys") for greater in (False, True))
+    on = ["band", "value"]
+    sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias("l")).join(right.groupBy(*on).agg(F.count(F.lit(1)).alias("r")), on)
+    hot = materialize(sizes.where(F.col("l") * F.col("r") > hot_pairs).select(*on), "dedupe-hot")
+    name = lambda df, x: df.select(*on, *([c for c in df.columns if c.startswith("inner")]), F.col("ord").alias(x), F.col("n").alias(f"n_{x}"), F.col("hash").alias(f"hash_{x}"))
+
+    def met(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+        return name(one, "a").join(name(other, "b"), keys).where("a < b").select("a", "n_a", "hash_a", "b", "n_b", "hash_b")
+
+    if hot.isEmpty():
+        return met(left, right, on)
+    out = met(left.join(hot, on, "left_anti"), right.join(hot, on, "left_anti"), on)
+    for i, (spans, width, _) in enumerate(bands):
+        rest = [(0, bits)]
+        for o, w in spans:
+            rest = [piece for ro, rw in rest for piece in ((ro, min(rw, o - ro)), (max(ro, o + w), ro + rw - max(ro, o + w))) if piece[1] > 0]
+        inner = plan_bands(rest, distance, parts_of(bits - width, distance, 20))
+        sides = (_keyed(side.join(hot.where(F.col("band") == i), on, "left_semi").withColumnsRenamed({"band": "outer", "value": "outer_value"}), inner, greater) for side, greater in ((left, False), (right, True)))
+        one, other = (s.withColumnsRenamed({"band": "inner_band", "value": "inner_value", "outer": "band", "outer_value": "value"}) for s in sides)
+        out = out.unionByName(met(one, other, [*on, "inner_band", "inner_value"]))
+    return out
+
+
+def near_pairs(hashes: DataFrame, distance: int = 5, bits: int = 64, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """(a, n_a, b, n_b, distance) for classes a < b of (ord, hash) within the distance.
 
     Each class is told by its least row, with the number of its rows: copies are never expanded into
-    pairs. A pair is checked in the first band on which it agrees.
+    pairs. Null hashes are left out.
     """
-    n = distance + 1
-    edges = [round(i * bits / n) for i in range(n + 1)]
-    masks = [-1 if hi - lo == 64 else (1 << (hi - lo)) - 1 for lo, hi in zip(edges, edges[1:], strict=False)]
-    band = lambda h, i: F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit(masks[i]))
-    banded = classes(hashes).select("hash", "ord", "n", F.posexplode(F.array(*(band(F.col("hash"), i) for i in range(n)))).alias("band", "value"))
-    left, right = banded.alias("l"), banded.alias("r")
-    first = F.expr("CASE " + " ".join(f"WHEN shiftrightunsigned(l.hash ^ r.hash, {edges[i]}) & {masks[i]}L = 0 THEN {i}" for i in range(n)) + " END")
-    apart = hamming(F.col("l.hash"), F.col("r.hash"))
-    met = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.ord") < F.col("r.ord")))
-    near = met.where((apart <= distance) & (F.col("l.band") == first))
-    return near.select(F.col("l.ord").alias("a"), F.col("l.n").alias("n_a"), F.col("r.ord").alias("b"), F.col("r.n").alias("n_b"), apart.alias("distance"))
+    known = materialize(classes(hashes), "dedupe-classes")
+    apart = hamming(F.col("hash_a"), F.col("hash_b"))
+    near = near_candidates(known, distance, bits, hot_pairs).withColumn("distance", apart).where(F.col("distance") <= distance)
+    return near.select("a", "n_a", "b", "n_b", "distance").distinct()
 
 
 def near_groups(hashes: DataFrame, distance: int = 5, bits: int = 64) -> DataFrame:

@@ -40,6 +40,12 @@ def track(spark: SparkSession, path: str) -> None:
     _KEPT[path] = at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark removes what a finished job has shuffled once its driver has collected its garbage; one with little to do seldom does so."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table of the shared folder and read it back.
 
@@ -53,10 +59,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     track(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     if time.monotonic() - began > 2:
-        # What the write shuffled is of no use any more; Spark removes it once its driver has collected its
-        # garbage, and a driver with little to do seldom does so. A short write has left little behind.
-        gc.collect()
-        spark._jvm.System.gc()
+        free_shuffles(spark)  # a short write has left little behind
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path
     return out
