@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomset.functions import messages
 from loomset.functions import text as T
-from loomset.operators import answers, captioning, choices, dedupe, export, lint, quality, selection, stats, tags
+from loomset.operators import answers, asof, captioning, choices, dedupe, export, lint, quality, selection, stats, tags
 from loomset.plans import files as plan_files
 from loomset.plans import generation, shots
 from loomset.streaming.incremental import caption_stream
@@ -629,6 +629,23 @@ def caption_resumed(spark, sf_dir):
     return done.join(told, "ord").select("ord", "caption", "n_answers", "run")
 
 
+@query(
+    """WITH p AS (SELECT user_id, ts, max(event_id) AS e FROM events WHERE event_type = 'view' AND event_id % 5 <> 0 GROUP BY user_id, ts),
+    r AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'view')
+    SELECT r.event_id, CASE WHEN epoch_us(r.ts) - epoch_us(p.ts) <= 86400000000 THEN 'fresh' WHEN r.event_id % 3 = 0 THEN 'live' WHEN p.e IS NOT NULL THEN 'stale' ELSE 'static' END AS origin,
+      CASE WHEN epoch_us(r.ts) - epoch_us(p.ts) <= 86400000000 THEN 'm' || p.e WHEN r.event_id % 3 = 0 THEN 'live' || r.event_id WHEN p.e IS NOT NULL THEN 'm' || p.e ELSE 'a,b' END AS models
+    FROM r ASOF LEFT JOIN p ON r.user_id = p.user_id AND r.ts >= p.ts"""
+)
+def model_lists(spark, sf_dir):
+    """Lists of models by their age: users' views are pulls, one in five of which finds nothing, and their other events ask."""
+    e = _t(spark, sf_dir, "events")
+    name = lambda mark: F.array(F.concat(F.lit(mark), F.col("event_id").cast("string")))
+    pulls = e.where("event_type = 'view'").select("user_id", "ts", F.when(F.col("event_id") % 5 == 0, F.array().cast("array<string>")).otherwise(name("m")).alias("found"))
+    live = F.when(F.col("event_id") % 3 == 0, name("live")).when(F.col("event_id") % 3 == 1, F.array().cast("array<string>"))
+    got = asof.listed(e.where("event_type <> 'view'").select("event_id", "user_id", "ts"), pulls, "user_id", "ts", live, "found", F.array(F.lit("a"), F.lit("b")))
+    return got.select("event_id", "origin", F.array_join("models", ",").alias("models"))
+
+
 def _made(shot: dict) -> str:
     """Tells how many shots led to this one."""
     return f"{int((shot['led_by'] or '0-').partition('-')[0]) + 1}-{shot['id']}"

@@ -21,7 +21,7 @@ def _parts(df: DataFrame) -> DataFrame:
     return df.withColumns({"folder": F.regexp_replace("path", r"/[^/]+$", ""), "name": name, "stem": F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), "ext": F.lower(F.regexp_extract(name, r".\.([^.]*)$", 1))})
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
+def files(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     return _parts(spark.read.format("binaryFile").load(folder))
 
 
