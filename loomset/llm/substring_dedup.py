@@ -32,12 +32,15 @@ from pyspark.sql import functions as F
 
 from loomset.llm.common import bucketed, discard, materialize, numbered, small_batches, table, text_bytes
 from loomset.llm.suffix_dedup import Units, digest, runs
+from loomset.store import free_shuffles
 
 #: Words of a seed. Windows have at least twice as many.
 GRAM = 8
 #: Runs of a group that is finished in one task, and bytes of such groups that are held at once.
 GROUP_RUNS, HELD_BYTES = 1024, 1 << 21
 ROWS = 8192
+#: Shares of the anchors that are joined one after the other: bounds what a join moves at once.
+SLICES = 4
 
 
 def record_batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -93,23 +96,27 @@ def seeds(texts: DataFrame, threshold: int) -> DataFrame:
     return texts.select("t", "body").mapInArrow(run, SEEDS)
 
 
-def joined_on_seeds(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def joined_on_seeds(parts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     """Repeats (t, first, more) told by their whole span, and the first run of each span of the anchors that have several (key, size, t, first, more, anchor).
 
     Aggregates keep the least and the greatest place of a key, so a hot anchor costs no more than others.
+    Anchors are taken in slices, one after the other: all runs move once, but few at a time.
     """
     place = F.xxhash64("t", "first")
-    twice = parts.where("key IS NOT NULL").groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key")
-    twice = materialize(twice, "seed-twice")  # a table of its own, so that the join can split a hot key
-    shared = materialize(parts.join(twice, "key", "left_semi"), "seed-shared")
-    leads = shared.groupBy("span").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("t", "first", "key", "more", "anchor")).alias("lead"))
-    leads = materialize(leads.select("span", "places", "lead.*"), "seed-leads")
-    later = shared.select("span", "t", "first", "more").join(leads.where("places > 1").select("span", F.col("t").alias("lead_t"), F.col("first").alias("lead_first")), "span")
-    repeats = later.where("t <> lead_t OR first <> lead_first").select("t", "first", "more")
-    repeats = materialize(repeats.unionByName(parts.where("key IS NULL").select("t", "first", "more")), "seed-repeats")
-    sizes = materialize(leads.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "seed-sizes")
-    rest = materialize(leads.join(sizes, "key").select("key", "size", "t", "first", "more", "anchor"), "seed-rest")
-    discard(twice, shared, leads, sizes)
+    repeats, rest = [materialize(parts.where("key IS NULL").select("t", "first", "more"), "seed-repeats")], []
+    for i in range(SLICES):
+        one = parts.where(F.pmod(F.xxhash64("key"), F.lit(SLICES)) == i)  # null is no anchor
+        twice = one.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key")
+        twice = materialize(twice, "seed-twice")  # a table of its own, so that the join can split a hot key
+        shared = materialize(one.join(twice, "key", "left_semi"), "seed-shared")
+        free_shuffles(parts.sparkSession)
+        leads = shared.groupBy("span").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("t", "first", "key", "more", "anchor")).alias("lead"))
+        leads = materialize(leads.select("span", "places", "lead.*"), "seed-leads")
+        later = shared.select("span", "t", "first", "more").join(leads.where("places > 1").select("span", F.col("t").alias("lead_t"), F.col("first").alias("lead_first")), "span")
+        repeats.append(materialize(later.where("t <> lead_t OR first <> lead_first").select("t", "first", "more"), "seed-repeats"))
+        sizes = materialize(leads.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "seed-sizes")
+        rest.append(materialize(leads.join(sizes, "key").select("key", "size", "t", "first", "more", "anchor"), "seed-rest"))
+        discard(twice, shared, leads, sizes)
     return repeats, rest
 
 
@@ -296,12 +303,12 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = materialize(seeds(texts, threshold), "seed-runs")
     repeats, rest = joined_on_seeds(parts)
     discard(parts)
-    items = materialize(with_words(rows, rest, order, threshold), "seed-words")
-    discard(rest)
+    items = materialize(with_words(rows, reduce(DataFrame.unionByName, rest), order, threshold), "seed-words")
+    discard(*rest)
     found = extended(items, need)
     discard(items)
-    cut = materialize(cut_out(rows, reduce(DataFrame.unionByName, [repeats, *found]), order, threshold), "seed-cut")
-    discard(repeats, *found)
+    cut = materialize(cut_out(rows, reduce(DataFrame.unionByName, [*repeats, *found]), order, threshold), "seed-cut")
+    discard(*repeats, *found)
     state = order.select("row").join(cut.withColumnRenamed("sha", "cut_sha"), "row", "left").withColumn("first", F.lit(True))
     out = rows.select("row", "id", "n_words", "sha").join(state, "row", "left")
     copy = (F.col("n_words") >= threshold) & F.col("first").isNull()
