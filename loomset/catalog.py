@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomset.functions import messages
 from loomset.functions import text as T
-from loomset.operators import answers, asof, captioning, choices, dedupe, export, lint, quality, selection, stats, tags
+from loomset.operators import answers, asof, captioning, choices, dedupe, export, lint, masks, quality, selection, stats, tags
 from loomset.plans import files as plan_files
 from loomset.plans import generation, shots
 from loomset.streaming.incremental import caption_stream
@@ -515,6 +515,24 @@ def mask_overlap(spark, sf_dir):
     return rows.select("vec_id", union.alias("n_union"), F.round(selection.overlap_share(F.col("s"), F.col("e")), 6).alias("share"))
 
 
+@query(
+    """WITH g AS (SELECT vec_id, i, i % 8 AS x, i // 8 AS y, embedding[i + 1] > 0.05 AS s, embedding[i + 1] > 0.15 OR (vec_id % 3 > 0 AND i % 17 = vec_id % 17 AND embedding[i + 1] < 0) AS e FROM embeddings, range(64) r(i)),
+    n AS (SELECT vec_id, count(*) FILTER (WHERE e) AS n_e, count(*) FILTER (WHERE s AND e) AS n_both FROM g GROUP BY vec_id),
+    d AS (SELECT a.vec_id, a.i, bool_or(b.e) AS near FROM g a JOIN g b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.vec_id, a.i)
+    SELECT g.vec_id, count(*) FILTER (WHERE s OR e) AS n_union, min(x) FILTER (WHERE s)::INT AS "left", min(y) FILTER (WHERE s)::INT AS "top", (max(x) FILTER (WHERE s) + 1)::INT AS "right", (max(y) FILTER (WHERE s) + 1)::INT AS "bottom",
+      CASE WHEN any_value(n_e) = 0 THEN 'absent' WHEN any_value(n_both) / any_value(n_e) < 0.10 THEN 'outside' ELSE 'subtracted' END AS outcome,
+      count(*) FILTER (WHERE s AND NOT (near AND n_e > 0 AND n_both / n_e >= 0.10)) AS n_left
+    FROM g JOIN n ON g.vec_id = n.vec_id JOIN d ON g.vec_id = d.vec_id AND g.i = d.i GROUP BY g.vec_id"""
+)
+def mask_runs(spark, sf_dir):
+    """Masks of 8 x 8 pixels as runs: union, box, and a prop grown by a pixel and taken out where it is merged into the subject."""
+    key, side = F.col("vec_id"), F.lit(8)
+    prop = F.transform("embedding", lambda v, i: (v > 0.15) | ((key % 3 > 0) & (i % 17 == key % 17) & (v < 0)))
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", masks.of_booleans(F.transform("embedding", lambda v: v > 0.05)).alias("s"), masks.of_booleans(prop).alias("e"))
+    done = rows.select("vec_id", "s", masks.area(masks.union(F.col("s"), F.col("e"))).alias("n_union"), masks.without_prop(F.col("s"), F.col("e"), side, side, 1).alias("left_over"))
+    return done.select("vec_id", "n_union", masks.box(F.col("s"), side).alias("box"), "left_over").select("vec_id", "n_union", "box.*", "left_over.outcome", masks.area(F.col("left_over.mask")).alias("n_left"))
+
+
 @query(
     f"""WITH {TAGGED}, l AS (SELECT ord, {TAGLIST} AS l FROM p), d AS (SELECT ord, list_concat(['Brand#1'], list_filter({DEDUP.format(l='l')}, lambda x: x <> 'brand#1')) AS t FROM l)
     SELECT ord, 'score_9, ' || array_to_string(list_filter(t, lambda x, i: i = 1 OR replace(x, '_', ' ') NOT IN ('brand#11', 'promo')), ', ') || ', end' AS caption FROM d"""
