@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomset.session import ship
-from loomset.store import discard, materialize, shared_dir, track
+from loomset.store import discard, free_shuffles, materialize, shared_dir, track
 
 __all__ = ["BATCH_ROWS", "WORD", "bucketed", "discard", "id_and_bytes", "materialize", "numbered", "small_batches", "table", "text_bytes"]
 
@@ -47,6 +47,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/loomset-{name}-{known}"
     track(spark, path)
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(known)
+    free_shuffles(spark)
     out = spark.table(known)
     spark.sql(f"DROP TABLE {known}")  # an entry of the catalog; the files stay until they are discarded
     out._scratch_path = path

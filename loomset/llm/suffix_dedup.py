@@ -23,6 +23,7 @@ buckets is that of 128-bit digests; within a bucket units themselves are compare
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from hashlib import blake2b
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm.common import discard, materialize, small_batches, table, text_bytes
+from loomset.llm.common import bucketed, discard, materialize, small_batches, table, text_bytes
 
 #: Windows in a sub-run, and units in a digit, of buckets that are dealt over several tasks.
 STEP, DIGIT = 16, 256
@@ -189,10 +190,35 @@ def divide(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return repeated, rest
 
 
-def with_units(texts: DataFrame, rest: DataFrame, unit: str, threshold: int) -> DataFrame:
+@dataclass(frozen=True)
+class Texts:
+    """Distinct texts: bodies in buckets by the row that holds them, and narrow rows (tid, row, copies)."""
+
+    rows: DataFrame
+    firsts: DataFrame
+
+    def all(self) -> DataFrame:
+        return self.rows.join(self.firsts.hint("shuffle_hash"), "row").select("tid", "body")
+
+    def beside(self, marks: DataFrame) -> DataFrame:
+        """The bodies of the texts (tid) that ``marks`` has rows of: the marks move, the bodies stay."""
+        return self.rows.join(marks.join(self.firsts.select("tid", "row"), "tid").hint("shuffle_hash"), "row")
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """Runs as texts of their own (tid, body)."""
+
+    rows: DataFrame
+
+    def beside(self, marks: DataFrame) -> DataFrame:
+        return self.rows.hint("merge").join(marks, "tid")
+
+
+def with_units(texts: Texts | Pieces, rest: DataFrame, unit: str, threshold: int) -> DataFrame:
     """The runs with the units of their windows, cut out of their texts."""
     listed = rest.groupBy("tid").agg(F.collect_list(F.struct("key", "size", "first", "more", "anchor")).alias("runs"))  # bounded by the text's own length
-    joined = texts.hint("merge").join(listed, "tid").select("tid", "body", "runs")
+    joined = texts.beside(listed).select("tid", "body", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["key", "size", "tid", "first", "more", "anchor", "units"])
@@ -301,7 +327,7 @@ def ordered(buckets: DataFrame, unit: str, threshold: int) -> DataFrame:
     return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "tid binary, first int, more int")
 
 
-def next_digit(texts: DataFrame, hot: DataFrame, unit: str, threshold: int, depth: int) -> DataFrame:
+def next_digit(texts: Pieces, hot: DataFrame, unit: str, threshold: int, depth: int) -> DataFrame:
     """A pass over all executors for buckets too large for one: (key, tid, first, more, anchor) by one digit more.
 
     Runs are cut into sub-runs of ``STEP`` windows at fixed distances from the anchor; the digit is
@@ -309,7 +335,7 @@ def next_digit(texts: DataFrame, hot: DataFrame, unit: str, threshold: int, dept
     window goes by itself, by all its units.
     """
     listed = hot.groupBy("tid").agg(F.collect_list(F.struct("key", "first", "more", "anchor")).alias("runs"))
-    joined = texts.hint("merge").join(listed, "tid").select("tid", "body", "runs")
+    joined = texts.beside(listed).select("tid", "body", "runs")
     core = threshold - STEP + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +364,7 @@ def emit_runs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "tid", "first", "more", "anchor"])
 
 
-def order_all(texts: DataFrame, rest: DataFrame, unit: str, threshold: int) -> list[DataFrame]:
+def order_all(texts: Texts, rest: DataFrame, unit: str, threshold: int) -> list[DataFrame]:
     """The repeated windows (tid, first, more) of all buckets, as tables; large buckets are first dealt by further digits.
 
     Passes over large buckets read the units of their runs, not whole texts: each run is a text of its
@@ -351,7 +377,7 @@ def order_all(texts: DataFrame, rest: DataFrame, unit: str, threshold: int) -> l
     hot = cut.where(large).withColumn("tid", F.concat("tid", F.unhex(F.lpad(F.hex("first"), 8, "0"))))
     if not hot.isEmpty():
         hot = materialize(hot, "suffix-hot")
-        pieces, rest = hot.select("tid", F.col("units").alias("body")), hot.select("key", "size", "tid", F.lit(0).alias("first"), "more", "anchor")
+        pieces, rest = Pieces(hot.select("tid", F.col("units").alias("body"))), hot.select("key", "size", "tid", F.lit(0).alias("first"), "more", "anchor")
         place = F.conv(F.hex(F.substring("tid", 17, 4)), 16, 10).cast("int")
         own = (F.substring("tid", 1, 16).alias("tid"), (place + F.col("first")).alias("first"), "more")
         spent = [hot]
@@ -373,10 +399,11 @@ def order_all(texts: DataFrame, rest: DataFrame, unit: str, threshold: int) -> l
     return found
 
 
-def cut_out(texts: DataFrame, covered: DataFrame, unit: str, threshold: int) -> DataFrame:
+def cut_out(texts: Texts, covered: DataFrame, unit: str, threshold: int) -> DataFrame:
     """Removes the covered windows (tid, firsts, more) from each text, and all windows from a text with copies."""
     listed = covered.groupBy("tid").agg(F.collect_list(F.struct("firsts", "more")).alias("runs"))  # bounded by the text's own length
-    joined = texts.hint("merge").join(listed, "tid", "left").where("copies > 1 OR runs IS NOT NULL").select("tid", "body", "copies", "runs")
+    marks = texts.firsts.select("tid", "copies").join(listed, "tid", "left").where("copies > 1 OR runs IS NOT NULL")
+    joined = texts.beside(marks).select("tid", "body", "copies", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -424,17 +451,19 @@ def repeated_windows(df: DataFrame, text_col: str = "text", unit: str = "bytes",
     if threshold < 2 * GRAM[unit]:
         raise ValueError(f"a window of {threshold} {unit} is shorter than two grams of {GRAM[unit]}")
     small_batches(df.sparkSession)
-    docs = df.select(text_id(text_col).alias("tid"), text_bytes(text_col).alias("body")).where(F.octet_length("body") >= threshold)
-    # Each text once, whatever its copies; equal texts are combined before the shuffle.
-    texts = materialize(docs.groupBy("tid").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies")), "suffix-texts")
-    parts = materialize(all_runs(texts, unit, threshold), "suffix-runs")
+    docs = df.select(text_id(text_col).alias("tid"), text_bytes(text_col).alias("body"), F.monotonically_increasing_id().alias("row")).where(F.octet_length("body") >= threshold)
+    # Texts move once, to buckets in which all later joins find them; copies are told by narrow rows.
+    rows = bucketed(docs, "row", "suffix-rows")
+    firsts = materialize(rows.groupBy("tid").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")), "suffix-texts")
+    texts = Texts(rows.select("row", "body"), firsts)
+    parts = materialize(all_runs(texts.all(), unit, threshold), "suffix-runs")
     repeated, rest = divide(parts)
     discard(parts)
     found = order_all(texts, rest, unit, threshold)
     discard(rest)
     windows = reduce(DataFrame.unionByName, found).distinct().select("tid", F.array("first").alias("firsts"), "more")
     out = materialize(cut_out(texts, repeated.unionByName(windows), unit, threshold), "suffix-cut")
-    discard(texts, repeated, *found)
+    discard(rows, firsts, repeated, *found)
     return out
 
 
