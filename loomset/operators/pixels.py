@@ -111,22 +111,41 @@ def _cubic(x: np.ndarray) -> np.ndarray:
 KERNELS = {"lanczos": (_lanczos, 3.0), "bicubic": (_cubic, 2.0), "triangle": (_triangle, 1.0)}
 
 
-def _weights(old: int, new: int, kernel: Callable, reach: float) -> np.ndarray:
+#: Bits behind the point of a coefficient: products with bytes, and their sums, fit 32 bits.
+POINT = 22
+
+
+def _taps(old: int, new: int, kernel: Callable, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each new place the old places that go into it, and their coefficients as integers; a row's sum is one, but for rounding."""
     scale = old / new
     wide = max(scale, 1.0)
     centre = (np.arange(new) + 0.5) * scale
-    spot = np.arange(old)[None, :] + 0.5
-    w = kernel((spot - centre[:, None]) / wide) * (np.abs(spot - centre[:, None]) <= reach * wide + 0.5)
-    return w / w.sum(1, keepdims=True)
+    first = np.maximum(0, (centre - reach * wide + 0.5).astype(np.int64))
+    last = np.minimum(old, (centre + reach * wide + 0.5).astype(np.int64))
+    spot = first[:, None] + np.arange(int((last - first).max()))
+    inside = spot < last[:, None]
+    w = np.where(inside, kernel((spot - centre[:, None] + 0.5) / wide), 0.0)
+    w = w * (1.0 / w.sum(1, keepdims=True)) * (1 << POINT)
+    return np.minimum(spot, old - 1), np.trunc(w + np.copysign(0.5, w)).astype(np.int64)
+
+
+def _pass(image: np.ndarray, new: int, kernel: Callable, reach: float) -> np.ndarray:
+    """One pass along the rows' places, in whole numbers: the sum of byte times coefficient, rounded at the point and held within a byte."""
+    if image.shape[1] == new:
+        return image
+    spots, weights = _taps(image.shape[1], new, kernel, reach)
+    total = np.full((image.shape[0], new, image.shape[2]), 1 << (POINT - 1), np.int64)
+    for spot, weight in zip(spots.T, weights.T, strict=True):
+        total += image[:, spot] * weight[:, None]
+    return np.clip(total >> POINT, 0, 255).astype(np.uint8)
 
 
 def resample(image: np.ndarray, w: int, h: int, kernel: str = "lanczos") -> np.ndarray:
-    """Columns first, then rows, each pass rounded to bytes."""
+    """Columns first, then rows, in fixed point, each pass rounded to bytes; a side that stays isn't touched."""
     image = image[..., None] if image.ndim == 2 else image
     fn, reach = KERNELS[kernel]
-    byte = lambda x: np.clip(np.floor(x + 0.5), 0, 255).astype(np.uint8)
-    wide = byte(np.einsum("ij,hjc->hic", _weights(image.shape[1], w, fn, reach), image.astype(float)))
-    return byte(np.einsum("ij,jwc->iwc", _weights(image.shape[0], h, fn, reach), wide.astype(float)))
+    across = _pass(image, w, fn, reach)
+    return _pass(across.transpose(1, 0, 2), h, fn, reach).transpose(1, 0, 2)
 
 
 def tagger_input(image: np.ndarray, side: int = 448) -> np.ndarray:

@@ -14,6 +14,7 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,6 +73,16 @@ def discard(*tables: DataFrame) -> None:
         files.delete(at, True)
 
 
+@contextlib.contextmanager
+def spent_after() -> Iterator[list[DataFrame]]:
+    """Scratch tables that are made within are deleted at its end, but for those that are put into the list."""
+    before, kept = set(_KEPT), []
+    yield kept
+    for path in set(_KEPT) - before - {t._scratch_path for t in kept}:
+        at, files = _KEPT.pop(path)
+        files.delete(at, True)
+
+
 @atexit.register
 def _discard_rest() -> None:
     for at, files in _KEPT.values():
