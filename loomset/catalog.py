@@ -158,7 +158,7 @@ def _raw_output() -> Column:
     SELECT conv_id, turn, trim(trim(regexp_replace(t, '^(here is|here''s|caption:|tags:|sure[,!.]?)\\s*', '', 'i')), '"') AS cleaned FROM a"""
 )
 def clean_output(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", T.clean_output(_raw_output()).alias("cleaned"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_output(_raw_output()).alias("cleaned"))
 
 
 TAGLIST = f"list_filter(list_transform(string_split(upper(caption) || '., ' || caption, ','), lambda x: lower(array_to_string({w('trim(array_to_string(' + w('x') + ', chr(32)), chr(46))')}, ' '))), lambda x: x <> '')"
@@ -362,12 +362,46 @@ def shot_prompts(spark, sf_dir):
     return done.select(F.col("id").cast("long").alias("p_partkey"), "local_prompt", "cloud_prompt")
 
 
+SHOTS = """s AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'angle' WHEN 1 THEN 'emotion' ELSE 'pose' END AS kind, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'neutral' WHEN 2 THEN 'eager' ELSE 'calm' END AS emotion,
+    CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS outfit, CASE WHEN p_partkey % 7 > 0 THEN 'on ' || p_brand ELSE '' END AS setting, p_name AS pose, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN 'subject' ELSE p_name END AS subject FROM part)"""
+
+
+def _shots(spark, sf_dir):
+    key = F.col("p_partkey")
+    return _t(spark, sf_dir, "part").select(
+        "p_partkey", F.when(key % 4 == 0, "angle").when(key % 4 == 1, "emotion").otherwise("pose").alias("kind"), F.when(key % 5 == 0, "").when(key % 5 == 1, "neutral").when(key % 5 == 2, "eager").otherwise("calm").alias("emotion"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("").alias("outfit"), F.when(key % 7 > 0, F.concat(F.lit("on "), "p_brand")).otherwise("").alias("setting"), F.col("p_name").alias("pose"),
+        F.when(key % 3 == 0, F.concat(F.lit("The "), "p_brand")).when(key % 3 == 1, " ").otherwise(F.col("p_name")).alias("subject"),
+    )
+
+
+@query(
+    f"""WITH {SHOTS}, w AS (SELECT *, CASE WHEN outfit <> '' THEN ', wearing ' || outfit ELSE '' END AS wearing FROM s)
+    SELECT p_partkey, CASE WHEN kind = 'angle' THEN '<sks> ' || pose || CASE WHEN emotion NOT IN ('', 'neutral') THEN ', ' || emotion || ' expression' ELSE '' END || wearing
+      ELSE 'the same ' || subject || ', ' || pose || wearing || ', ' || setting || ', ' || CASE WHEN emotion <> '' THEN emotion || ' mood, ink, consistent identity' ELSE 'ink, unchanged form' END END AS prompt FROM w"""
+)
+def local_prompts(spark, sf_dir):
+    told = shots.local_prompt(*(F.col(c) for c in ("kind", "pose", "setting", "emotion", "outfit", "subject")), "ink")
+    return _shots(spark, sf_dir).select("p_partkey", told.alias("prompt"))
+
+
+@query(
+    f"""WITH {SHOTS} SELECT p_partkey, 'Generate an image of exactly the same ' || subject || ' from the reference image(s), identical in every physical detail, ' || pose
+      || CASE WHEN kind <> 'emotion' AND setting <> '' THEN ', ' || setting ELSE '' END
+      || CASE WHEN kind <> 'emotion' AND emotion NOT IN ('', 'neutral') THEN ', with ' || CASE WHEN emotion = 'eager' THEN 'an ' ELSE 'a ' END || emotion || ' expression' ELSE '' END
+      || CASE WHEN outfit <> '' THEN ', wearing ' || outfit ELSE '' END || '. Ink.' AS prompt FROM s"""
+)
+def cloud_prompts(spark, sf_dir):
+    told = shots.cloud_prompt(*(F.col(c) for c in ("subject", "kind", "pose", "setting", "emotion", "outfit")), "Ink.")
+    return _shots(spark, sf_dir).select("p_partkey", told.alias("prompt"))
+
+
 @query()
 def random_outfits(spark, sf_dir):
     return shots.random_outfits(spark, 24, 7)
 
 
-@query()
+@query(SQL["finalize_prose"])
 def incremental_caption(spark, sf_dir):
     """Captions of all documents by micro-batches; equal to ``finalize_prose`` in one batch."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomset-stream-")
@@ -444,11 +478,11 @@ def carried_or_all(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer WHERE c_mktsegment = 'BUILDING'), v AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier)
+    """WITH t AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer), v AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier)
     SELECT c_custkey, s_suppkey, s_name AS outfit FROM t JOIN v USING (n)"""
 )
 def dealt_outfits(spark, sf_dir):
-    targets = _t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    targets = _t(spark, sf_dir, "customer").select("c_custkey")
     outfits = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("outfit"))
     return selection.dealt(targets, "c_custkey", outfits, "s_suppkey")
 
@@ -612,10 +646,10 @@ def report_checks(spark, sf_dir):
     return choices.report(_t(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("name"), (F.col("event_type") != "error").alias("ok")), ["user_id"])
 
 
-@query("SELECT DISTINCT p_brand AS name FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 45)")
+@query("SELECT DISTINCT p_brand || ' ' || p_size AS name FROM part WHERE p_brand || ' ' || p_size NOT IN (SELECT p_brand || ' ' || p_size FROM part WHERE p_partkey % 3 > 0)")
 def missing_dependencies(spark, sf_dir):
-    names = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), "p_size")
-    return choices.missing(names, names.where("p_size > 45"))
+    names = _t(spark, sf_dir, "part").select(F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")).alias("name"), "p_partkey")
+    return choices.missing(names, names.where("p_partkey % 3 > 0"))
 
 
 _PIPED = SQL["caption_pipeline"]
