@@ -165,6 +165,26 @@ def test_a_source_of_very_many_equal_shards(spark):
     assert {(r.quota, r.n, r.last) for r in got.groupBy("quota").agg(F.count("unit").alias("n"), F.max("unit").alias("last")).collect()} == {(12, 50_001, 50_000), (11, 49_999, 99_999)}
 
 
+def test_equal_rows_are_dealt_over_shards(spark):
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text of six words here").alias("text"), F.when(F.col("id") % 2 == 0, "a").alias("source"), F.col("id").alias("row"))
+    got = mixing.mix_sources(rows, shard_words=4096, carry="row")
+    shares = {r.source: r for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.countDistinct("row").alias("n"), F.max("taken").alias("most")).collect()}
+    assert all(abs(r.taken - r.target) <= 8 * 80 and r.n == 50_000 and r.most <= 12 for r in shares.values()), shares  # a block for each shard
+    lots = mixing.told_apart(rows.select("source", F.lit(7).cast("long").alias("lot"), F.col("row")))
+    assert lots.count() == 100_000 and lots.select("lot", "source").distinct().count() == 100_000
+    assert mixing.told_apart(lots.select("source", "lot", "row")).exceptAll(lots).isEmpty()
+
+
+def test_mixing_takes_few_jobs(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("mixing", "mixing")
+    try:
+        mixing.op8_source_mixing(spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("mixing")) < 75
+
+
 def test_mixing(spark, docs):
     got = mixing.mix_sources(docs).toPandas()
     assert len(got) == docs.count() and (got.taken <= 2 * got["size"]).all() and (got.taken >= 0).all()

@@ -3,6 +3,7 @@ import random
 import re
 
 import corpus_pipeline
+from loomset import store
 from loomset.llm import mixing
 
 
@@ -49,6 +50,25 @@ def test_rows_with_one_id_are_mixed_by_themselves(spark):
     assert got == +want and len({r.taken for r in takings}) > 2
 
 
+def test_nulls_in_every_column_of_a_run(spark, tmp_path):
+    """``run`` over rows with null sources, languages, ids and texts, and very many equal ones: each stage's rows by plain rules."""
+    good = " ".join(f"word{i * 7919 % 1000}" for i in range(120))
+    rows = [(i, f"{good} tail{i} " + " ".join(f"x{i}y{j}" for j in range(60 + i)), None if i % 3 else "en", None if i % 4 else "s") for i in range(24)]
+    rows += [(None, "the very same text " * 12, None, None)] * 40 + [(None, None, None, None), (50, "", "en", None)]
+    as_docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    labelled = spark.createDataFrame([(i, i % 2, 0) for i in range(24)], "doc_id long, quality int, toxic int")
+    labelled.write.parquet(str(tmp_path / "labels.parquet"))
+    before = set(store._KEPT)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.where("NOT same_ids OR NOT round_trip").count() == 0 and out.columns == ["doc_id", "ids", "n_pieces", "same_ids", "round_trip"]
+    assert len([p for p in set(store._KEPT) - before if "stage-" in p]) == 1 and len(set(store._KEPT) - before) <= 3, "what is spent is deleted"
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = corpus_pipeline.classified(spark, docs, str(tmp_path))
+    assert kept.count() <= len(rows) and kept.exceptAll(docs.select(*corpus_pipeline.COLUMNS)).isEmpty()
+    near = corpus_pipeline.near_duplicates(spark, kept, "")
+    assert near.where("text LIKE 'the very same%'").count() == min(1, kept.where("text LIKE 'the very same%'").count())
+
+
 def test_repeats_are_cut_like_by_hand(spark):
     rnd = random.Random(13)
     word = lambda: rnd.choice(("oak", "elm", "ash", "fir")) + str(rnd.randrange(400))
@@ -77,13 +97,13 @@ def test_stages_by_hand(spark):
     rows = [(i, text[i], "en", "ab"[i % 2]) for i in range(6)] + [(10, text[0], "en", "a"), (11, text[1] + " end", "en", "b")]
     docs = corpus_pipeline.near_duplicates(spark, as_docs(spark, rows), "")
     assert sorted(r.doc_id for r in docs.collect()) == [0, 1, 2, 3, 4, 5]
-    taken = {r.row_key: r.taken for r in mixing.mix_sources(corpus_pipeline._keyed(docs), "row_key").collect()}
+    taken = {r.doc_id: r.taken for r in mixing.mix_sources(docs).collect()}
     out = collections.defaultdict(list)
     for r in corpus_pipeline.mixed(spark, docs, "").collect():
         out[r.doc_id].append(r.text)
     for i in range(6):
         words = text[i].split()
-        whole, part = divmod(taken[f"i{i}"], len(words))
+        whole, part = divmod(taken[i], len(words))
         assert sorted(out[i]) == sorted([text[i]] * whole + [" ".join(words[:part])] * (part > 0))
     own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert {r.doc_id: r.ids for r in corpus_pipeline.encoded(spark, docs, "").collect()} == {i: own.encode(text[i]) for i in range(6)}
