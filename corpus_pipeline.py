@@ -7,25 +7,19 @@ again as the next stage's documents. All but the last return the columns of ``do
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomset.llm.common import WORD, materialize, table
+from loomset.llm.common import WORD, discard, materialize, table
 from loomset.llm.jaccard_join import jaccard_classes
 from loomset.llm.mixing import mix_sources
 from loomset.llm.quality_classifier import classify, fit
 from loomset.llm.sentencepiece_codec import sentencepiece_encode
 from loomset.llm.suffix_dedup import repeated_windows, text_id
+from loomset.store import spent_after
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows without an id go by a digest of their text, told from ids by a letter. Rows can share a key, so nothing may join on it alone."""
-    digest = F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32)
-    return docs.select(*COLUMNS, F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), digest)).alias("row_key"))
-
-
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; its labels are the table ``labels``.
 
@@ -63,15 +57,11 @@ def repeats_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, the last time in part where it takes a part.
 
-    Rows with one key get the takings of that key one each, in the order of source and size.
+    A row is told from its copies by a number of its own, written once so that all readers see the same.
     """
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    keyed = _keyed(docs)
-    taken = mix_sources(keyed, "row_key").where("size > 0").groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("source", "size", "taken"))).alias("takings"))
-    taken = materialize(taken.where("exists(takings, t -> t.taken > 0)"), "mix-taken")
-    order = W.partitionBy("row_key").orderBy("source", "size", F.xxhash64("text", "lang"))
-    rows = keyed.withColumn("size", words).where("size > 0").withColumn("place", F.row_number().over(order)).join(taken.hint("merge"), "row_key")
-    rows = rows.withColumn("taken", F.get("takings", F.col("place") - 1)["taken"]).where("taken > 0")
+    rows = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), "mix-rows")
+    taken = mix_sources(rows, carry="row_key").where("taken > 0").select("row_key", "size", "taken")
+    rows = rows.join(materialize(taken, "mix-taken").hint("merge"), "row_key")
     rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     left = F.col("taken") - (F.col("time") - 1) * F.col("size")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, left.cast("int")), " ")
@@ -101,8 +91,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{i + 1}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with spent_after() as kept:
+            done = materialize(stage(spark, docs, sf_dir), f"stage-{i + 1}")
+            kept.append(done)
+        if i:
+            discard(docs)  # the stage before
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)
