@@ -362,6 +362,25 @@ def shot_prompts(spark, sf_dir):
     return done.select(F.col("id").cast("long").alias("p_partkey"), "local_prompt", "cloud_prompt")
 
 
+@query(
+    """WITH q AS (SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'yes' WHEN l.quality = 0 THEN ' ' END AS caption FROM documents d LEFT JOIN labels l USING (doc_id))
+    SELECT doc_id, m.mode, CASE m.mode WHEN 'all' THEN true WHEN 'none' THEN false ELSE trim(coalesce(caption, '')) <> '' END AS picked FROM q, (VALUES ('all'), ('none'), ('captioned')) m(mode)"""
+)
+def pick_modes(spark, sf_dir):
+    rows = _sidecars(spark, sf_dir).select("doc_id", "caption")
+    every = [selection.ticked(rows, mode).select("doc_id", F.lit(mode).alias("mode"), "picked") for mode in ("all", "none", "captioned")]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN event_id % 5 ELSE 0 END AS n_waiting FROM events")
+def queue_lengths(spark, sf_dir):
+    e, kind = _t(spark, sf_dir, "events"), F.col("event_type")
+    jobs = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("event_id") % 5).cast("int")), lambda i: F.concat(F.lit('["p", '), i.cast("string"), F.lit("]"))), ", ")
+    listed = F.regexp_replace(jobs, r'(, )?\["p", 0\](, )?', "")
+    body = F.when(kind == "view", F.concat(F.lit('{"queue_running": [1], "queue_pending": ['), listed, F.lit("]}"))).when(kind == "click", "<html>").when(kind == "error", '{"queue_running": [1, 2]}').when(kind == "signup", '{"queue_pending": "?"}')
+    return e.select("event_id", messages.waiting(body).alias("n_waiting"))
+
+
 SHOTS = """s AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'angle' WHEN 1 THEN 'emotion' ELSE 'pose' END AS kind, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'neutral' WHEN 2 THEN 'eager' ELSE 'calm' END AS emotion,
     CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS outfit, CASE WHEN p_partkey % 7 > 0 THEN 'on ' || p_brand ELSE '' END AS setting, p_name AS pose, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN 'subject' ELSE p_name END AS subject FROM part)"""
 

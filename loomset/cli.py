@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.sql import functions as F
 
-from loomset import settings
-from loomset.operators import dedupe, lint, pixels, reports
+from loomset import build, settings
+from loomset.operators import captioning, dedupe, lint, pixels, reports
+from loomset.operators.answers import AnswerLog
 from loomset.plans import training
 from loomset.session import build_session
 from loomset.sources import files, headers, packages, sinks
@@ -33,6 +35,18 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--name", default="")
     c.add_argument("--trigger", default="")
     c.add_argument("--zip", action="store_true")
+    c = sub.add_parser("preview", help="what an export would hold, and what is odd about it")
+    c.add_argument("folder")
+    c.add_argument("--trigger", default="")
+    c = sub.add_parser("caption", help="caption a folder's images and write their sidecars")
+    c.add_argument("folder")
+    c.add_argument("--backend", required=True, help="module:function; the function takes a model's name and options, and gives the function of an image")
+    c.add_argument("--model", default="")
+    c.add_argument("--kind", default="custom", choices=("local", "cloud", "tagger", "custom"))
+    c.add_argument("--log", default="", help="folder of the answers: a second run asks for the rest only")
+    c.add_argument("--style", default="prose")
+    c.add_argument("--trigger", default="")
+    c.add_argument("--skip-captioned", action="store_true")
     c = sub.add_parser("train", help="write a trainer's configuration")
     c.add_argument("folder")
     c.add_argument("form", choices=("job", "dataset", "subsets"))
@@ -67,6 +81,11 @@ def run(args: argparse.Namespace) -> str:
         model = {"name_or_path": args.model, "arch": args.arch}
         return training.write_config(training.Training(args.name, args.folder, args.trigger, model=model, steps=args.steps), args.form)
     spark = build_session("loomset", args.master)
+    if args.command == "caption":
+        module, _, function = args.backend.partition(":")
+        backend = captioning.Backend(args.kind, getattr(importlib.import_module(module), function), args.model)
+        done = build.caption_folder(spark, args.folder, backend, log=AnswerLog(args.log) if args.log else None, style=args.style, trigger=args.trigger, skip_existing=args.skip_captioned)
+        return reports.failure_report(done)
     pairs = files.pairs(spark, args.folder)
     if args.command == "lint":
         return reports.lint_report(pairs.withColumn("caption", F.coalesce("caption", F.lit(""))), args.trigger)
@@ -84,6 +103,10 @@ def run(args: argparse.Namespace) -> str:
     if args.command == "stats":
         return reports.stats_report(headers.sized_pairs(spark, args.folder))
     found = pixels.measured(images)
+    if args.command == "preview":
+        seen = build.preview(pairs, found, args.trigger)
+        lines = [f"{name.replace('_', ' ')}: {value}" for name, value in seen.counts.items()]
+        return "\n".join([*lines, f"near duplicates: {seen.groups.count()}", f"groups of equal captions: {seen.duplicate_captions.count()}"])
     if args.command == "duplicates":
         numbered = found.join(pairs.select("path", "ord"), "path").persist()
         groups = dedupe.near_groups(numbered.select("ord", "hash"), args.distance)

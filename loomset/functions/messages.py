@@ -74,6 +74,11 @@ def rejection(body: Column) -> Column:
     return F.when(is_object, said).otherwise(F.concat(F.lit("job rejected: "), F.left(full(body), F.lit(LONGEST))))
 
 
+def waiting(body: Column, field: str = "queue_pending") -> Column:
+    """How many jobs wait, by a service's answer about its queue; 0 where it says nothing of them."""
+    return F.coalesce(F.json_array_length(F.get_json_object(body, f"$.{field}")), F.lit(0)).cast("long")
+
+
 def missing_nodes(wanted: Column, installed: Column) -> Column:
     """Sorted classes that are wanted and not installed; none where nothing is known of the server."""
     absent = F.array_sort(F.array_except(F.array_compact(wanted), installed))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomset.functions import messages
 from loomset.operators import lint, stats
 
 SHOWN_NAMES, SHOWN_GROUPS, SHOWN_ASPECTS = 8, 5, 4
@@ -46,6 +47,26 @@ def lint_report(pairs: DataFrame, trigger: str = "") -> str:
     return "\n".join(out)
 
 
+def failure_report(results: DataFrame, kind: str = "images") -> str:
+    """What went through and what didn't (``name``, ``error``; an empty or null error is none), the first failures with a hint; "" for no results."""
+    failed = results.where(F.coalesce("error", F.lit("")) != "")
+    n, total = failed.count(), results.count()
+    if not total:
+        return ""
+    lines = [f"**{total - n} of {total} {kind}** done" + (f", {n} failed:" if n else ".")]
+    shown = failed.select("name", messages.shortened(messages.plain(F.col("error"))).alias("error"), messages.failure_hint(F.col("error")).alias("hint")).orderBy("name").limit(SHOWN_NAMES)
+    lines += [f"- **{r.name}:** {r.error} ({r.hint})" for r in shown.collect()]
+    return "\n".join([*lines, *([_more(n, SHOWN_NAMES).strip()] if n > SHOWN_NAMES else [])])
+
+
+def check_report(checks: DataFrame, title: str) -> str:
+    """Checks (``name``, ``ok``, ``detail``) line by line, and what they come to; a check that doesn't apply (null) is neither right nor wrong."""
+    rows = checks.select("name", "ok", F.coalesce("detail", F.lit("")).alias("detail")).orderBy("name").collect()  # a line for each
+    marks = {True: "[ok]  ", False: "[FAIL]", None: "[--]  "}
+    wrong = sum(r.ok is False for r in rows)
+    return "\n".join([title, "", *(f"  {marks[r.ok]} {r.name:<14} {r.detail}".rstrip() for r in rows), "", f"{wrong} to be mended" if wrong else "all right"])
+
+
 def stats_report(images: DataFrame) -> str:
     s = stats.dataset_stats(images).first()
     if not s.n_images:

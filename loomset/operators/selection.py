@@ -38,6 +38,13 @@ def picked(rows: DataFrame, picks: DataFrame, key: str) -> DataFrame:
     return rows.join(picks.select(key).distinct(), key, "left_semi")
 
 
+def ticked(rows: DataFrame, mode: str, caption: str = "caption") -> DataFrame:
+    """``rows`` with ``picked``: "all" of them, "none", or the "captioned" ones, whose caption isn't blank."""
+    if mode not in ("all", "none", "captioned"):
+        raise ValueError(f"pick all, none or captioned, not {mode!r}")
+    return rows.withColumn("picked", F.trim(F.coalesce(caption, F.lit(""))) != "" if mode == "captioned" else F.lit(mode == "all"))
+
+
 def to_redo(plan: DataFrame, kept: DataFrame, key: str = "id") -> DataFrame:
     return plan.join(kept.select(key).distinct(), key, "left_anti")
 
