@@ -1,7 +1,7 @@
 """Quality rules: how far a document's histograms are from its language's.
 
 All of it is DataFrame expressions. A document's character classes and common words are counted; the
-reference of each language is the sum over all its other documents; the verdict compares both
+reference of each language is the sum over its other documents that pass the base rules; the verdict compares both
 histograms with the reference by Jensen-Shannon distance, from a minimum length on.
 """
 
@@ -20,7 +20,7 @@ COMMON_WORDS = list(dict.fromkeys(
     "el los las del por con en y para su lo es al como pero sus entre cuando todo esta son sin".split()
 ))
 #: Limits of the distances, and words that a language's other documents must hold to be a reference.
-CHAR_LIMIT, WORD_LIMIT, MIN_REFERENCE = 0.25, 0.32, 2000
+CHAR_LIMIT, WORD_LIMIT, MIN_REFERENCE = 0.25, 0.28, 2000
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
 #: Character classes in the order in which they are taken out of the text; what is left is the last class.
@@ -109,24 +109,27 @@ def quality_rules(
 
     A null text has no words and fails the base rules. A document shorter than ``min_words`` fails
     them too and gets no distance. A null language is a language of its own. A document is compared
-    with the sums over all other documents of its language; where these hold fewer than
-    ``min_reference`` words there is no distance, and the base rules decide. An empty table gives an
+    with the sums over the other documents of its language that pass the base rules, so that junk is no
+    reference; where these hold fewer than ``min_reference`` words there is no distance, and the base rules decide. An empty table gives an
     empty result. Repeated rows count each, as references of each other too. Only the three named
     columns are read. Each document is one row throughout: nothing is exploded, and only the
     languages' histograms are aggregated.
     """
     counts = materialize(base_counts(df, id_col, text_col, lang_col), "quality-counts")
     sum_up = lambda c, k: F.array(*(F.sum(F.get(c, F.lit(i))) for i in range(k)))
-    sums = counts.groupBy("lang").agg(sum_up("chars", len(CLASSES) + 1).alias("ref_chars"), sum_up("commons", len(COMMON_WORDS)).alias("ref_commons"), F.sum("n_words").alias("ref_words"), F.sum("n_chars").alias("ref_n"))
+    counts = counts.withColumn("failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    sums = counts.where("NOT failed").groupBy("lang").agg(sum_up("chars", len(CLASSES) + 1).alias("ref_chars"), sum_up("commons", len(COMMON_WORDS)).alias("ref_commons"), F.sum("n_words").alias("ref_words"), F.sum("n_chars").alias("ref_n"))
     joined = counts.join(sums.withColumnRenamed("lang", "ref_lang"), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    others = lambda ref, own: F.zip_with(ref, own, lambda a, b: a - b)
-    n, words = F.col("ref_n") - F.col("n_chars"), F.col("ref_words") - F.col("n_words")
+    # A language of which all documents fail has a reference of nothing.
+    joined = joined.withColumns({c: F.coalesce(c, F.array_repeat(F.lit(0).cast("long"), k)) for c, k in (("ref_chars", len(CLASSES) + 1), ("ref_commons", len(COMMON_WORDS)))}).fillna(0, ["ref_words", "ref_n"])
+    own = F.when(F.col("failed"), 0).otherwise(1)  # a document is in the reference, or isn't
+    others = lambda ref, mine: F.zip_with(ref, mine, lambda a, b: a - own * b)
+    n, words = F.col("ref_n") - own * F.col("n_chars"), F.col("ref_words") - own * F.col("n_words")
     by_char = js_distance(shares(F.col("chars"), F.col("n_chars"), False), shares(others("ref_chars", "chars"), n, False))
     by_word = js_distance(shares(F.col("commons"), F.col("n_words"), True), shares(others("ref_commons", "commons"), words, True))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     told = (F.col("n_words") >= min_words) & (words >= min_reference)
     out = joined.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failed").alias("base_failed"),
         F.when(told, by_char).alias("char_distance"), F.when(told, by_word).alias("word_distance"),
     )
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce((F.col("char_distance") <= char_limit) & (F.col("word_distance") <= word_limit), F.lit(True)))
@@ -155,13 +158,13 @@ def op6_sql() -> str:
     term = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
 
     def distance(bins: list[str], own: str, total: str, rest: bool) -> str:
-        pairs = [(f"({c} / greatest(1, {own}))", f"((s_{c} - {c}) / greatest(1, {total} - {own}))") for c in bins]
+        pairs = [(f"({c} / greatest(1, {own}))", f"((s_{c} - own * {c}) / greatest(1, {total} - own * {own}))") for c in bins]
         if rest:
-            used, all_used = " + ".join(bins), " + ".join(f"(s_{c} - {c})" for c in bins)
-            pairs.append((f"(greatest(0, {own} - ({used})) / greatest(1, {own}))", f"(greatest(0, {total} - {own} - ({all_used})) / greatest(1, {total} - {own}))"))
+            used, all_used = " + ".join(bins), " + ".join(f"(s_{c} - own * {c})" for c in bins)
+            pairs.append((f"(greatest(0, {own} - ({used})) / greatest(1, {own}))", f"(greatest(0, {total} - own * {own} - ({all_used})) / greatest(1, {total} - own * {own}))"))
         return "sqrt(greatest(0, (" + " + ".join(f"{term(a, b)} + {term(b, a)}" for a, b in pairs) + ") / 2))"
 
-    sums = ", ".join(f"sum({c}) OVER l AS s_{c}" for c in [*chars, *commons])
+    sums = ", ".join(f"sum(own * {c}) OVER l AS s_{c}" for c in [*chars, *commons])
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{space}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{space}')) AS ls FROM d),
@@ -170,9 +173,10 @@ x AS (SELECT k, i, count(*) OVER (PARTITION BY k, ws[i], ws[i + 1], ws[i + 2]) A
 r AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM x WHERE n > 1) GROUP BY k),
 c AS (SELECT k, doc_id, lang, len(ws) AS n_words, length(t) AS n, len(ls) - len(list_distinct(ls)) AS n_dup_lines, list_transform(ws, lambda x: lower(x)) AS low, {", ".join(takes)}, length({inner}) AS c_other FROM w),
 b AS (SELECT * EXCLUDE (low), {counts} FROM c),
-s AS (SELECT *, sum(n) OVER l AS s_n, sum(n_words) OVER l AS s_words, {sums} FROM b WINDOW l AS (PARTITION BY lang)),
-q AS (SELECT s.*, coalesce(r.n, 0) AS rep, n_words >= 50 AND s_words - n_words >= {MIN_REFERENCE} AS told FROM s LEFT JOIN r ON s.k = r.k),
-j AS (SELECT *, n_words < 50 OR 100 * rep > 50 * n_words AS base_failed, CASE WHEN told THEN {distance(chars, "n", "s_n", False)} END AS cd, CASE WHEN told THEN {distance(commons, "n_words", "s_words", True)} END AS wd FROM q)
+f AS (SELECT b.*, coalesce(r.n, 0) AS rep, n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words AS base_failed, CASE WHEN n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words THEN 0 ELSE 1 END AS own FROM b LEFT JOIN r ON b.k = r.k),
+s AS (SELECT *, sum(own * n) OVER l AS s_n, sum(own * n_words) OVER l AS s_words, {sums} FROM f WINDOW l AS (PARTITION BY lang)),
+q AS (SELECT s.*, n_words >= 50 AND s_words - own * n_words >= {MIN_REFERENCE} AS told FROM s),
+j AS (SELECT *, CASE WHEN told THEN {distance(chars, "n", "s_n", False)} END AS cd, CASE WHEN told THEN {distance(commons, "n_words", "s_words", True)} END AS wd FROM q)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n - c_space AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(rep AS BIGINT) AS n_repeat_words, base_failed,
 round(CAST(cd AS DOUBLE), 6) AS char_distance, round(CAST(wd AS DOUBLE), 6) AS word_distance, NOT base_failed AND coalesce(cd <= {CHAR_LIMIT} AND wd <= {WORD_LIMIT}, true) AS kept
 FROM j"""

@@ -169,7 +169,7 @@ def brute_distances(rows, min_reference):
 
     found = [(*histogram(t or ""), lang, brute_base(t)[-1]) for t, lang in rows]
     for i, (chars, commons, n, lang, failed) in enumerate(found):
-        others = [x for j, x in enumerate(found) if j != i and x[3] == lang]
+        others = [x for j, x in enumerate(found) if j != i and x[3] == lang and not x[4]]
         n_others = sum(x[2] for x in others)
         if n < 50 or n_others < min_reference:
             yield None, None, not failed
