@@ -57,6 +57,16 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: (v.cast("double") + 1) * 127.5).alias("grid"))
 
 
+def _pixels(test) -> Column:
+    """``test`` of value and place for each of the 64 pixels of an embedding; a pixel that isn't there is null."""
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: test(F.get("embedding", i), i))
+
+
+def _limit(x: float) -> Column:
+    """A limit as a float, as SQL's decimal literals become beside floats; a double lies beside the float of the same digits."""
+    return F.lit(x).cast("float")
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part")
     return part.select("p_partkey", (F.col("p_size") * 32 + 64).cast("int").alias("w"), (F.col("p_partkey") % 37 * 40 + 100).cast("int").alias("h"), (F.col("p_partkey") % 3 > 0).alias("has_caption"))
@@ -563,7 +573,7 @@ def name_phrases(spark, sf_dir):
     SELECT vec_id, count(*) FILTER (WHERE s OR e) AS n_union, round(CASE WHEN count(*) FILTER (WHERE e) > 0 THEN CAST(count(*) FILTER (WHERE s AND e) AS DOUBLE) / count(*) FILTER (WHERE e) ELSE 0 END, 6) AS share FROM g GROUP BY vec_id"""
 )
 def mask_overlap(spark, sf_dir):
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v > 0).alias("s"), F.transform("embedding", lambda v, i: (v > 0.1) | ((i + 1) % 9 == 0)).alias("e"))
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", _pixels(lambda v, i: v > 0).alias("s"), _pixels(lambda v, i: (v > _limit(0.1)) | ((i + 1) % 9 == 0)).alias("e"))
     union = F.size(F.filter(selection.mask_union(F.array("s", "e")), lambda x: x)).cast("long")
     return rows.select("vec_id", union.alias("n_union"), F.round(selection.overlap_share(F.col("s"), F.col("e")), 6).alias("share"))
 
@@ -580,8 +590,8 @@ def mask_overlap(spark, sf_dir):
 def mask_runs(spark, sf_dir):
     """Masks of 8 x 8 pixels as runs: union, box, and a prop grown by a pixel and taken out where it is merged into the subject."""
     key, side = F.col("vec_id"), F.lit(8)
-    prop = F.transform("embedding", lambda v, i: (v > 0.15) | ((key % 3 > 0) & (i % 17 == key % 17) & (v < 0)))
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", masks.of_booleans(F.transform("embedding", lambda v: v > 0.05)).alias("s"), masks.of_booleans(prop).alias("e"))
+    prop = _pixels(lambda v, i: (v > _limit(0.15)) | ((key % 3 > 0) & (i % 17 == key % 17) & (v < 0)))
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", masks.of_booleans(_pixels(lambda v, i: v > _limit(0.05))).alias("s"), masks.of_booleans(prop).alias("e"))
     done = rows.select("vec_id", "s", masks.area(masks.union(F.col("s"), F.col("e"))).alias("n_union"), masks.without_prop(F.col("s"), F.col("e"), side, side, 1).alias("left_over"))
     return done.select("vec_id", "n_union", masks.box(F.col("s"), side).alias("box"), "left_over").select("vec_id", "n_union", "box.*", "left_over.outcome", masks.area(F.col("left_over.mask")).alias("n_left"))
 
