@@ -3,8 +3,8 @@
 The model's protobuf is parsed and rebuilt as a ``tokenizers.Tokenizer``: its normaliser (identity or
 a precompiled map), the metaspace marker, byte fallback, and for a unigram model its scores, for a
 BPE model the merges that its scores imply. Where nothing merges across the start of a run of markers,
-texts are cut there, each worker keeps the ids of the pieces it has met, and the rest of a batch goes
-to the library's threads at once; otherwise whole texts do. Each text's
+texts are cut there, and each worker encodes a piece, and decodes its ids, when it first meets it, and
+keeps the ids as bytes; otherwise whole texts go to the library's threads. Each text's
 ids are compared with those of the sentencepiece library (``verify``), and decoded again by the rebuilt decoder.
 """
 
@@ -13,8 +13,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -26,23 +27,34 @@ from loomset.llm.common import id_and_bytes, small_batches, table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-#: Bytes, estimated, of the pieces whose ids and texts a worker keeps.
+#: Bytes, estimated, of the pieces whose ids a worker keeps.
 ROOM = 450_000_000
-END = "\0"
+
+
+def known(pieces) -> set[str]:
+    """The ASCII characters that never are unknown."""
+    own = {p.piece for p in pieces if p.type in (NORMAL, BYTE)}
+    return {c for c in map(chr, range(1, 128)) if c in own or f"<0x{ord(c):02X}>" in own}
 
 
 def apart(pieces) -> re.Pattern[str]:
-    """Cuts text, its markers as spaces, where no merge can cross: before runs of markers, and around other marks.
+    """Cuts text, its markers as spaces, where no merge can cross: before runs of markers, around other marks, and once before a head.
 
     A mark is an ASCII character, not a letter or digit, that stands in no piece beside a character
-    other than marks and the marker before it; so no piece holds both sides of a cut.
+    other than marks and the marker before it; so no piece holds both sides of a cut. It is in the vocabulary,
+    if only as a byte: unknown characters side by side make one id. A head is another such character that
+    follows no letter or digit in any piece; nothing is cut behind a tail, which some piece has before a head.
     """
     beside = {pair for p in pieces if p.type == NORMAL for pair in zip(p.piece, p.piece[1:], strict=False)}
-    marks = {chr(i) for i in range(1, 128) if not chr(i).isalnum()} - {" "}
+    heads = marks = {m for m in known(pieces) if not m.isalnum()} - {" "}
     while wrong := {a for a, b in beside if a in marks and b not in marks} | {b for a, b in beside if b in marks and a not in marks and a != MARK}:
-        marks -= wrong
-    own = "".join(map(re.escape, sorted(marks)))
-    return re.compile(f" *[{own}]+| *[^ {own}]+| +" if own else " *[^ ]+| +")
+        marks = marks - wrong
+    heads = heads - marks - {b for a, b in beside if a.isalpha() or a.isdecimal()}
+    tails = {a for a, b in beside if b in heads} - heads - marks - {MARK}
+    own, head, tail = ("".join(map(re.escape, sorted(x))) for x in (marks, heads, tails))
+    ways = [f" *+[{own}]++"] if own else []
+    ways += [f" *+[^ {own}{head}{tail}]++" + (f"(?![{tail}])" if tail else "")] if head else []
+    return re.compile("|".join([*ways, f" *+[^ {own}]++", " +"]))
 
 
 def parse_model(blob: bytes):
@@ -108,11 +120,24 @@ def piece_decoders(model) -> list:
     return [*special, decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
 
 
+class Met(dict):
+    """The ids of pieces as bytes of int32; those of a piece that isn't there are learnt when it is asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.learn, self.held = learn, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = self.learn(piece)
+        self.held += getsizeof(piece) + getsizeof(ids) + 100  # and its place in a table, or in two while the table grows
+        return ids
+
+
 class Codec:
     def __init__(self, blob: bytes, threads: int, verify: bool, room: int = ROOM) -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
-        from tokenizers import Tokenizer, decoders, pre_tokenizers
+        from tokenizers import decoders
 
         model = parse_model(blob)
         self.tokenizer, self.reference, self.size = build_tokenizer(blob), None, len(model.pieces)
@@ -123,12 +148,12 @@ class Codec:
         self.tokenizer.decoder = decoders.Sequence(piece_decoders(model))
         self.cut = bool(self.tokenizer.pre_tokenizer) and self.lead and not norm.precompiled_charsmap and not norm.remove_extra_whitespaces
         if self.cut:
-            self.pieces, self.cuts, self.numbers = Tokenizer(self.tokenizer.model), apart(model.pieces), list(range(self.size))
-            self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(END)
-            self.pieces.decoder = self.tokenizer.decoder
-            self.met: dict[str, tuple[int, ...]] = {}
-            self.back: dict[str, str] = {}
-            self.room, self.held = room, 0
+            self.cuts, self.room = apart(model.pieces), room
+            self.met, self.other = Met(self.learn), {}  # and the texts of pieces that decode to something else
+            # Its steps take each id by itself, but for the runs of bytes that one of them fuses.
+            self.in_runs = {i for i, p in enumerate(model.pieces) if re.fullmatch("<0x..>", p.piece)}
+            self.texts = self.tokenizer.decode_batch([[i] for i in range(self.size)], skip_special_tokens=False)
+            self.tokenize = self.tokenizer.model.tokenize
         if verify:
             import sentencepiece
 
@@ -139,49 +164,39 @@ class Codec:
 
     def there_and_back(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """Each text's ids, and what they decode to. A piece that no merge crosses is encoded, and its ids decoded, once."""
+        return ((ids.tolist(), text) for ids, text in self.arrays(texts))
+
+    def arrays(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
+        """``there_and_back`` with ids as arrays of int32."""
         if not self.cut:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            yield from zip(ids, map(self.unmarked, ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False)), strict=True)
+            back = map(self.unmarked, ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False))
+            yield from zip((np.asarray(i, np.int32) for i in ids), back, strict=True)
             return
-        parts = [self.cuts.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        missing = set().union(*parts).difference(self.met)
-        if self.held + sum(map(self.cost, missing)) > self.room:
-            self.met.clear()
-            self.back.clear()
-            self.held, missing = 0, set().union(*parts)
-        self.learn(list(missing))
-        for p in parts:
-            ids = list(chain.from_iterable(map(self.met.__getitem__, p)))
-            yield ids, self.unmarked(ids, "".join(map(self.back.__getitem__, p)))
-
-    @staticmethod
-    def cost(piece: str) -> int:
-        """Bytes that a piece takes here, about: a string, a tuple of ids and two places in a table."""
-        return 250 + 10 * len(piece)
-
-    def learn(self, missing: list[str]) -> None:
-        """The ids of new pieces: joined by a character that ends a pre-token, many pieces to an encoding."""
-        plain = [p for p in missing if END not in p]
-        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        for group, e in zip(groups, self.pieces.encode_batch([END.join(g).replace(" ", MARK) for g in groups], add_special_tokens=False), strict=True):
-            numbers, at = list(map(self.numbers.__getitem__, e.ids)), e.word_ids
-            starts = [i for i in range(len(at)) if i == 0 or at[i] != at[i - 1]] + [len(at)]
-            self.met.update(zip(group, (tuple(numbers[a:b]) for a, b in zip(starts, starts[1:], strict=False)), strict=True))
-        for p in missing:
-            if END in p:
-                self.met[p] = tuple(t.id for t in self.pieces.model.tokenize(p.replace(" ", MARK)))
-        decoded = self.pieces.decode_batch([list(self.met[p]) for p in missing], skip_special_tokens=False)
-        self.back.update((p, p if p == text else text) for p, text in zip(missing, decoded, strict=True))  # one string for both
-        self.held += sum(map(self.cost, missing))
+        for t in texts:
+            if self.met.held > self.room:  # between texts: what a text's pieces decode to is needed until its end
+                self.met, self.other = Met(self.learn), {}
+            pieces = self.cuts.findall(" " + t.replace(MARK, " ")) if t else []
+            ids = np.frombuffer(b"".join(map(self.met.__getitem__, pieces)), np.int32)
+            same = self.other.keys().isdisjoint(pieces)
+            yield ids, self.unmarked(ids, "".join(pieces if same else [self.other.get(p, p) for p in pieces]))
+
+    def learn(self, piece: str) -> bytes:
+        """The ids of a new piece. They are decoded, and a text other than the piece is kept."""
+        ids = [t.id for t in self.tokenize(piece.replace(" ", MARK))]
+        text = "".join(map(self.texts.__getitem__, ids)) if self.in_runs.isdisjoint(ids) else self.tokenizer.decode(ids, skip_special_tokens=False)
+        if text != piece:
+            self.other[piece] = text
+        return array("i", ids).tobytes()
 
     def decode(self, ids: list[int]) -> str:
         if ids and not 0 <= min(ids) <= max(ids) < self.size:
             raise IndexError(f"an id outside the vocabulary of {self.size}")
         return self.unmarked(ids, self.tokenizer.decode(ids, skip_special_tokens=False))
 
-    def unmarked(self, ids: list[int], text: str) -> str:
+    def unmarked(self, ids: list[int] | np.ndarray, text: str) -> str:
         """The text without the marker that leads its first piece; a space that isn't a marker stays."""
-        first = next((i for i in ids if i not in self.hidden), None)
+        first = next((i for i in map(int, ids) if i not in self.hidden), None)
         return text[1:] if self.lead and first in self.marked else text
 
 
@@ -214,11 +229,11 @@ def sentencepiece_encode(df: DataFrame, model_path: str, id_col: str = "doc_id",
         own = codec(shared.value, threads, verify)
         for batch in batches:
             texts = [b.as_py().decode("utf-8", "replace") for b in batch.column(1)]
-            ids, decoded = map(list, zip(*own.there_and_back(texts), strict=True)) if texts else ([], [])
-            same = [a == b for a, b in zip(ids, own.reference.encode(texts), strict=True)] if own.reference else [None] * len(ids)
+            ids, decoded = map(list, zip(*own.arrays(texts), strict=True)) if texts else ([], [])
+            same = [np.array_equal(a, b) for a, b in zip(ids, own.reference.encode(texts, return_type="numpy"), strict=True)] if own.reference else [None] * len(ids)
             trips = [a == b.replace(MARK, " ") for a, b in zip(decoded, texts, strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if ids else np.empty(0, np.int32)
+            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(decoded, pa.string()), pa.array(same, pa.bool_()), pa.array(trips, pa.bool_())], ["id", "ids", "decoded", "same_ids", "round_trip"])
 
     small_batches(spark)

@@ -133,6 +133,65 @@ def test_unigram_model_is_rebuilt():
     assert [codec.decode(x) for x in codec.encode(texts)] == texts
 
 
+def test_new_pieces_cost_one_tokenisation():
+    """Only pieces with bytes go to the decoder; the others are joined from what it made of each id."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        blob = f.read()
+    own, codec, decoded = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(blob, 1, False), []
+
+    class Told:
+        def __init__(self, library):
+            self.library = library
+
+        def __getattr__(self, name):
+            if name.startswith("decode"):
+                decoded.append(name)
+            return getattr(self.library, name)
+
+    for name in {"tokenizer", "pieces"} & vars(codec).keys():
+        setattr(codec, name, Told(getattr(codec, name)))
+    plain = [" ".join(f"{a}{b}orn{a}" for b in "aeiou") + ", <0x41> <s> <unk> end." for a in "bdfgklmnprst"]
+    assert [list(x) for x in zip(*codec.there_and_back(plain))] == [own.encode(plain), plain] and not decoded
+    mixed = ["two\nlines\n\n", "\0 and \0\0x", "😀😀 á̈\u2028x", "\t", " ▁ lead", "", "\ufffd \U0010ffff"]
+    assert [list(x) for x in zip(*codec.there_and_back(mixed))] == [own.encode(mixed), [t.replace("▁", " ") for t in mixed]] and decoded
+
+
+def test_words_are_met_once_whatever_mark_follows():
+    import random
+
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        blob = f.read()
+    own, codec, rnd = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(blob, 1, False), random.Random(5)
+    codec.encode(["one hamlet, one hamlet. one hamlet; a hamlet: hamlet\nhamlet!"])
+    assert sum("hamlet" in p for p in codec.met) == 2  # with a space before it and without
+    texts = ["".join(rnd.choice(["a", "th", "ing", "é", "1", "好", " ", " ", "\n", ".", ",", "'", "’s", "”", "…", "(", ")", "\"", "-", "—", "²", "\\", "\t", "_", "://"]) for _ in range(rnd.randrange(30))) for _ in range(4000)]
+    assert codec.encode(texts) == own.encode(texts)
+    assert [text for _, text in codec.there_and_back(texts)] == texts
+
+
+@pytest.mark.parametrize("room", [0, 1 << 20])
+def test_pieces_that_decode_to_something_else(room):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = sentencepiece_codec.parse_model(small_unigram())
+    kept = pb.ModelProto()
+    kept.CopyFrom(model)
+    del kept.pieces[:]
+    kept.pieces.extend(p for p in model.pieces if p.type != sentencepiece_codec.BYTE)
+    kept.trainer_spec.byte_fallback = False
+    blob = kept.SerializeToString()
+    own, codec = sentencepiece.SentencePieceProcessor(model_proto=blob), sentencepiece_codec.Codec(blob, 1, False, room=room)
+    texts = ["ab xx cd", "xyz", "ab", "cd  x,,ab", "", "ab xx cd xx"]
+    assert codec.cut and [list(x) for x in zip(*codec.there_and_back(texts))] == [own.encode(texts), own.decode(own.encode(texts))]
+
+
 def brute_base(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
