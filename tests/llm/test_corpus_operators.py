@@ -72,6 +72,20 @@ def test_suffix_dedup_by_words(spark):
     assert got == {1: "alpha beta", 2: "gamma\ndelta", 3: None}
 
 
+def test_op10_cuts_passages_by_bytes_whatever_their_words(spark, tmp_path):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    short, long = (" ".join(word(n) for n in [5] * 59 + [last]) for last in (45, 46))  # 60 words in 399 and in 400 bytes
+    around = [f"{a} {word(300)}" for a in "pqrstuv"]
+    texts = [f"{around[0]}[{short}]{around[1]}", f"{around[2]}({short}){around[3]}", f"{around[4]}[{long}]{around[5]}", f"<{long}>{around[6]}", word(900)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in suffix_dedup.op10_suffix_dedup(spark, str(tmp_path)).collect())
+    assert [g[1:] for g in got] == list(brute_cut([t.encode() for t in texts], 400))
+    assert (len(short), len(long)) == (399, 400) and [g[2] for g in got] == [0, 0, 400, 400, 0]
+    by_words = suffix_dedup.suffix_dedup(spark.createDataFrame([(i, t.translate(str.maketrans("[]()<>", "      "))) for i, t in enumerate(texts)], "doc_id long, text string"), unit="words", threshold=50)
+    assert [r.n_removed > 0 for r in by_words.orderBy("doc_id").collect()] == [True] * 4 + [False]
+
+
 def brute_classes(texts, width=5, least=0.8):
     sets = []
     for t in texts:
